@@ -87,7 +87,7 @@ FROM {region}""",
     "job_registry": """
 SELECT event_id AS id, 'EXECUTOR' AS registry_group, concat('app-', CAST(user_id % 5 AS STRING)) AS registry_key,
        concat('10.0.0.', CAST(user_id % 8 AS STRING), ':9999') AS registry_value,
-       value % 100 AS cpu_usage, CAST(event_id % 100 AS DOUBLE) AS memory_usage,
+       value % 100 AS cpu_usage, CAST(event_id % 100 AS DOUBLE) / 100 AS memory_usage,
        CAST(event_id % 16 AS DOUBLE) / 2 AS load_average, ts AS update_time
 FROM {events}""",
     "job_logglue": """
