@@ -156,7 +156,8 @@ def run_duration(t):
     return runs.run_duration(t.job_log, t.job_info)
 
 
-@query("run_duration_stats")
+@query("run_duration_stats", """SELECT job_id, count(*) AS runs, min(s) AS min_s, max(s) AS max_s, quantile_disc(s, 0.5) AS p50_s, quantile_disc(s, 0.95) AS p95_s
+FROM (SELECT job_id, date_diff('second', trigger_time, handle_time) AS s FROM job_log WHERE handle_time IS NOT NULL) GROUP BY job_id""", "job_log")
 def run_duration_stats(t):
     return runs.run_duration_stats(t.job_log)
 

@@ -157,6 +157,20 @@ SELECT event_id AS log_id, CASE WHEN event_id % 2 = 0 THEN 'mysql' WHEN event_id
                             WHEN 'signup' THEN 'ORA-01031: insufficient privileges'
                             WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'ORA-01017: invalid username/password' ELSE 'disk full' END END
        END AS message
+FROM {events}""",
+    "raw_events": """
+SELECT CAST(event_id AS STRING) AS f_id, CAST(ts AS STRING) AS f_ts,
+       CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE CAST(value AS STRING) END AS f_value,
+       CASE event_type WHEN 'error' THEN 'maybe' WHEN 'click' THEN 'true' ELSE 'false' END AS f_flag, event_type AS f_type
+FROM {events}""",
+    "job_partition": """
+SELECT event_id AS run_id, ts AS trigger_time,
+       concat('p_day,', CAST(event_id % 5 - 2 AS STRING),
+              CASE CAST(event_id % 3 AS INT) WHEN 0 THEN ',yyyy-MM-dd' WHEN 1 THEN ',yyyyMMdd' ELSE ',yyyy/MM/dd' END) AS partition_info
+FROM {events}""",
+    "sync_windows": """
+SELECT event_id AS run_id, user_id AS job_id,
+       CASE WHEN event_type = 'click' THEN ts - INTERVAL '2' DAY ELSE ts - INTERVAL '1' HOUR END AS window_start, ts AS window_end
 FROM {events}""",
     "run_log_lines": """
 SELECT event_id AS log_id, 1 AS line_no, concat('任务启动时刻                    : ', CAST(DATE '2024-01-01' AS STRING), ' 11:20:15') AS line FROM {events}
