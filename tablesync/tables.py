@@ -157,6 +157,13 @@ SELECT event_id AS log_id, CASE WHEN event_id % 2 = 0 THEN 'mysql' WHEN event_id
                             WHEN 'signup' THEN 'ORA-01031: insufficient privileges'
                             WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'ORA-01017: invalid username/password' ELSE 'disk full' END END
        END AS message
+FROM {events}""",
+    "event_docs": """
+SELECT event_id, CASE event_type
+   WHEN 'click' THEN concat('{{"id":', CAST(event_id AS STRING), ',"kind":"click","at":{{"k":1}},"note":null}}')
+   WHEN 'view' THEN concat('{{"id":', CAST(event_id AS STRING), ',"kind":"view","seen":true}}')
+   WHEN 'purchase' THEN concat('{{"id":"p', CAST(event_id AS STRING), '","items":[1,2],"price":2.5}}')
+   WHEN 'error' THEN '{{"id":' ELSE props END AS doc
 FROM {events}""",
     "raw_events": """
 SELECT CAST(event_id AS STRING) AS f_id, CAST(ts AS STRING) AS f_ts,
