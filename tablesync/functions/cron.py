@@ -1,0 +1,231 @@
+"""Next fire times of a table of cron expressions, as column expressions.
+
+Six or seven fields: second, minute, hour, day of month, month, day of week, optional year.
+Each distinct expression is parsed once into arrays of numbers; days are found month by month
+in an array of candidate months, so nothing is shuffled except to share the result among the
+jobs that use the same expression.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tablesync.operators.common import ntz
+
+# Names of months (1 to 12) and weekdays (1 to 7).
+MONTH_NAMES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+DAY_NAMES = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")
+
+# Fixed value: years ahead that are searched.
+MAX_YEARS_AHEAD = 100
+
+_NUMBERS = r"^(\*|[0-9]{1,4})?(-([0-9]{1,4}))?(/([0-9]{1,4}))?$"
+_LAST = r"^L(-([0-9]{1,2}))?(W)?$"
+_NEAREST = r"^([0-9]{1,2})W$"
+_LAST_DAY = r"^([1-7])L$"
+_NTH_DAY = r"^([1-7])#([1-5])$"
+
+
+@dataclass(frozen=True)
+class Field:
+    """A field's position and the range of its values; ``max_step`` bounds the number after a slash."""
+
+    position: int
+    low: int
+    high: int
+    max_step: int
+
+
+# The fields of an expression.
+SECOND = Field(1, 0, 59, 59)
+MINUTE = Field(2, 0, 59, 59)
+HOUR = Field(3, 0, 23, 23)
+DAY = Field(4, 1, 31, 31)
+MONTH = Field(5, 1, 12, 12)
+WEEKDAY = Field(6, 1, 7, 7)
+
+
+def _part(token: Column, pattern: str, group: int) -> Column:
+    """A number inside a token, null where the token has none."""
+    return F.regexp_extract(token, pattern, group).try_cast("int")
+
+
+def _is_numeric(token: Column, field: Field, high: int | None = None) -> Column:
+    """Whether a token is ``*``, a number, a range or a step within the field's range."""
+    shaped = token.rlike(_NUMBERS) & ~token.rlike(r"^(-|$)") & ~token.rlike(r"^\*-")
+    top = field.high if high is None else high
+    first, last, step = _part(token, _NUMBERS, 1), _part(token, _NUMBERS, 3), _part(token, _NUMBERS, 5)
+    return (
+        shaped & F.coalesce(first.between(field.low, top), F.lit(True)) & F.coalesce(last.between(field.low, top), F.lit(True))
+        & F.coalesce(step <= field.max_step, F.lit(True))
+    )
+
+
+def _expand(token: Column, field: Field, high: int | Column | None = None) -> Column:
+    """Numbers a token stands for; a range that runs backwards wraps around."""
+    top = F.lit(field.high) if high is None else high
+    first, last, step = _part(token, _NUMBERS, 1), _part(token, _NUMBERS, 3), _part(token, _NUMBERS, 5)
+    start = F.coalesce(first, F.lit(field.low))
+    open_end = first.isNull() | (step > 0)
+    stop = F.coalesce(last, F.when(open_end, top).otherwise(start))
+    span = F.lit(field.high - field.low + 1)
+    wrapped = F.when(stop < start, stop + span).otherwise(stop)
+    values = F.sequence(start, wrapped, F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)))
+    return F.transform(values, lambda v: F.when(v > top, v - span).otherwise(v))
+
+
+def _named(text: Column, names: tuple[str, ...]) -> Column:
+    for number, name in enumerate(names, start=1):
+        text = F.replace(text, F.lit(name), F.lit(str(number)))
+    return text
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, ","), lambda t: t != "")
+
+
+def _only(tokens: str) -> Column:
+    """First token of a field, null where it has none."""
+    return F.get(tokens, F.lit(0))
+
+
+def _numbers(tokens: str, field: Field) -> Column:
+    """Sorted set of the numbers of a field."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, lambda t: _expand(t, field)))))
+
+
+def parse(crons: DataFrame, column: str, now: str) -> DataFrame:
+    """Adds token arrays, the number sets of the plain fields, and ``valid``."""
+    fields = F.split(F.trim(F.regexp_replace(F.upper(column), r"[ \t]+", " ")), " ")
+    names = {"_dom": (DAY, ()), "_mon": (MONTH, MONTH_NAMES), "_dow": (WEEKDAY, DAY_NAMES), "_sec": (SECOND, ()), "_min": (MINUTE, ()), "_hour": (HOUR, ())}
+    df = crons.withColumn("_f", fields)
+    tokens = {n: _tokens(_named(F.coalesce(F.get("_f", F.lit(f.position - 1)), F.lit("")), d)) for n, (f, d) in names.items()}
+    tokens["_year"] = _tokens(F.coalesce(F.get("_f", F.lit(6)), F.lit("*")))
+    df = df.withColumns(tokens)
+    this_year = F.year(ntz(now))
+
+    def numeric(name, field, high=None):
+        return (F.size(name) > 0) & F.forall(name, lambda t: _is_numeric(t, field, high))
+
+    single = F.size("_dom") == 1, F.size("_dow") == 1
+    dom_free = single[0] & (_only("_dom") == "?")
+    dow_free = single[1] & (_only("_dow") == "?")
+    last_offset = F.coalesce(_part(_only("_dom"), _LAST, 2), F.lit(0))
+    dom_ok = (single[0] & _only("_dom").rlike(_LAST) & (last_offset <= 30)) | (
+        (F.size("_dom") > 0)
+        & F.forall("_dom", lambda t: _is_numeric(t, DAY) | (t.rlike(_NEAREST) & F.coalesce(_part(t, _NEAREST, 1).between(1, 31), F.lit(False))))
+    )
+    dow_ok = (single[1] & (_only("_dow").rlike(_LAST_DAY) | _only("_dow").rlike(_NTH_DAY))) | (
+        (F.size("_dow") > 0) & F.forall("_dow", lambda t: _is_numeric(t, WEEKDAY) | (t == "L"))
+    )
+    year_field = Field(7, 0, 9999, 9999)
+    years_ok = (F.size("_year") > 0) & F.forall(
+        "_year",
+        lambda t: _is_numeric(t, year_field) & F.coalesce(_part(t, _NUMBERS, 3) >= _part(t, _NUMBERS, 1), F.lit(True)),
+    )
+    valid = (
+        (F.size("_f") >= 6) & numeric("_sec", SECOND) & numeric("_min", MINUTE) & numeric("_hour", HOUR) & numeric("_mon", MONTH)
+        & years_ok & ((dom_free & dow_ok) | (dow_free & dom_ok))
+    )
+    # Past the check only valid rows are expanded.
+    df = df.withColumn("valid", F.coalesce(valid, F.lit(False)))
+    plain = {"_S": _numbers("_sec", SECOND), "_M": _numbers("_min", MINUTE), "_H": _numbers("_hour", HOUR), "_months": _numbers("_mon", MONTH)}
+    horizon = this_year + MAX_YEARS_AHEAD
+    years = F.flatten(F.transform("_year", lambda t: _expand(t, Field(7, 1970, 9999, 9999), horizon)))
+    plain["_years"] = F.filter(F.array_distinct(years), lambda y: y.between(this_year, horizon))
+    return df.withColumns({n: F.when(F.col("valid"), c) for n, c in plain.items()})
+
+
+def _nearest_weekday(day: Column, first: Column, last: Column) -> Column:
+    """The weekday closest to ``day`` that does not leave its month."""
+    dow = F.dayofweek(day)
+    saturday = F.when(day == first, F.date_add(day, 2)).otherwise(F.date_sub(day, 1))
+    sunday = F.when(day == last, F.date_sub(day, 2)).otherwise(F.date_add(day, 1))
+    return F.when(dow == 7, saturday).when(dow == 1, sunday).otherwise(day)
+
+
+def _month_days(first: Column) -> Column:
+    """Matching days of the month that starts at ``first``."""
+    last = F.last_day(first)
+    size = F.dayofmonth(last)
+
+    def by_day(t):
+        numbers = F.filter(_expand(t, DAY), lambda d: d <= size)
+        plain = F.transform(numbers, lambda d: F.date_add(first, d - 1))
+        target = F.date_sub(last, F.coalesce(_part(t, _LAST, 2), F.lit(0)))
+        closing = F.when(t.endswith("W"), _nearest_weekday(target, first, last)).otherwise(target)
+        nth = _part(t, _NEAREST, 1)
+        nearest = F.when(nth <= size, _nearest_weekday(F.date_add(first, F.least(nth, size) - 1), first, last))
+        return F.when(t.rlike(_LAST), F.array(closing)).when(t.rlike(_NEAREST), F.array(nearest)).otherwise(plain)
+
+    def first_weekday(number):
+        return F.date_add(first, F.pmod(number - F.dayofweek(first), F.lit(7)))
+
+    def by_weekday(t):
+        weekday = F.when(t == "L", 7).otherwise(F.coalesce(_part(t, _LAST_DAY, 1), _part(t, _NTH_DAY, 1)))
+        closing = F.date_sub(last, F.pmod(F.dayofweek(last) - weekday, F.lit(7)))
+        nth = F.date_add(first_weekday(weekday), 7 * (_part(t, _NTH_DAY, 2) - 1))
+        nth = F.when(nth <= last, nth)
+        numbers = F.when(t == "L", F.array(F.lit(7))).otherwise(_expand(t, WEEKDAY))
+        weekly = F.flatten(F.transform(numbers, lambda n: F.sequence(first_weekday(n), last, F.expr("INTERVAL '7' DAY"))))
+        return F.when(t.rlike(_LAST_DAY), F.array(closing)).when(t.rlike(_NTH_DAY), F.array(nth)).otherwise(weekly)
+
+    days = F.when(_only("_dom") == "?", F.flatten(F.transform("_dow", by_weekday))).otherwise(F.flatten(F.transform("_dom", by_day)))
+    return F.filter(days, lambda d: d.isNotNull())
+
+
+def _seconds(hours: Column, minutes: Column, seconds: Column, n: int) -> Column:
+    """The ``n`` earliest seconds of the day of sorted hour, minute and second sets."""
+    per_hour = lambda h: F.flatten(F.transform(F.slice(minutes, 1, n), lambda m: F.transform(F.slice(seconds, 1, n), lambda s: h * 3600 + m * 60 + s)))
+    return F.slice(F.flatten(F.transform(F.slice(hours, 1, n), per_hour)), 1, n)
+
+
+def fire_times(crons: DataFrame, column: str, now: str, n: int = 5) -> DataFrame:
+    """Adds ``valid`` and ``fires``: up to ``n`` times after ``now``, ascending."""
+    parsed = parse(crons, column, now)
+    keep = [*crons.columns, "valid"]
+    at = ntz(now)
+    today = at.cast("date")
+    h0, m0, s0 = F.hour(at), F.minute(at), F.second(at)
+    H, M, S = F.col("_H"), F.col("_M"), F.col("_S")
+    month_starts = F.flatten(
+        F.transform(F.array_sort("_years"), lambda y: F.transform("_months", lambda m: F.make_date(y, m, F.lit(1))))
+    )
+    month_starts = F.filter(month_starts, lambda d: d >= F.trunc(today, "month"))
+    # Most expressions match at least one day in each of their months, so a few months hold the
+    # next n days (the current month may hold none any more). Only day 29 to 31 and a fifth
+    # weekday can miss a month; they get the whole horizon.
+    gaps = F.forall("_dom", lambda t: t.rlike(r"^(29|30|31)W?(-.*)?(/.*)?$")) | F.forall("_dow", lambda t: t.rlike(r"#5$"))
+    far = F.exists("_dom", lambda t: t.rlike(r"^L-(2[7-9]|30)"))
+    months = F.when(gaps | far, month_starts).otherwise(F.slice(month_starts, 1, n + 2))
+    days = F.array_sort(F.array_distinct(F.flatten(F.transform(months, _month_days))))
+    generic = _seconds(H, M, S, n)
+    later = lambda values, bound: F.filter(values, lambda v: v > bound)
+    same = lambda values, bound: F.filter(values, lambda v: v == bound)
+    rest_of_today = F.slice(
+        F.concat(_seconds(same(H, h0), same(M, m0), later(S, s0), n), _seconds(same(H, h0), later(M, m0), S, n), _seconds(later(H, h0), M, S, n)), 1, n
+    )
+    staged = parsed.select(
+        *keep, generic.alias("_generic"), rest_of_today.alias("_rest"),
+        F.slice(F.filter(days, lambda d: d >= today), 1, n + 1).alias("_days"),
+    )
+    of_day = lambda d: F.transform(
+        F.when(d == today, F.col("_rest")).otherwise(F.col("_generic")), lambda s: F.timestamp_add("SECOND", s, d.cast("timestamp_ntz"))
+    )
+    return staged.select(*keep, F.slice(F.flatten(F.transform("_days", of_day)), 1, n).alias("fires"))
+
+
+def next_fire_times(jobs: DataFrame, now: str, n: int = 5, column: str = "job_cron") -> DataFrame:
+    """Per job: whether its expression is valid, and its next ``n`` fire times, one row each.
+
+    Expressions are made distinct first; a job without a next time keeps one row of nulls.
+    """
+    distinct = jobs.select(column).where(F.col(column).isNotNull()).distinct()
+    times = fire_times(distinct, column, now, n)
+    rows = jobs.select("id", column).join(times, column, "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return rows.select("id", column, "valid", F.posexplode_outer("fires").alias("pos", "fire_time")).select(
+        "id", column, "valid", (F.col("pos") + 1).alias("fire_no"), "fire_time"
+    )

