@@ -7,6 +7,7 @@ kept for reading and writing them; it is no recommendation.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,35 +43,42 @@ def _fields(value: Column) -> Column:
     return value.cast("map<string,variant>")
 
 
-def _replace(fields: Column, name: str, new: Column) -> Column:
-    """A JSON object with one field replaced."""
-    return F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), new)))
+def _with(fields: Column, **new: Column) -> Column:
+    """A JSON object with some fields replaced."""
+    pairs = [part for name, value in new.items() for part in (F.lit(name), value)]
+    return F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: ~k.isin(*new)), F.create_map(*pairs)))
 
 
-def change_credentials(job_json: Column, change) -> Column:
+def change_credentials(job_json: Column, change: Callable[[Column], Column]) -> Column:
     """Job text with ``change`` applied to the user name and password of every reader and writer.
 
     Where ``change`` gives null the stored value stays; all other values are unchanged. The
-    text is parsed once into a variant and rebuilt from the inside out.
+    text is parsed into a variant, opened level by level, each level once, and rebuilt.
     """
 
-    def one(key, value):
+    def credential(key, value):
         new = change(F.try_variant_get(value, "$", "string")).cast("variant")
         return F.when(key.isin(*CREDENTIAL_KEYS), F.coalesce(new, value)).otherwise(value)
 
-    def side(content, name):
-        block = _fields(F.element_at(_fields(content), name))
-        parameter = F.to_variant_object(F.transform_values(_fields(F.element_at(block, "parameter")), one))
-        return _replace(block, "parameter", parameter)
+    def changed(side):
+        return F.to_variant_object(F.transform_values(_fields(side["parameter"]), credential))
 
-    def entry(content):
-        with_reader = _replace(_fields(content), "reader", side(content, "reader"))
-        return _replace(_fields(with_reader), "writer", side(content, "writer"))
+    def open_sides(content):
+        return F.struct(content.alias("all"), _fields(content["reader"]).alias("reader"), _fields(content["writer"]).alias("writer"))
 
-    document = _fields(F.try_parse_json(job_json))
-    job = _fields(F.element_at(document, "job"))
-    contents = F.transform(F.element_at(job, "content").cast("array<variant>"), entry)
-    return F.to_json(_replace(document, "job", _replace(job, "content", F.to_variant_object(contents))))
+    def rebuild(content):
+        reader, writer = content["reader"], content["writer"]
+        return _with(content["all"], reader=_with(reader, parameter=changed(reader)), writer=_with(writer, parameter=changed(writer)))
+
+    def rebuild_job(job):
+        contents = F.transform(F.transform(job["content"].cast("array<variant>"), _fields), open_sides)
+        return _with(job, content=F.to_variant_object(F.transform(contents, rebuild)))
+
+    def rebuild_document(document):
+        return _with(document, job=F.get(F.transform(F.array(_fields(document["job"])), rebuild_job), F.lit(0)))
+
+    # One-element arrays bind a parsed level to a name, so that it is not parsed per use.
+    return F.to_json(F.get(F.transform(F.array(_fields(F.try_parse_json(job_json))), rebuild_document), F.lit(0)))
 
 
 def encrypt_job(job_json: Column, seed: str) -> Column:

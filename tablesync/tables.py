@@ -275,18 +275,29 @@ SPARK_BUILDERS: dict[str, Callable[["Tables"], DataFrame]] = {
 
 
 class Tables:
-    """Lazy access by attribute: ``t.orders`` is a Parquet scan, ``t.job_log`` an adapter view."""
+    """Lazy access by attribute: ``t.orders`` is a Parquet scan, ``t.job_log`` an adapter view.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    With ``streaming`` the same names are file streams, and views over them.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.streaming = streaming
+
+    def streams(self) -> "Tables":
+        return Tables(self.spark, self.sf_dir, streaming=True)
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(self.path(name))
+            batch = self.spark.read.parquet(self.path(name))
+            if not self.streaming:
+                return batch
+            # A stream takes a directory or a pattern; the pattern matches the one name, file or directory.
+            return self.spark.readStream.schema(batch.schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
         if name in SPARK_BUILDERS:
             return SPARK_BUILDERS[name](self)
         if name in VIEWS:
