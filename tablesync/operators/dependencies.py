@@ -41,18 +41,20 @@ def child_edges(jobs: DataFrame) -> DataFrame:
     return entries.select("parent_id", (F.col("pos") + 1).alias("position"), "entry", child.alias("child_id"), child.isNotNull().alias("valid"))
 
 
+def _first_callbacks(callbacks: DataFrame) -> DataFrame:
+    return newest_per_key(callbacks, ["log_id"], [F.col("arrival")])
+
+
 def accepted_callbacks(log: DataFrame, callbacks: DataFrame) -> DataFrame:
-    """Callbacks that take effect: the run exists, has no result yet, and this is the first to arrive."""
-    open_runs = log.where(F.col("handle_code") <= NOT_REPORTED).select(F.col("id").alias("log_id"))
-    first = newest_per_key(callbacks, ["log_id"], [F.col("arrival")])
-    return first.join(open_runs, "log_id", "left_semi")
+    """Callbacks that take effect, with their job: the run exists, has no result yet, and this is the first to arrive."""
+    open_runs = log.where(F.col("handle_code") <= NOT_REPORTED).select(F.col("id").alias("log_id"), "job_id")
+    return _first_callbacks(callbacks).join(open_runs, "log_id")
 
 
 def child_triggers(log: DataFrame, callbacks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Child runs to start: one per accepted successful callback and valid child entry."""
-    done = accepted_callbacks(log, callbacks).where(F.col("code") == SUCCESS).select("log_id")
-    parents = log.select(F.col("id").alias("log_id"), "job_id").join(done, "log_id", "left_semi")
-    # The child list travels with its job row and is exploded last, after the two joins.
+    parents = accepted_callbacks(log, callbacks).where(F.col("code") == SUCCESS).select("log_id", "job_id")
+    # The child list travels with its job row and is exploded last, after the joins.
     lists = jobs.where(_child_ids().isNotNull()).select(F.col("id").alias("job_id"), _child_ids().alias("children"))
     rows = parents.join(lists, "job_id").select("log_id", F.col("job_id").alias("parent_id"), F.explode("children").alias("entry"))
     return rows.select("log_id", "parent_id", _as_job_id(F.col("entry")).alias("child_id")).where(F.col("child_id").isNotNull())
@@ -106,12 +108,12 @@ def dependency_closure(jobs: DataFrame, root: int, hops_per_round: int = 4) -> D
 
 def callback_apply(log: DataFrame, callbacks: DataFrame, handle_time) -> DataFrame:
     """Runs after applying the accepted callbacks: result, time, and the message appended and cut."""
-    new = accepted_callbacks(log, callbacks).select(F.col("log_id").alias("id"), F.col("code").alias("_code"), F.col("msg").alias("_msg"))
+    new = _first_callbacks(callbacks).select(F.col("log_id").alias("id"), F.col("code").alias("_code"), F.col("msg").alias("_msg"))
     text = F.concat(F.coalesce(F.concat("handle_msg", F.lit("<br>")), F.lit("")), F.coalesce("_msg", F.lit("")))
-    changed = F.col("_code").isNotNull()
+    changed = F.col("_code").isNotNull() & (F.col("handle_code") <= NOT_REPORTED)
     state = {
         "handle_time": F.when(changed, handle_time).otherwise(F.col("handle_time")),
-        "handle_code": F.coalesce("_code", "handle_code"),
+        "handle_code": F.when(changed, F.col("_code")).otherwise(F.col("handle_code")),
         "handle_msg": F.when(changed, F.substring(text, 1, HANDLE_MSG_LIMIT)).otherwise(F.col("handle_msg")),
     }
     return log.join(new, "id", "left").select(*[state[c].alias(c) if c in state else F.col(c) for c in log.columns])

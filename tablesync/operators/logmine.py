@@ -75,17 +75,19 @@ def _epoch(line: Column) -> Column:
 
 def _spans(lines: DataFrame, mark: str, task: str, begin: str, done: str, now, extra: dict[str, Column]) -> DataFrame:
     """Begin and end of each task; its last begin counts, and ends only after that."""
-    line = F.trim("line")
-    marked = lines.where(F.instr("line", mark) > 0).select("log_id", "line_no", line.alias("line"))
-    marked = marked.where(F.instr("line", mark) > 1).select(
-        "log_id", "line_no", F.regexp_extract("line", task, 0).alias("task"), F.col("line").rlike(begin).alias("begins"),
-        F.col("line").rlike(done).alias("ends"), _epoch(F.col("line")).alias("at"), *[c.alias(n) for n, c in extra.items()],
-    ).where("task <> '' AND (begins OR ends)")
+    text = F.trim("line")
+    begins, ends = F.col("line").rlike(begin), F.col("line").rlike(done)
+    # Rows that are neither stay until the grouping: a filter on the patterns would run them twice.
+    marked = lines.where(F.instr(text, mark) > 1).select("log_id", "line_no", text.alias("line")).select(
+        "log_id", "line_no", F.regexp_extract("line", task, 0).alias("task"),
+        F.when(begins, "b").when(ends, "e").alias("kind"), _epoch(F.col("line")).alias("at"),
+        *[F.when(begins, c).alias(n) for n, c in extra.items()],
+    )
     start = F.struct("line_no", "at", *extra)
     per = marked.groupBy("log_id", "task").agg(
-        F.max(F.when(F.col("begins"), start)).alias("b"),
-        F.max(F.when(~F.col("begins"), F.struct("line_no", "at"))).alias("e"),
-    ).where("b IS NOT NULL")
+        F.max(F.when(F.col("kind") == "b", start)).alias("b"),
+        F.max(F.when(F.col("kind") == "e", F.struct("line_no", "at"))).alias("e"),
+    ).where("b IS NOT NULL AND task <> ''")
     finished = F.coalesce(F.col("e.line_no") > F.col("b.line_no"), F.lit(False))
     return per.select(
         "log_id", "task", F.when(finished, "D").otherwise("R").alias("stat"), F.col("b.at").alias("wake"),
@@ -129,7 +131,11 @@ def _summary(spans: DataFrame) -> DataFrame:
 
 
 def task_profile(spans: DataFrame) -> DataFrame:
-    """Cost of each task, its share of the wall time in percent, and its tilt (cost over mean cost)."""
+    """Cost of each task, its share of the wall time in percent, and its tilt (cost over mean cost).
+
+    ``spans`` is read twice, for the sums per log and for the rows; materialise it first where
+    it is derived from log text.
+    """
     sums = _summary(spans).select("log_id", "wall_s", "_index")
     cost = F.col("done") - F.col("wake")
     return spans.join(sums, "log_id").select(

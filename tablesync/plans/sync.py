@@ -10,10 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.operators.common import upsert
 from tablesync.operators.mapping import MAX_DIRTY_RATIO, MAX_DIRTY_RECORDS, check_error_limit, filter_where, flag_dirty, map_columns
-from tablesync.session import scratch_path
-from tablesync.sinks.publish import DIRTY, mark, next_version, publish, read_current, total_bytes, version_path
+from tablesync.sinks.publish import (
+    DIRTY, mark, needs_compaction, next_version, publish, read_current, read_merged, total_bytes, version_path,
+)
 
 
 MODES = ("overwrite", "append", "upsert")
@@ -32,7 +32,8 @@ class SyncSpec:
     mode: str = "overwrite"
     upsert_keys: Sequence[str] = ()
     upsert_order: Sequence[str] = ()
-    """Newest first by these columns when the batch repeats a key."""
+    """Newest first by these columns when a batch repeats a key."""
+    compact_ratio: float = 0.5
     max_dirty_records: int | None = MAX_DIRTY_RECORDS
     max_dirty_ratio: float | None = MAX_DIRTY_RATIO
 
@@ -69,35 +70,34 @@ def run_sync(spark: SparkSession, spec: SyncSpec) -> SyncResult:
     The source is read once: good and dirty rows go to two partitions of a new, still invisible
     version. Counts come from its committed files, not from task-side counters, so a task
     repeated after the loss of an executor is not counted twice. Beyond the error limit the
-    version stays invisible. An upsert merges the written batch into the state before it.
+    version stays invisible. An upsert costs its batch: the version becomes a delta that readers
+    merge by key, until the deltas outgrow ``compact_ratio`` of the table and are merged into it.
     """
     if spec.mode not in MODES:
         raise ValueError(f"unknown mode {spec.mode!r}; one of {', '.join(MODES)}")
     started = time.monotonic()
-    merging = spec.mode == "upsert"
     version = next_version(spark, spec.target)
-    path = scratch_path(spark, "batch") if merging else version_path(spec.target, version)
+    path = version_path(spec.target, version)
     flagged = prepare(spark, spec).withColumn("dirty", F.col("dirty_reason").isNotNull())
     flagged.write.partitionBy("dirty").parquet(path)
     written = spark.read.schema(flagged.schema).parquet(path)
     counts = {r["dirty"]: r["count"] for r in written.groupBy("dirty").count().collect()}  # two rows at most
     good, dirty = counts.get(False, 0), counts.get(True, 0)
     check_error_limit(good + dirty, dirty, spec.max_dirty_records, spec.max_dirty_ratio)
-    if merging:
-        batch = written.where(~F.col("dirty")).select(*spec.writer_columns)
-        before = read_current(spark, spec.target)
-        order = [F.col(c).desc() for c in (spec.upsert_order or spec.writer_columns)]
-        base = batch.limit(0) if before is None else before.select(*spec.writer_columns)
-        version = publish(upsert(base, batch, list(spec.upsert_keys), order), spec.target)
-    else:
-        mark(spark, spec.target, version, delta=spec.mode == "append")
+    mark(spark, spec.target, version, delta=spec.mode != "overwrite")
+    if spec.mode == "upsert" and needs_compaction(spark, spec.target, spec.compact_ratio):
+        publish(target_rows(spark, spec), spec.target)
     elapsed = time.monotonic() - started
     return SyncResult(spec.target, version, good + dirty, good, dirty, elapsed, total_bytes(spark, path), f"{path}/{DIRTY}")
 
 
 def target_rows(spark: SparkSession, spec: SyncSpec) -> DataFrame:
     """The target's rows after its runs so far."""
-    rows = read_current(spark, spec.target)
+    if spec.mode == "upsert":
+        order = list(spec.upsert_order or spec.writer_columns)
+        rows = read_merged(spark, spec.target, list(spec.writer_columns), list(spec.upsert_keys), order)
+    else:
+        rows = read_current(spark, spec.target)
     if rows is None:
         return prepare(spark, spec).select(*spec.writer_columns).limit(0)
     return rows.select(*spec.writer_columns)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablesync.operators import logmine
 from tablesync.queries.registry import NOW, query
+from tablesync.session import materialise
 
 _VALUE = "trim(substring(line, instr(line, ':') + 1))"
 
@@ -61,7 +62,7 @@ def write_task_spans(t):
 SELECT s.*, done - wake AS cost, round(100 * (done - wake) / wall_s, 4) AS share_pct,
   round((done - wake) * (tasks / coalesce(nullif(total_s, 0), wall_s)), 4) AS tilt FROM spans s JOIN sums USING (log_id)""", "task_log")
 def task_profile(t):
-    rows = logmine.task_profile(logmine.read_task_spans(t.task_log, NOW))
+    rows = logmine.task_profile(materialise(logmine.read_task_spans(t.task_log, NOW), "spans"))
     return rows.withColumns({c: F.round(c, 4) for c in ("share_pct", "tilt")})
 
 

@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "tablesync") -> SparkSession
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

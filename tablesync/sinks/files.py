@@ -50,11 +50,11 @@ def write_files(
 def write_partition_dir(df: DataFrame, path: str, *fields: str) -> str:
     """Write into ``path/field=value``; a rerun replaces only the partitions it writes.
 
-    Rows are clustered by partition and a bounded number of tasks before the write, so a day
-    does not end up as one small file per task, and a day holding most rows is still spread.
+    The rebalance hint clusters rows by partition, so a day is not one small file per task, and
+    splits a day that holds most of the rows by size.
     """
-    spread = df.repartition(*[F.col(f) for f in fields], F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*fields).parquet(path)
+    clustered = df.hint("rebalance", *fields)
+    clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*fields).parquet(path)
     return path
 
 

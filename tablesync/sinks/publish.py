@@ -5,7 +5,12 @@ Readers follow marked directories only, so a failed or refused run leaves the ta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablesync.operators.common import newest_per_key, upsert
 
 FULL, DELTA = "_FULL", "_DELTA"
 GOOD, DIRTY = "dirty=false", "dirty=true"
@@ -55,25 +60,51 @@ def mark(spark: SparkSession, root: str, version: int, delta: bool = False) -> N
     fs.create(p, False).close()
 
 
-def current_paths(spark: SparkSession, root: str) -> list[str]:
-    """Good-row directories that make up the table now: the newest full version and the deltas after it."""
-    paths: list[str] = []
+def current_parts(spark: SparkSession, root: str) -> tuple[str | None, list[str]]:
+    """Directories of good rows that make up the table now: the newest full version, and the deltas after it."""
+    deltas: list[str] = []
     for version in reversed(versions(spark, root)):
         base = version_path(root, version)
         full = path_exists(spark, f"{base}/{FULL}")
-        if full or path_exists(spark, f"{base}/{DELTA}"):
-            paths += [f"{base}/{GOOD}"] if path_exists(spark, f"{base}/{GOOD}") else []
-        if full:
+        if (full or path_exists(spark, f"{base}/{DELTA}")) and path_exists(spark, f"{base}/{GOOD}"):
+            if full:
+                return f"{base}/{GOOD}", deltas[::-1]
+            deltas.append(f"{base}/{GOOD}")
+        elif full:
             break
-    return paths
+    return None, deltas[::-1]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The table's rows, or ``None`` while it has none."""
-    paths = current_paths(spark, root)
+    """The rows of a table that only grows or is replaced; ``None`` while it has none."""
+    full, deltas = current_parts(spark, root)
+    paths = ([full] if full else []) + deltas
     return spark.read.parquet(*paths) if paths else None
 
 
+def read_merged(spark: SparkSession, root: str, columns: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """The rows of a table whose deltas replace by key: the newest delta wins, then ``order`` descending.
+
+    The full version is only filtered by the keys of the deltas. While these are few, that is a
+    broadcast and the full version is not shuffled.
+    """
+    full, deltas = current_parts(spark, root)
+    base = spark.read.parquet(full).select(*columns) if full else None
+    if not deltas:
+        return base
+    version = F.regexp_extract("_metadata.file_path", "/v=([0-9]+)/", 1).alias("_version")
+    changes = spark.read.parquet(*deltas).select(*columns, version)
+    newest = newest_per_key(changes, keys, [F.col(c).desc() for c in ("_version", *order)]).drop("_version")
+    return newest if base is None else upsert(base, newest, keys)
+
+
+def needs_compaction(spark: SparkSession, root: str, ratio: float) -> bool:
+    """Whether the later deltas have grown beyond ``ratio`` of the full version, or else of the first delta."""
+    full, deltas = current_parts(spark, root)
+    sizes = [total_bytes(spark, p) for p in ([full] if full else []) + deltas]
+    return sum(sizes[1:]) > ratio * sum(sizes[:1])
+
+
 def publish(df: DataFrame, root: str, delta: bool = False) -> int:
     """Write ``df`` as the next version of the table at ``root``."""
     spark = df.sparkSession
