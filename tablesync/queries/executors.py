@@ -40,13 +40,13 @@ def registry_page(t):
 
 
 @query("resource_trend", """SELECT registry_value, time_bucket(INTERVAL 5 MINUTE, update_time) AS bucket_start, count(*) AS samples,
-  round(avg(cpu_usage), 4) AS avg_cpu_usage, max(cpu_usage) AS max_cpu_usage,
-  round(avg(memory_usage), 4) AS avg_memory_usage, max(memory_usage) AS max_memory_usage,
-  round(avg(load_average), 4) AS avg_load_average, max(load_average) AS max_load_average
+  round(avg(cpu_usage), 9) AS avg_cpu_usage, max(cpu_usage) AS max_cpu_usage,
+  round(avg(memory_usage), 9) AS avg_memory_usage, max(memory_usage) AS max_memory_usage,
+  round(avg(load_average), 9) AS avg_load_average, max(load_average) AS max_load_average
 FROM job_registry GROUP BY 1, 2""", "job_registry")
 def resource_trend(t):
     rows = reg.resource_trend(t.job_registry)
-    return rows.select(*[F.round(c, 4).alias(c) if c.startswith("avg_") else F.col(c) for c in rows.columns])
+    return rows.select(*[F.round(c, 9).alias(c) if c.startswith("avg_") else F.col(c) for c in rows.columns])
 
 
 @query("resource_flags", f"""SELECT registry_key, registry_value, memory_usage, load_average FROM ({_LATEST})

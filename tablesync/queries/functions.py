@@ -17,12 +17,25 @@ def sources_by_type(t):
     return sources.sources_by_type(t.job_datasource)
 
 
-@query("fn_encrypt", "SELECT id, jdbc_username AS restored, jdbc_username AS ensured FROM job_datasource", "job_datasource")
+@query("fn_encrypt", """SELECT id, jdbc_username AS restored, CASE WHEN jdbc_username IS NOT NULL THEN 24 END AS cipher_length
+  FROM job_datasource""", "job_datasource")
 def fn_encrypt(t):
-    """Encrypt, encrypt only if needed, and decrypt again."""
-    once = credentials.encrypt(F.col("jdbc_username"), "a seed")
-    ensured = credentials.ensure_encrypted(once, "a seed")
-    return t.job_datasource.select("id", credentials.decrypt(once, "a seed").alias("restored"), credentials.decrypt(ensured, "a seed").alias("ensured"))
+    """Encrypt and decrypt again."""
+    cipher = credentials.encrypt(F.col("jdbc_username"), "a seed")
+    return t.job_datasource.select("id", credentials.decrypt(cipher, "a seed").alias("restored"), F.length(cipher).alias("cipher_length"))
+
+
+@query("fn_ensure_encrypted", """SELECT id, jdbc_username AS restored, comments IS NOT NULL AS was_encrypted,
+  CASE WHEN jdbc_username IS NOT NULL THEN TRUE END AS encrypted_once FROM job_datasource""", "job_datasource")
+def fn_ensure_encrypted(t):
+    """Some stored names are encrypted already; afterwards all are, each once."""
+    cipher = credentials.encrypt(F.col("jdbc_username"), "a seed")
+    stored = F.when(F.col("comments").isNotNull(), cipher).otherwise(F.col("jdbc_username"))
+    rows = t.job_datasource.select("id", "comments", cipher.alias("cipher"), credentials.ensure_encrypted(stored, "a seed").alias("ensured"))
+    return rows.select(
+        "id", credentials.decrypt(F.col("ensured"), "a seed").alias("restored"), F.col("comments").isNotNull().alias("was_encrypted"),
+        (F.col("ensured") == F.col("cipher")).alias("encrypted_once"),
+    )
 
 
 @query("fn_mask_json_credentials", """SELECT id, json_extract_string(job_json, '$.job.content[0].reader.parameter.username') AS username,

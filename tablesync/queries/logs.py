@@ -59,19 +59,19 @@ def write_task_spans(t):
 
 
 @query("task_profile", f"""WITH spans AS ({_READ}), sums AS ({_SUMS})
-SELECT s.*, done - wake AS cost, round(100 * (done - wake) / wall_s, 4) AS share_pct,
-  round((done - wake) * (tasks / coalesce(nullif(total_s, 0), wall_s)), 4) AS tilt FROM spans s JOIN sums USING (log_id)""", "task_log")
+SELECT s.*, done - wake AS cost, round(100 * (done - wake) / wall_s, 8) AS share_pct,
+  round((done - wake) * (tasks / coalesce(nullif(total_s, 0), wall_s)), 8) AS tilt FROM spans s JOIN sums USING (log_id)""", "task_log")
 def task_profile(t):
     rows = logmine.task_profile(materialise(logmine.read_task_spans(t.task_log, NOW), "spans"))
-    return rows.withColumns({c: F.round(c, 4) for c in ("share_pct", "tilt")})
+    return rows.withColumns({c: F.round(c, 8) for c in ("share_pct", "tilt")})
 
 
 @query("profile_summary", f"""WITH spans AS ({_READ}), sums AS ({_SUMS})
-SELECT log_id, tasks, servers, total_s, round(total_s / tasks, 4) AS mean_s, wall_s, round(total_s / wall_s, 4) AS concurrency,
-  round(max_cost * (tasks / coalesce(nullif(total_s, 0), wall_s)), 4) AS max_tilt FROM sums WHERE tasks > 0""", "task_log")
+SELECT log_id, tasks, servers, total_s, round(total_s / tasks, 8) AS mean_s, wall_s, round(total_s / wall_s, 8) AS concurrency,
+  round(max_cost * (tasks / coalesce(nullif(total_s, 0), wall_s)), 8) AS max_tilt FROM sums WHERE tasks > 0""", "task_log")
 def profile_summary(t):
     rows = logmine.profile_summary(logmine.read_task_spans(t.task_log, NOW))
-    return rows.withColumns({c: F.round(c, 4) for c in ("mean_s", "concurrency", "max_tilt")})
+    return rows.withColumns({c: F.round(c, 8) for c in ("mean_s", "concurrency", "max_tilt")})
 
 
 @query("log_tail", "SELECT log_id, line_no, line FROM run_log_lines WHERE line_no >= 4", "run_log_lines")

@@ -1,5 +1,6 @@
 """Registered sinks, mappings, quality gates and whole syncs."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tablesync.operators import mapping
@@ -9,6 +10,7 @@ from tablesync.queries.registry import query
 from tablesync.session import scratch_path
 from tablesync.sinks import cells as cell_sink
 from tablesync.sinks.files import write_files, write_nowhere, write_partition_dir
+from tablesync.sinks.jdbc import run_catalog_statements, with_statements
 from tablesync.sources.files import read_delimited
 from tablesync.sources.tables import run_query
 
@@ -23,6 +25,35 @@ def sink_delimited(t):
     return read_delimited(t.spark, path, [{"index": i, "type": ty, "name": n} for i, (n, ty) in enumerate(declared)])
 
 
+@query("sink_pre_post_sql", """SELECT o_orderstatus, count(*) AS orders_n, round(sum(o_totalprice), 2) AS total
+FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")
+def sink_pre_post_sql(t):
+    """Statements before the load create the tables, those after it tidy up and take stock."""
+    root = scratch_path(t.spark, "statements")
+    name = root.rsplit("-", 1)[1]
+    target, audit = f"target_{name}", f"audit_{name}"
+    pre = f"""CREATE TABLE {target} (o_orderkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderpriority STRING)
+        USING parquet LOCATION '{root}/target';
+        CREATE TABLE {audit} (o_orderstatus STRING, orders_n BIGINT, total DOUBLE) USING parquet LOCATION '{root}/audit'"""
+    post = f"""INSERT INTO {audit} SELECT o_orderstatus, count(*), round(sum(o_totalprice), 2) FROM {target}
+        WHERE o_orderpriority <> '5-LOW' GROUP BY 1; DROP TABLE {target}; DROP TABLE {audit}"""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    with_statements(lambda statements: run_catalog_statements(t.spark, statements), pre, lambda: rows.write.insertInto(target), post)
+    return t.spark.read.schema("o_orderstatus string, orders_n bigint, total double").parquet(f"{root}/audit")
+
+
+@query("sink_non_conflict", "SELECT p_partkey, p_retailprice, TRUE AS second_refused FROM part")
+def sink_non_conflict(t):
+    path, rows = scratch_path(t.spark, "once"), t.part.select("p_partkey", "p_retailprice")
+    write_files(rows, path, "part", "orc", mode="nonConflict")
+    try:
+        write_files(rows, path, "part", "orc", mode="nonConflict")
+        refused = False
+    except AnalysisException:
+        refused = True
+    return t.spark.read.orc(f"{path}/part").withColumn("second_refused", F.lit(refused))
+
+
 @query("sink_append", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'""")
 def sink_append(t):
@@ -79,8 +110,8 @@ def sink_upsert(t):
     return upsert(target, batch, ["o_orderkey"], [F.col("o_totalprice").desc()])
 
 
-@query("sink_noop", "SELECT l_returnflag, count(*) AS rows_read FROM lineitem GROUP BY 1")
-def sink_noop(t):
+@query("sink_console_or_noop", "SELECT l_returnflag, count(*) AS rows_read FROM lineitem GROUP BY 1")
+def sink_console_or_noop(t):
     write_nowhere(t.lineitem)
     return t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows_read"))
 

@@ -12,7 +12,7 @@ from tablesync.sources.documents import parse_field
 
 # File types a writer may name, and its write modes.
 WRITABLE_TYPES = ("text", "orc")
-WRITE_MODES = {"append": "append", "nonConflict": "errorifexists", "truncate": "overwrite"}
+WRITE_MODES = {"append": "append", "nonConflict": "errorifexists"}
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 

@@ -26,11 +26,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def has_files(spark: SparkSession, path: str) -> bool:
-    fs, p = _filesystem(spark, path)
-    return fs.exists(p) and len(fs.listStatus(p)) > 0
-
-
 def total_bytes(spark: SparkSession, path: str) -> int:
     """Size of the files below ``path``."""
     fs, p = _filesystem(spark, path)

@@ -6,7 +6,7 @@ from tablesync.operators import retention, runs
 from tablesync.operators.common import newest_per_key
 from tablesync.queries import QUERIES
 
-RUNS_JOBS = {"dependency_closure", "batch_sync", "sync_counters", "sink_noop"}
+RUNS_JOBS = {"dependency_closure", "batch_sync", "sync_counters", "sink_console_or_noop"}
 
 
 def _plan(df):
