@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 APPROX_ERROR = 0.02
@@ -24,39 +24,38 @@ def describe_table(df: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
 
 
-def _all_set(columns: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in columns:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+def _unique(df: DataFrame, combos: Sequence[tuple[str, ...]], rows: int) -> dict[tuple[str, ...], bool]:
+    """Exact test of null-free column combinations for uniqueness, after a sketch has ruled out the hopeless ones."""
+    if not combos:
+        return {}
+    sketch = df.agg(
+        *[F.approx_count_distinct(F.struct(*c), APPROX_ERROR).alias(f"a{i}") for i, c in enumerate(combos)],
+    ).first()
+    limit = rows * (1 - 10 * APPROX_ERROR)
+    left = [c for i, c in enumerate(combos) if sketch[f"a{i}"] >= limit]
+    unique = dict.fromkeys(combos, False)
+    if left:
+        exact = df.agg(*[F.count_distinct(*c).alias(f"d{i}") for i, c in enumerate(left)]).first()
+        unique |= {c: exact[f"d{i}"] == rows for i, c in enumerate(left)}
+    return unique
 
 
 def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None, pairs: bool = False) -> DataFrame:
     """Which columns, and on request pairs, are unique and free of nulls.
 
-    Two passes. The first sketches distinct counts without a shuffle and rules out everything
-    whose estimate lies ten standard errors below the row count; only what is left is counted
-    exactly. Pairs that contain a single-column key are keys and need no count.
+    A sketch of the distinct counts, which needs no shuffle, rules out everything whose estimate
+    lies ten standard errors below the row count; only what is left is counted exactly. A pair
+    that contains a single-column key is a key if its other column has no nulls.
     """
     columns = list(columns or df.columns)
+    totals = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c_{c}") for c in columns]).first()
+    full = [c for c in columns if totals[f"c_{c}"] == totals["n"]]
+    found = _unique(df, [(c,) for c in full], totals["n"])
+    if pairs:
+        implied = {p: found[p[:1]] or found[p[1:]] for p in combinations(full, 2)}
+        found |= implied | _unique(df, [p for p, known in implied.items() if not known], totals["n"])
     combos = [(c,) for c in columns] + (list(combinations(columns, 2)) if pairs else [])
-    sketch = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.approx_count_distinct(F.struct(*c), APPROX_ERROR).alias(f"a{i}") for i, c in enumerate(combos)],
-        *[F.count_if(~_all_set(c)).alias(f"z{i}") for i, c in enumerate(combos)],
-    ).first()
-    limit = sketch["n"] * (1 - 10 * APPROX_ERROR)
-    left = [i for i in range(len(combos)) if sketch[f"z{i}"] == 0 and sketch[f"a{i}"] >= limit]
-    exact: dict[int, bool] = {}
-    for size in (1, 2):
-        implied = {i for i in left if any(exact.get(j) and set(combos[j]) < set(combos[i]) for j in exact)}
-        exact |= {i: True for i in implied}
-        todo = [i for i in left if len(combos[i]) == size and i not in implied]
-        if todo:
-            row = df.agg(*[F.count_distinct(*combos[i]).alias(f"d{i}") for i in todo]).first()
-            exact |= {i: row[f"d{i}"] == sketch["n"] for i in todo}
-    rows = [(",".join(c), bool(exact.get(i, False))) for i, c in enumerate(combos)]
-    return df.sparkSession.createDataFrame(rows, "columns string, is_key boolean")
+    return df.sparkSession.createDataFrame([(",".join(c), bool(found.get(c, False))) for c in combos], "columns string, is_key boolean")
 
 
 def key_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:

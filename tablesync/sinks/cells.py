@@ -41,15 +41,12 @@ def rows_to_cells(
 
     ``version`` is a fixed number, or the name of the column that holds it.
     """
-    key = row_key(df, layout)
     ver = F.col(version).cast("bigint") if isinstance(version, str) else F.lit(1 if version is None else version).cast("bigint")
-    cells = []
-    for index, column in columns:
-        family, qualifier = split_column(column)
-        cells.append(
-            F.struct(
-                key.alias("rowkey"), F.lit(family).alias("family"), F.lit(qualifier).alias("qualifier"),
-                ver.alias("ver"), F.col(df.columns[index - 1]).cast("string").alias("value"),
-            )
-        )
-    return null_cells(df.select(F.inline(F.array(*cells))), null_mode)
+    for _, column in columns:
+        split_column(column)
+    wide = df.select(
+        row_key(df, layout).alias("rowkey"), ver.alias("ver"), *[F.col(df.columns[i - 1]).cast("string").alias(c) for i, c in columns]
+    )
+    cells = wide.unpivot(["rowkey", "ver"], [f"`{c}`" for _, c in columns], "column", "value")
+    family, qualifier = F.substring_index("column", ":", 1), F.expr("substring(column, instr(column, ':') + 1)")
+    return null_cells(cells.select("rowkey", family.alias("family"), qualifier.alias("qualifier"), "ver", "value"), null_mode)

@@ -1,16 +1,12 @@
 """The given Parquet tables, and adapter views that give them the shape of the control tables.
 
 A view is one ``SELECT`` that reads the same in Spark SQL and in ANSI SQL; ``{name}``
-stands for another table or view. Where one pass over the source is possible in Spark
-but not in portable SQL (several rows out of one), a Spark builder is given as well.
+stands for another table or view.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -227,53 +223,6 @@ FROM {customer}""",
 }
 
 
-def _rows(df: DataFrame, *variants: DataFrame | object) -> DataFrame:
-    """Explode an array of structs: several rows out of each source row in one scan."""
-    return df.select(F.inline(F.filter(F.array(*variants), lambda v: v.isNotNull())))
-
-
-def _cells(t: "Tables") -> DataFrame:
-    key = F.col("c_custkey").cast("string")
-
-    def cell(qualifier, ver, value, when=None):
-        row = F.struct(
-            key.alias("rowkey"), F.lit("cf").alias("family"), F.lit(qualifier).alias("qualifier"),
-            F.lit(ver).alias("ver"), value.cast("string").alias("value"),
-        )
-        return row if when is None else F.when(when, row)
-
-    return _rows(
-        t.customer,
-        cell("name", 1, F.col("c_name")),
-        cell("nation", 1, F.col("c_nationkey")),
-        cell("nation", 2, F.col("c_nationkey") + 100, F.col("c_custkey") % 2 == 0),
-        cell("segment", 1, F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))),
-    )
-
-
-def _run_log_lines(t: "Tables") -> DataFrame:
-    eid = F.col("event_id")
-
-    def line(no, *parts):
-        return F.struct(eid.alias("log_id"), F.lit(no).alias("line_no"), F.concat(*parts).alias("line"))
-
-    text = eid.cast("string")
-    return _rows(
-        t.events,
-        line(1, F.lit("任务启动时刻                    : 2024-01-01 11:20:15")),
-        line(2, F.lit("任务总计耗时                    :                 "), (eid % 60 + 1).cast("string"), F.lit("s")),
-        line(3, F.lit("记录写入速度                    :              "), (eid % 7).cast("string"), F.lit("rec/s")),
-        line(4, F.lit("读出记录总数                    :                  "), text),
-        line(5, F.lit("读写失败总数                    :                   "), F.when(eid % 9 == 0, "n/a").otherwise("0")),
-    )
-
-
-SPARK_BUILDERS: dict[str, Callable[["Tables"], DataFrame]] = {
-    "cells": _cells,
-    "run_log_lines": _run_log_lines,
-}
-
-
 class Tables:
     """Lazy access by attribute: ``t.orders`` is a Parquet scan, ``t.job_log`` an adapter view.
 
@@ -298,8 +247,6 @@ class Tables:
                 return batch
             # A stream takes a directory or a pattern; the pattern matches the one name, file or directory.
             return self.spark.readStream.schema(batch.schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
-        if name in SPARK_BUILDERS:
-            return SPARK_BUILDERS[name](self)
         if name in VIEWS:
             return self.spark.sql(VIEWS[name], **{n: getattr(self, n) for n in _references(VIEWS[name])})
         raise AttributeError(name)
