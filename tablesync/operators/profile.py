@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 APPROX_ERROR = 0.02
-"""Relative standard error of the distinct counts that rule out key candidates."""
+"""Relative standard error, rounded up, of the sketches that rule out key candidates."""
 
 COLUMN_SCHEMA = "position int, name string, type string, nullable boolean, comment string, is_key boolean"
 
@@ -29,7 +29,7 @@ def _unique(df: DataFrame, combos: Sequence[tuple[str, ...]], rows: int) -> dict
     if not combos:
         return {}
     sketch = df.agg(
-        *[F.approx_count_distinct(F.struct(*c), APPROX_ERROR).alias(f"a{i}") for i, c in enumerate(combos)],
+        *[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*c))).alias(f"a{i}") for i, c in enumerate(combos)],
     ).first()
     limit = rows * (1 - 10 * APPROX_ERROR)
     left = [c for i, c in enumerate(combos) if sketch[f"a{i}"] >= limit]
