@@ -40,7 +40,8 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """The first ``n`` rows of each key in ``order``.
 
     Spark keeps at most ``n`` rows per key and task before the shuffle (window group
-    limit), so a hot key moves ``n`` rows per task rather than its whole group.
+    limit), so a hot key moves ``n`` rows per task rather than its whole group. That holds for
+    ``n`` below ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless set.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -132,24 +132,21 @@ def chart_info(report: DataFrame, now) -> DataFrame:
     counts = ["running_count", "suc_count", "fail_count"]
     lo, hi = ntz(now) - F.expr("INTERVAL '7' DAY"), ntz(now)
     rows = report.where(in_range("trigger_day", lo, hi)).select("trigger_day", *counts)
-    total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
-    zeros = day_spine(report.sparkSession, now, 7).where(total.select("n").scalar() == 0)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c.replace("count", "total")) for c in counts]
+    total = rows.agg(F.struct(F.count(F.lit(1)).alias("days"), *sums)).scalar()
+    zeros = day_spine(report.sparkSession, now, 7).where(total["days"] == 0)
     zeros = zeros.select("trigger_day", *[F.lit(0).cast("bigint").alias(c) for c in counts])
-    return rows.unionByName(zeros).select(
-        F.date_format("trigger_day", "yyyy-MM-dd").alias("trigger_day"), *counts,
-        *[total.select(c).scalar().cast("bigint").alias(c.replace("count", "total")) for c in counts],
-    )
+    shown = rows.unionByName(zeros).withColumn("_total", total)
+    return shown.select(F.date_format("trigger_day", "yyyy-MM-dd").alias("trigger_day"), *counts, "_total.*").drop("days")
 
 
 def dashboard_info(jobs: DataFrame, report: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: number of jobs, runs, successful runs, and distinct executor addresses."""
-    total = report_total(report)
-    runs = total.select(F.coalesce(F.col("running_count") + F.col("suc_count") + F.col("fail_count"), F.lit(0)))
+    runs = F.col("running_count") + F.col("suc_count") + F.col("fail_count")
+    total = report.agg(F.struct(F.coalesce(F.sum(runs), F.lit(0)).alias("runs"), F.coalesce(F.sum("suc_count"), F.lit(0)).alias("successes")))
     address = groups.select(F.explode(F.split("address_list", ",")).alias("address")).where("address <> ''")
-    return jobs.sparkSession.range(1).select(
-        jobs.agg(F.count(F.lit(1))).scalar().alias("job_info_count"),
-        runs.scalar().alias("job_log_count"),
-        total.select(F.coalesce("suc_count", F.lit(0))).scalar().alias("job_log_success_count"),
+    return jobs.agg(F.count(F.lit(1)).alias("job_info_count")).withColumn("_total", total.scalar()).select(
+        "job_info_count", F.col("_total.runs").alias("job_log_count"), F.col("_total.successes").alias("job_log_success_count"),
         address.agg(F.count_distinct("address")).scalar().alias("executor_count"),
     )
 

@@ -78,7 +78,7 @@ def duplicate_triggers(t):
 
 
 @query("job_validation", f"""
-SELECT id, concat_ws(',',
+SELECT * FROM (SELECT id, concat_ws(',',
   CASE WHEN glue_type = 'BEAN' AND length(trim(coalesce(job_json, ''))) <= 2 THEN 'job_json_missing' END,
   CASE WHEN trim(coalesce(job_desc, '')) = '' THEN 'description_missing' END,
   CASE WHEN coalesce(user_id, 0) = 0 THEN 'user_missing' END,
@@ -87,7 +87,6 @@ SELECT id, concat_ws(',',
   CASE WHEN glue_type NOT IN ('BEAN', 'GLUE_SHELL') THEN 'glue_type_unknown' END,
   CASE WHEN glue_type = 'BEAN' AND trim(coalesce(executor_handler, '')) = '' THEN 'handler_missing' END,
   CASE WHEN id IN (SELECT parent_id FROM ({_edges('job_form')}) WHERE NOT valid) THEN 'child_invalid' END) AS broken
-FROM job_form""", "job_form")
+FROM job_form) WHERE broken <> ''""", "job_form")
 def job_validation(t):
-    rules = deps.job_validation(t.job_form).select("id", F.array_join("broken_rules", ",").alias("broken"))
-    return t.job_form.select("id").join(rules, "id", "left").select("id", F.coalesce("broken", F.lit("")).alias("broken"))
+    return deps.job_validation(t.job_form).select("id", F.array_join("broken_rules", ",").alias("broken"))

@@ -43,16 +43,18 @@ def delete_ids(t):
     return retention.delete_ids(t.job_log, gone).select("id", "job_id", "handle_code")
 
 
-@query("cascade_delete", """
-SELECT 'job_info' AS table_name, id % 7 AS part, count(*) AS remaining FROM job_info WHERE id % 10 <> 0 GROUP BY 2
-UNION ALL SELECT 'job_log', id % 7, count(*) FROM job_log WHERE job_id % 10 <> 0 GROUP BY 2
-UNION ALL SELECT 'job_logglue', id % 7, count(*) FROM job_logglue WHERE job_id % 10 <> 0 GROUP BY 2""",
-       "job_info job_log job_logglue")
+_GONE = "job_group = 2"
+_LEFT = f"NOT IN (SELECT id FROM job_info WHERE {_GONE})"
+
+
+@query("cascade_delete", f"""
+SELECT 'job_info' AS table_name, count(*) AS remaining, CAST(sum(id) AS BIGINT) AS id_sum FROM job_info WHERE id {_LEFT}
+UNION ALL SELECT 'job_log', count(*), CAST(sum(id) AS BIGINT) FROM job_log WHERE job_id {_LEFT}
+UNION ALL SELECT 'job_logglue', count(*), CAST(sum(id) AS BIGINT) FROM job_logglue WHERE job_id {_LEFT}""", "job_info job_log job_logglue")
 def cascade_delete(t):
-    gone = t.job_info.where("id % 10 = 0")
-    kept = retention.cascade_delete(t.job_info, t.job_log, t.job_logglue, gone)
+    kept = retention.cascade_delete(t.job_info, t.job_log, t.job_logglue, t.job_info.where(_GONE))
     counts = [
-        df.groupBy(F.lit(name).alias("table_name"), (F.col("id") % 7).cast("bigint").alias("part")).agg(F.count(F.lit(1)).alias("remaining"))
+        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("remaining"), F.sum("id").alias("id_sum"))
         for name, df in zip(("job_info", "job_log", "job_logglue"), kept)
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -54,12 +54,14 @@ def read_table(
 ) -> DataFrame:
     """Columns of a table with an optional filter; a query, when given, replaces all three.
 
-    With a split key the scan runs as ``channels`` ranges between its smallest and largest
-    value, otherwise as one. Projection and filter are pushed into the database.
+    The filter is the database's own text and runs there, as does the projection. With a split
+    key the scan runs as ``channels`` ranges between its smallest and largest value, otherwise
+    as one.
     """
     if not blank(query_sql):
         return read_query(spark, conn, query_sql)
-    reader = spark.read.format("jdbc").options(**conn.as_options()).option("dbtable", table)
+    source = table if blank(where) else f"(SELECT * FROM {table} WHERE {where}) src"
+    reader = spark.read.format("jdbc").options(**conn.as_options()).option("dbtable", source)
     if not blank(split_pk):
         lo, hi = split_bounds(spark, conn, table, split_pk, where)
         if lo is not None and lo != hi:
@@ -67,8 +69,6 @@ def read_table(
                 partitionColumn=split_pk, lowerBound=str(lo), upperBound=str(hi), numPartitions=str(channels)
             )
     df = reader.load()
-    if not blank(where):
-        df = df.where(where)
     return df.select(*columns) if columns else df
 
 
@@ -80,7 +80,6 @@ def max_id(spark: SparkSession, conn: JdbcConnection, table: str, pk: str) -> in
 
 def with_split_slice(df: DataFrame, split_pk: str, channels: int = DEFAULT_CHANNELS, out: str = "slice") -> DataFrame:
     """Number of the equal-width key range each row falls into, as a split scan would cut them."""
-    bounds = df.agg(F.min(split_pk).alias("lo"), F.max(split_pk).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    width = F.ceil((hi - lo + 1) / channels)
-    return df.withColumn(out, F.floor((F.col(split_pk) - lo) / width).cast("int"))
+    bounds = df.agg(F.struct(F.min(split_pk).alias("lo"), F.max(split_pk).alias("hi"))).scalar()
+    width = F.ceil((F.col("_bounds.hi") - F.col("_bounds.lo") + 1) / channels)
+    return df.withColumn("_bounds", bounds).withColumn(out, F.floor((F.col(split_pk) - F.col("_bounds.lo")) / width).cast("int")).drop("_bounds")

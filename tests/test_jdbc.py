@@ -30,7 +30,13 @@ def test_columns_and_filter_reach_the_database(spark, conn, tables, rows):
     df = read_table(spark, conn, "ORDERS", ["O_KEY", "O_PRICE"], "O_STATUS = 'F' AND O_PRICE > 100000")
     want = tables.orders.where("o_orderstatus = 'F' AND o_totalprice > 100000").select("o_orderkey", "o_totalprice")
     assert rows(df) == rows(want)
-    assert "PushedFilters: [" in _plan(df) and "EqualTo(O_STATUS,F)" in _plan(df) or "*EqualTo(O_STATUS,F)" in _plan(df)
+    assert "WHERE O_STATUS = 'F' AND O_PRICE > 100000" in _plan(df) and "ReadSchema: struct<O_KEY:bigint,O_PRICE:double>" in _plan(df)
+    assert "*EqualTo(O_KEY,7)" in _plan(df.where("O_KEY = 7"))
+
+
+def test_filter_may_use_functions_of_the_database(spark, conn, tables):
+    df = read_table(spark, conn, "ORDERS", ["O_KEY"], "MOD(O_KEY, 2) = 0 AND {fn UCASE(O_STATUS)} = 'O'", split_pk="O_KEY")
+    assert df.count() == tables.orders.where("o_orderkey % 2 = 0 AND o_orderstatus = 'O'").count()
 
 
 def test_split_scan_reads_every_row_once(spark, conn, tables, rows):
