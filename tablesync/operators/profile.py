@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 APPROX_ERROR = 0.02
 """Relative standard error, rounded up, of the sketches that rule out key candidates."""
 
-COLUMN_SCHEMA = "position int, name string, type string, nullable boolean, comment string, is_key boolean"
+COLUMN_SCHEMA = "position int, name string, type string, nullable boolean, comment string, is_key boolean, spec string"
 
 
 def describe_table(df: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """One row per column of a table or query. Taken from the analysed schema; reads no data."""
+    """One row per column of a table or query, ``spec`` being its ``index:name:type``.
+
+    Taken from the analysed schema; reads no data.
+    """
     keys = set(keys)
     rows = [
-        (i, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), f.name in keys)
+        (i, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), f.name in keys,
+         f"{i}:{f.name}:{f.dataType.simpleString()}")
         for i, f in enumerate(df.schema.fields)
     ]
     return df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)

@@ -158,11 +158,11 @@ def fail_candidates(log: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def retry_candidates(log: DataFrame) -> DataFrame:
-    """The next attempt of each failed run that has retries left."""
+    """The next attempt of each failed run that has retries left: one less, same shard and parameters."""
     left = fail_candidates(log).where(F.col("executor_fail_retry_count") > 0)
     return left.select(
         F.col("id").alias("failed_log_id"), "job_id",
-        (F.col("executor_fail_retry_count") - 1).alias("executor_fail_retry_count"),
+        (F.col("executor_fail_retry_count") - 1).alias("executor_fail_retry_count"), "executor_sharding_param", "executor_param",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablesync.operators.mapping import MAX_DIRTY_RATIO, MAX_DIRTY_RECORDS, check_error_limit, filter_where, flag_dirty, map_columns
 from tablesync.sinks.publish import (
-    DIRTY, mark, needs_compaction, next_version, publish, read_current, read_merged, total_bytes, version_path,
+    mark, needs_compaction, next_version, publish, read_current, read_merged, total_bytes, version_path,
 )
 
 
@@ -47,7 +47,7 @@ class SyncResult:
     fail_count: int
     elapsed_s: float
     bytes_written: int
-    reject_path: str
+    path: str
 
     @property
     def records_per_s(self) -> float:
@@ -67,9 +67,9 @@ def prepare(spark: SparkSession, spec: SyncSpec) -> DataFrame:
 def run_sync(spark: SparkSession, spec: SyncSpec) -> SyncResult:
     """Write, check, publish.
 
-    The source is read once: good and dirty rows go to two partitions of a new, still invisible
-    version. Counts come from its committed files, not from task-side counters, so a task
-    repeated after the loss of an executor is not counted twice. Beyond the error limit the
+    The source is read once: good rows, and dirty ones with their reason, go to a new, still
+    invisible version. Counts come from its committed files, not from task-side counters, so a
+    task repeated after the loss of an executor is not counted twice. Beyond the error limit the
     version stays invisible. An upsert costs its batch: the version becomes a delta that readers
     merge by key, until the deltas outgrow ``compact_ratio`` of the table and are merged into it.
     """
@@ -78,17 +78,17 @@ def run_sync(spark: SparkSession, spec: SyncSpec) -> SyncResult:
     started = time.monotonic()
     version = next_version(spark, spec.target)
     path = version_path(spec.target, version)
-    flagged = prepare(spark, spec).withColumn("dirty", F.col("dirty_reason").isNotNull())
-    flagged.write.partitionBy("dirty").parquet(path)
+    flagged = prepare(spark, spec)
+    flagged.write.parquet(path)
     written = spark.read.schema(flagged.schema).parquet(path)
-    counts = {r["dirty"]: r["count"] for r in written.groupBy("dirty").count().collect()}  # two rows at most
-    good, dirty = counts.get(False, 0), counts.get(True, 0)
-    check_error_limit(good + dirty, dirty, spec.max_dirty_records, spec.max_dirty_ratio)
+    counts = written.agg(F.count(F.lit(1)).alias("read"), F.count("dirty_reason").alias("dirty")).first()
+    read, dirty = counts["read"], counts["dirty"]
+    check_error_limit(read, dirty, spec.max_dirty_records, spec.max_dirty_ratio)
     mark(spark, spec.target, version, delta=spec.mode != "overwrite")
     if spec.mode == "upsert" and needs_compaction(spark, spec.target, spec.compact_ratio):
         publish(target_rows(spark, spec), spec.target)
     elapsed = time.monotonic() - started
-    return SyncResult(spec.target, version, good + dirty, good, dirty, elapsed, total_bytes(spark, path), f"{path}/{DIRTY}")
+    return SyncResult(spec.target, version, read, read - dirty, dirty, elapsed, total_bytes(spark, path), path)
 
 
 def target_rows(spark: SparkSession, spec: SyncSpec) -> DataFrame:

@@ -17,7 +17,7 @@ _CUSTOMER = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int
 
 
 @query("describe_table", " UNION ALL ".join(
-    f"SELECT {i} AS position, '{n}' AS name, '{ty}' AS type, TRUE AS nullable, CAST(NULL AS VARCHAR) AS comment, {_key('customer', n)} AS is_key"
+    f"SELECT {i} AS position, '{n}' AS name, '{ty}' AS type, TRUE AS nullable, CAST(NULL AS VARCHAR) AS comment, {_key('customer', n)} AS is_key, '{i}:{n}:{ty}' AS spec"
     for i, (n, ty) in enumerate(_CUSTOMER)))
 def describe_table(t):
     return profile.describe_table(t.customer, profile.key_columns(t.customer))

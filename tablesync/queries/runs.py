@@ -115,7 +115,8 @@ def fail_candidates(t):
     return runs.fail_candidates(t.job_log).select(_LOG)
 
 
-@query("retry_candidates", f"""SELECT id AS failed_log_id, job_id, executor_fail_retry_count - 1 AS executor_fail_retry_count
+@query("retry_candidates", f"""SELECT id AS failed_log_id, job_id, executor_fail_retry_count - 1 AS executor_fail_retry_count,
+  executor_sharding_param, executor_param
 FROM job_log WHERE {_FAIL} AND executor_fail_retry_count > 0""", "job_log")
 def retry_candidates(t):
     return runs.retry_candidates(t.job_log)

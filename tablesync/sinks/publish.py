@@ -6,6 +6,7 @@ Readers follow marked directories only, so a failed or refused run leaves the ta
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from tablesync.operators.common import newest_per_key, upsert
 
 FULL, DELTA = "_FULL", "_DELTA"
-GOOD, DIRTY = "dirty=false", "dirty=true"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -56,25 +56,34 @@ def mark(spark: SparkSession, root: str, version: int, delta: bool = False) -> N
 
 
 def current_parts(spark: SparkSession, root: str) -> tuple[str | None, list[str]]:
-    """Directories of good rows that make up the table now: the newest full version, and the deltas after it."""
+    """Directories that make up the table now: the newest full version, and the deltas after it."""
     deltas: list[str] = []
     for version in reversed(versions(spark, root)):
         base = version_path(root, version)
-        full = path_exists(spark, f"{base}/{FULL}")
-        if (full or path_exists(spark, f"{base}/{DELTA}")) and path_exists(spark, f"{base}/{GOOD}"):
-            if full:
-                return f"{base}/{GOOD}", deltas[::-1]
-            deltas.append(f"{base}/{GOOD}")
-        elif full:
-            break
+        if path_exists(spark, f"{base}/{FULL}"):
+            return base, deltas[::-1]
+        if path_exists(spark, f"{base}/{DELTA}"):
+            deltas.append(base)
     return None, deltas[::-1]
 
 
+def good_rows(df: DataFrame) -> DataFrame:
+    """Rows of a written version without the rejected ones, which stay in the same files with their reason."""
+    if "dirty_reason" not in df.columns:
+        return df
+    return df.where(F.col("dirty_reason").isNull()).drop("dirty_reason", "dirty_record")
+
+
+def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected rows of a written version: the reason, and the row as it was read."""
+    return spark.read.parquet(path).where(F.col("dirty_reason").isNotNull()).select("dirty_reason", "dirty_record")
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The rows of a table that only grows or is replaced; ``None`` while it has none."""
+    """The rows of a table that only grows or is replaced; ``None`` before its first version."""
     full, deltas = current_parts(spark, root)
-    paths = ([full] if full else []) + deltas
-    return spark.read.parquet(*paths) if paths else None
+    parts = [good_rows(spark.read.parquet(*paths)) for paths in ([full] if full else [], deltas) if paths]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def read_merged(spark: SparkSession, root: str, columns: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
@@ -84,11 +93,11 @@ def read_merged(spark: SparkSession, root: str, columns: Sequence[str], keys: Se
     broadcast and the full version is not shuffled.
     """
     full, deltas = current_parts(spark, root)
-    base = spark.read.parquet(full).select(*columns) if full else None
+    base = good_rows(spark.read.parquet(full)).select(*columns) if full else None
     if not deltas:
         return base
-    version = F.regexp_extract("_metadata.file_path", "/v=([0-9]+)/", 1).alias("_version")
-    changes = spark.read.parquet(*deltas).select(*columns, version)
+    version = F.regexp_extract("_metadata.file_path", "/v=([0-9]+)/", 1)
+    changes = good_rows(spark.read.parquet(*deltas).withColumn("_version", version)).select(*columns, "_version")
     newest = newest_per_key(changes, keys, [F.col(c).desc() for c in ("_version", *order)]).drop("_version")
     return newest if base is None else upsert(base, newest, keys)
 
@@ -104,6 +113,6 @@ def publish(df: DataFrame, root: str, delta: bool = False) -> int:
     """Write ``df`` as the next version of the table at ``root``."""
     spark = df.sparkSession
     version = next_version(spark, root)
-    df.write.parquet(f"{version_path(root, version)}/{GOOD}")
+    df.write.parquet(version_path(root, version))
     mark(spark, root, version, delta)
     return version

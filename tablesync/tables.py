@@ -18,7 +18,9 @@ VIEWS: dict[str, str] = {
 SELECT event_id AS id, CAST(user_id % 5 + 1 AS INT) AS job_group, CAST(user_id AS INT) AS job_id,
        concat('job-', CAST(user_id AS STRING)) AS job_desc,
        concat('10.0.0.', CAST(user_id % 8 AS STRING), ':9999') AS executor_address,
-       CAST(event_id % 3 AS INT) AS executor_fail_retry_count, ts AS trigger_time,
+       CAST(event_id % 3 AS INT) AS executor_fail_retry_count,
+       concat('-Dbatch=', CAST(event_id % 11 AS STRING)) AS executor_param,
+       CASE WHEN user_id % 3 = 0 THEN concat(CAST(event_id % 4 AS STRING), '/4') END AS executor_sharding_param, ts AS trigger_time,
        CASE WHEN event_type = 'error' OR (event_type = 'view' AND event_id % 10 = 1) THEN 500
             WHEN event_type = 'click' AND event_id % 10 = 0 THEN 0 ELSE 200 END AS trigger_code,
        CASE WHEN event_type IN ('click', 'error') THEN NULL

@@ -73,7 +73,7 @@ def test_over_the_limit_nothing_is_published(spark):
     done = run_sync(spark, replace(spec, max_dirty_records=2, max_dirty_ratio=0.5))
     assert (done.read_count, done.write_count, done.fail_count) == (4, 2, 2)
     assert target_rows(spark, spec).count() == 2
-    assert spark.read.parquet(done.reject_path).count() == 2
+    assert pub.rejected_rows(spark, done.path).count() == 2
     counters = sync_counters(spark, [done]).collect()[0]
     assert counters.read_count == 4 and counters.records_per_s > 0 and counters.bytes_per_s > 0
 
