@@ -23,8 +23,8 @@ BUCKET_BITS = 20
 
 def time_window(df: DataFrame, column: str, start, trigger_time) -> DataFrame:
     """Rows in ``[start, trigger_time)``, the trigger time cut to the second."""
-    end = F.date_trunc("second", ntz(trigger_time)).cast("timestamp_ntz")
-    return df.where(in_range(column, ntz(start), end, inclusive_end=False))
+    end = str(trigger_time).split(".")[0]
+    return df.where(in_range(column, ntz(start), ntz(end), inclusive_end=False))
 
 
 def id_window(df: DataFrame, column: str, start_id: int, end_id: int) -> DataFrame:
@@ -43,7 +43,7 @@ def format_bound(ts: Column, fmt: str | None = None) -> Column:
     if fmt not in TIME_FORMATS:
         raise ValueError(f"unknown time format {fmt!r}; one of {', '.join(TIME_FORMATS)}")
     if fmt == EPOCH_SECONDS:
-        return F.timestamp_diff("SECOND", ntz("1970-01-01 00:00:00"), F.date_trunc("second", ts).cast("timestamp_ntz")).cast("string")
+        return F.timestamp_diff("SECOND", ntz("1970-01-01 00:00:00"), ts).cast("string")
     return F.date_format(ts, fmt)
 
 

@@ -17,7 +17,7 @@ METRICS = ("cpu_usage", "memory_usage", "load_average")
 def registry_latest(heartbeats: DataFrame) -> DataFrame:
     """Newest heartbeat per group, key and value; reduced inside each task before the shuffle."""
     keys = ["registry_group", "registry_key", "registry_value"]
-    newest = F.max_by(F.struct(*METRICS, "update_time", "id"), F.struct("update_time", "id"))
+    newest = F.max(F.struct("update_time", "id", *METRICS))  # ordered by its first fields, which are unique
     return heartbeats.groupBy(*keys).agg(newest.alias("_n")).select(*keys, "_n.*")
 
 

@@ -39,9 +39,11 @@ def clear_keep_newest(log: DataFrame, keep: int, job_group: int = 0, job_id: int
     """Ids outside the newest ``keep`` runs of the scope.
 
     The newest rows are a top-k; its last row is the cutoff, one value that the scan
-    compares with, so the run log itself is neither sorted nor joined.
+    compares with, so the run log itself is neither sorted nor joined. Keeping none lists all.
     """
     scope = _scope(log, job_group, job_id)
+    if keep <= 0:
+        return page(scope.select("id"), [F.col("id")], size=limit)
     age = F.struct("trigger_time", "id")
     kept = scope.orderBy(F.col("trigger_time").desc(), F.col("id").desc()).limit(keep)
     cutoff = kept.agg(F.min(age)).scalar()

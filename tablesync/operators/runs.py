@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.operators.common import in_range, newest_per_key, ntz, page, upsert
+from tablesync.operators.common import in_range, ntz, page, upsert
 
 # Result codes and alarm states of a run.
 SUCCESS, FAILED, TIMED_OUT, NOT_REPORTED = 200, 500, 502, 0
@@ -151,15 +151,19 @@ def dashboard_info(jobs: DataFrame, report: DataFrame, groups: DataFrame) -> Dat
     )
 
 
+def open_failures(log: DataFrame) -> DataFrame:
+    """Failed runs nobody has looked at."""
+    return log.where(~(is_unfinished() | is_success()) & (F.col("alarm_status") == ALARM_DEFAULT))
+
+
 def fail_candidates(log: DataFrame, limit: int | None = None) -> DataFrame:
-    """Failed runs nobody has looked at, oldest first."""
-    open_failures = log.where(~(is_unfinished() | is_success()) & (F.col("alarm_status") == ALARM_DEFAULT))
-    return page(open_failures, [F.col("id")], size=limit)
+    """The same, oldest first."""
+    return page(open_failures(log), [F.col("id")], size=limit)
 
 
 def retry_candidates(log: DataFrame) -> DataFrame:
     """The next attempt of each failed run that has retries left: one less, same shard and parameters."""
-    left = fail_candidates(log).where(F.col("executor_fail_retry_count") > 0)
+    left = open_failures(log).where(F.col("executor_fail_retry_count") > 0)
     return left.select(
         F.col("id").alias("failed_log_id"), "job_id",
         (F.col("executor_fail_retry_count") - 1).alias("executor_fail_retry_count"), "executor_sharding_param", "executor_param",
@@ -168,7 +172,7 @@ def retry_candidates(log: DataFrame) -> DataFrame:
 
 def _with_alarm_email(log: DataFrame, jobs: DataFrame, how: str) -> DataFrame:
     emails = jobs.select(F.col("id").alias("job_id"), "alarm_email")
-    return fail_candidates(log).join(emails, "job_id", how)
+    return open_failures(log).join(emails, "job_id", how)
 
 
 def alarm_status_next(log: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -194,13 +198,14 @@ def alarm_content(log: DataFrame) -> DataFrame:
         F.when((F.col("handle_code") > 0) & (F.col("handle_code") != SUCCESS),
                F.concat(F.lit("<br>HandleCode="), F.coalesce("handle_msg", F.lit("null")))).otherwise(""),
     )
-    return fail_candidates(log).select("id", text.alias("content"))
+    return open_failures(log).select("id", text.alias("content"))
 
 
 def job_last_status(log: DataFrame) -> DataFrame:
     """Last reported result of each job."""
     done = log.where(F.col("handle_time").isNotNull())
-    return done.groupBy("job_id").agg(F.max_by("handle_code", F.struct("handle_time", "id")).alias("last_handle_code"))
+    newest = F.max(F.struct("handle_time", "id", "handle_code"))  # ordered by its first fields, which are unique
+    return done.groupBy("job_id").agg(newest["handle_code"].alias("last_handle_code"))
 
 
 def run_duration(log: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -238,8 +243,3 @@ def log_lifecycle(events: DataFrame) -> DataFrame:
         last("event_time", "handle").alias("handle_time"),
         F.coalesce(last("code", "handle"), F.lit(NOT_REPORTED)).alias("handle_code"),
     )
-
-
-def latest_runs(log: DataFrame, n: int = 1) -> DataFrame:
-    """The newest ``n`` runs of every job."""
-    return newest_per_key(log, ["job_id"], [F.col("trigger_time").desc(), F.col("id").desc()], n)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesync.operators.common import ntz
 from tablesync.operators.registry import registry_latest
-from tablesync.operators.runs import ALARM_DEFAULT, is_success, is_unfinished
+from tablesync.operators.runs import is_success, is_unfinished, open_failures
 from tablesync.plans.sync import SyncSpec, run_sync
 from tablesync.sinks.publish import publish, read_current
 
@@ -49,8 +50,14 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _event_time(df: DataFrame, column: str) -> DataFrame:
-    """Watermarks need a zoned timestamp; the column is read as the session's local time."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
+    """Watermarks need an instant: the zone-free time is taken as UTC, whatever the session's zone."""
+    micros = F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col(column))
+    return df.withColumn(column, F.timestamp_micros(micros))
+
+
+def _zone_free(instant: Column) -> Column:
+    """Back from an instant to the zone-free time."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), ntz("1970-01-01 00:00:00"))
 
 
 def stream_daily_report(runs: DataFrame, path: str, checkpoint: str) -> None:
@@ -61,7 +68,7 @@ def stream_daily_report(runs: DataFrame, path: str, checkpoint: str) -> None:
         F.count("handle_code").alias("day_count"), tally(is_unfinished()).alias("running_count"), tally(is_success()).alias("suc_count")
     )
     report = per_day.select(
-        F.col("w.start").cast("timestamp_ntz").alias("trigger_day"), "running_count", "suc_count",
+        _zone_free(F.col("w.start")).cast("date").alias("trigger_day"), "running_count", "suc_count",
         (F.col("day_count") - F.col("running_count") - F.col("suc_count")).alias("fail_count"),
     )
     run_available(report, batch_writer(path), checkpoint, "update")
@@ -71,13 +78,13 @@ def read_daily_report(spark: SparkSession, path: str) -> DataFrame:
     """Newest state of every day."""
     counts = F.struct("batch", "running_count", "suc_count", "fail_count")
     newest = read_batches(spark, path).groupBy("trigger_day").agg(F.max(counts).alias("c"))
-    return newest.select(F.col("trigger_day").cast("date").alias("trigger_day"), "c.running_count", "c.suc_count", "c.fail_count")
+    return newest.select("trigger_day", "c.running_count", "c.suc_count", "c.fail_count")
 
 
 def stream_callback_dedup(callbacks: DataFrame, path: str, checkpoint: str, time: str = "arrived", lateness: str = "1 day") -> None:
     """Callbacks without repeats of a log id that arrive within ``lateness`` of each other."""
     first = _event_time(callbacks, time).withWatermark(time, lateness).dropDuplicatesWithinWatermark(["log_id"])
-    run_available(first, batch_writer(path), checkpoint)
+    run_available(first.withColumn(time, _zone_free(F.col(time))), batch_writer(path), checkpoint)
 
 
 def stream_registry_state(heartbeats: DataFrame, table: str, checkpoint: str) -> None:
@@ -93,10 +100,9 @@ def stream_registry_state(heartbeats: DataFrame, table: str, checkpoint: str) ->
 
 def stream_fail_alerts(runs: DataFrame, path: str, checkpoint: str, lateness: str = "1 day") -> None:
     """Failed runs as they arrive, once each, with the retries they have left."""
-    failed = runs.where(~(is_unfinished() | is_success()) & (F.col("alarm_status") == ALARM_DEFAULT))
-    timed = _event_time(failed.select("id", "job_id", "trigger_time", F.col("executor_fail_retry_count").alias("retries_left")), "trigger_time")
+    timed = _event_time(open_failures(runs).select("id", "job_id", "trigger_time", F.col("executor_fail_retry_count").alias("retries_left")), "trigger_time")
     once = timed.withWatermark("trigger_time", lateness).dropDuplicatesWithinWatermark(["id"])
-    run_available(once.withColumn("trigger_time", F.col("trigger_time").cast("timestamp_ntz")), batch_writer(path), checkpoint)
+    run_available(once.withColumn("trigger_time", _zone_free(F.col("trigger_time"))), batch_writer(path), checkpoint)
 
 
 def stream_sync(source: DataFrame, spec: SyncSpec, checkpoint: str) -> None:
