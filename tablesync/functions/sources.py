@@ -161,6 +161,6 @@ def sql_table(line: Column) -> Column:
     return F.lower(F.regexp_extract(line, SQL_TABLE, 1))
 
 
-def logged_host(line: Column) -> Column:
-    """Host of the JDBC URL in a log line, empty where there is none."""
-    return jdbc_host(F.regexp_extract(line, LOGGED_URL, 1))
+def logged_url(line: Column) -> Column:
+    """JDBC URL in a log line, empty where there is none."""
+    return F.regexp_extract(line, LOGGED_URL, 1)

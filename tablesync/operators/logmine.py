@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesync.functions.sources import logged_host, sql_table
+from tablesync.functions.sources import jdbc_host, logged_url, sql_table
 from tablesync.operators.common import ntz
 
 # Labels of the statistics lines, in the order they are tried.
@@ -98,14 +98,15 @@ def _spans(lines: DataFrame, mark: str, task: str, begin: str, done: str, now, e
 
 def read_task_spans(lines: DataFrame, now) -> DataFrame:
     """One row per read task: state R or D, begin, end (``now`` while running), host and table."""
-    extra = {"own_host": logged_host(F.col("line")), "path": sql_table(F.col("line"))}
+    extra = {"own_url": logged_url(F.col("line")), "path": sql_table(F.col("line"))}
     spans = _spans(lines, READ_MARK, READ_TASK, READ_BEGIN, READ_DONE, now, extra)
     # The statement breaks the line, so its connection is logged on the next one.
-    hosts = lines.where(F.contains("line", F.lit("jdbcUrl"))).select(
-        "log_id", (F.col("line_no") - 1).alias("begin_line"), logged_host(F.col("line")).alias("next_host")
+    urls = lines.where(F.contains("line", F.lit("jdbcUrl"))).select(
+        "log_id", (F.col("line_no") - 1).alias("begin_line"), logged_url(F.col("line")).alias("next_url")
     )
-    host = F.coalesce(F.nullif("next_host", F.lit("")), "own_host")
-    return spans.join(hosts, ["log_id", "begin_line"], "left").select("log_id", "task", "stat", "wake", "done", host.alias("host"), "path")
+    url = F.coalesce(F.nullif("next_url", F.lit("")), "own_url")
+    found = spans.join(urls, ["log_id", "begin_line"], "left").withColumn("url", url)
+    return found.select("log_id", "task", "stat", "wake", "done", jdbc_host(F.col("url")).alias("host"), "path")
 
 
 def write_task_spans(lines: DataFrame, now) -> DataFrame:
