@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablesync.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from tablesync.llm import chunks, decontaminate, exact_dedup, language, line_runs, packing, preferences, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,11 +37,40 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@registered("op3_chat_format", preferences.ORACLE)
+def op3_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    rows = preferences.preference_rows(turns, preferences.pairs_of_neighbours(turns))
+    return rows.withColumns({c: preferences.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 @registered("op4_simhash")
 def op4_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+@registered("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+@registered("op6_url_filter", url_filter.ORACLE)
+def op6_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@registered("op7_chunk_dedup")
+def op7_chunk_dedup(spark, sf_dir):
+    found = chunks.copied_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("from").alias("start"), (F.col("to") - F.col("from")).alias("length"), "words", F.col("first_id").alias("first_doc_id"))
+
+
+@registered("op8_line_runs", line_runs.ORACLE)
+def op8_line_runs(spark, sf_dir):
+    return line_runs.line_dedup(table(spark, sf_dir, "documents"))
+
+
 @registered("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
