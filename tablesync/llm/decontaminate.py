@@ -231,23 +231,24 @@ def with_spans(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: s
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block
         items = [(r.item, r.text) for r in asked.where(mine).toLocalIterator()]
-        found = append_columns(found, _searcher(found.columns, text_col, items, window), FOUND)
         if block:
-            found = found.toDF(*docs.columns, "n", "s", "i", *(f.name for f in FOUND)).drop("n", "s", "i")
+            found = found.withColumnsRenamed({f.name: f"{f.name}_before" for f in FOUND})
+        found = append_columns(found, _searcher(found.columns, text_col, items, window, block > 0), FOUND)
+        found = found.drop(*(f"{f.name}_before" for f in FOUND if block))
         if blocks > 1:
             found = materialise(found, "spans")
     return found
 
 
-def _searcher(columns: list[str], text_col: str, items: list, window: int):
-    at, last = columns.index(text_col), columns[-3:] if columns[-3:] == [f.name for f in FOUND] else None
+def _searcher(columns: list[str], text_col: str, items: list, window: int, again: bool):
+    at = columns.index(text_col)
 
     def make():
         phrases = Phrases(items, window)
 
         def of(batch):
             counts, spans, found = find_spans(batch.column(at).to_pylist(), phrases)
-            if last:
+            if again:
                 for k, (s, i) in enumerate(zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
                     spans[k] = merged(spans[k] + [(x["from"], x["to"]) for x in s])
                     found[k] = sorted({*found[k], *i})
