@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.operators.common import newest_per_key, upsert
 
-FULL, DELTA = "_FULL", "_DELTA"
+FULL, DELTA, NOTE = "_FULL", "_DELTA", "_NOTE"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -46,7 +47,53 @@ def version_path(root: str, version: int) -> str:
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    return max(versions(spark, root), default=0) + 1
+    """Claim the next free number. Two runs that ask at once get two numbers: creating the claim file fails for the second."""
+    version = max(versions(spark, root), default=0) + 1
+    while True:
+        fs, p = _filesystem(spark, f"{root}/_claims/{version:08d}")
+        try:
+            fs.create(p, False).close()
+            return version
+        except Py4JJavaError:
+            if not fs.exists(p):
+                raise
+            version += 1
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 1) -> None:
+    """Remove what the newest ``keep`` full versions have replaced. Readers that began on an older one must have ended.
+
+    Versions that are not marked stay: another run may be writing them.
+    """
+    known = versions(spark, root)
+    complete = [v for v in known if path_exists(spark, f"{version_path(root, v)}/{FULL}")]
+    for version in known if len(complete) >= keep else []:
+        base = version_path(root, version)
+        if version < complete[-keep] and (version in complete or path_exists(spark, f"{base}/{DELTA}")):
+            fs, p = _filesystem(spark, base)
+            fs.delete(p, True)
+
+
+def write_note(spark: SparkSession, root: str, version: int, text: str) -> None:
+    """Text that belongs to a version and is visible with it."""
+    fs, p = _filesystem(spark, f"{version_path(root, version)}/{NOTE}")
+    stream = fs.create(p, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def newest_note(spark: SparkSession, root: str) -> str | None:
+    """Note of the newest visible version that has one."""
+    for version in reversed(versions(spark, root)):
+        base = version_path(root, version)
+        if (path_exists(spark, f"{base}/{FULL}") or path_exists(spark, f"{base}/{DELTA}")) and path_exists(spark, f"{base}/{NOTE}"):
+            fs, p = _filesystem(spark, f"{base}/{NOTE}")
+            stream = fs.open(p)
+            try:
+                return bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+    return None
 
 
 def mark(spark: SparkSession, root: str, version: int, delta: bool = False) -> None:
@@ -102,17 +149,12 @@ def read_merged(spark: SparkSession, root: str, columns: Sequence[str], keys: Se
     return newest if base is None else upsert(base, newest, keys)
 
 
-def needs_compaction(spark: SparkSession, root: str, ratio: float) -> bool:
-    """Whether the later deltas have grown beyond ``ratio`` of the full version, or else of the first delta."""
-    full, deltas = current_parts(spark, root)
-    sizes = [total_bytes(spark, p) for p in ([full] if full else []) + deltas]
-    return sum(sizes[1:]) > ratio * sum(sizes[:1])
-
-
-def publish(df: DataFrame, root: str, delta: bool = False) -> int:
+def publish(df: DataFrame, root: str, delta: bool = False, note: str | None = None) -> int:
     """Write ``df`` as the next version of the table at ``root``."""
     spark = df.sparkSession
     version = next_version(spark, root)
     df.write.parquet(version_path(root, version))
+    if note is not None:
+        write_note(spark, root, version, note)
     mark(spark, root, version, delta)
     return version

@@ -13,15 +13,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.operators.common import ntz
+from tablesync.operators.common import newest_per_key
 from tablesync.operators.registry import registry_latest
 from tablesync.operators.runs import is_success, is_unfinished, open_failures
 from tablesync.plans.sync import SyncSpec, run_sync
-from tablesync.sinks.publish import publish, read_current
-
-REPORT_LATENESS = "3 days"
-"""Fixed value: how late a run may still change its day's report."""
-
+from tablesync.sinks.publish import expire_versions, path_exists, publish, read_current, rejected_rows
 
 def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
     """Files below ``path`` as a stream; ``max_files`` bounds a batch."""
@@ -49,42 +45,52 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _event_time(df: DataFrame, column: str) -> DataFrame:
-    """Watermarks need an instant: the zone-free time is taken as UTC, whatever the session's zone."""
-    micros = F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col(column))
-    return df.withColumn(column, F.timestamp_micros(micros))
+def batches_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
+    """What earlier batches wrote; the batch's own directory, there after a failure, is left out."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
+
+
+def _once(path: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
+    """Writes the rows whose key no earlier batch has, one of each key. What was seen is the published table itself, so a
+    row is recognised however late its repeat arrives, and is taken however late it arrives first."""
+    write = batch_writer(path)
+
+    def new(batch: DataFrame, batch_id: int) -> None:
+        schema = batch.select(*keys).schema.add("batch", "integer")
+        seen = batches_before(batch.sparkSession, path, batch_id, schema)
+        write(newest_per_key(batch, keys, order).join(seen.select(*keys), keys, "left_anti"), batch_id)
 
+    return new
 
-def _zone_free(instant: Column) -> Column:
-    """Back from an instant to the zone-free time."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), ntz("1970-01-01 00:00:00"))
+
+_REPORT = ["day_count", "running_count", "suc_count"]
 
 
 def stream_daily_report(runs: DataFrame, path: str, checkpoint: str) -> None:
-    """Counts per day, updated while late runs arrive. State holds one row per open day."""
+    """Counts per day of what each batch brings; a run changes its day's report however late it arrives. No state is held."""
     tally = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    timed = _event_time(runs.select("trigger_time", "trigger_code", "handle_code"), "trigger_time")
-    per_day = timed.withWatermark("trigger_time", REPORT_LATENESS).groupBy(F.window("trigger_time", "1 day").alias("w")).agg(
-        F.count("handle_code").alias("day_count"), tally(is_unfinished()).alias("running_count"), tally(is_success()).alias("suc_count")
-    )
-    report = per_day.select(
-        _zone_free(F.col("w.start")).cast("date").alias("trigger_day"), "running_count", "suc_count",
-        (F.col("day_count") - F.col("running_count") - F.col("suc_count")).alias("fail_count"),
-    )
-    run_available(report, batch_writer(path), checkpoint, "update")
+    write = batch_writer(path)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        per_day = batch.groupBy(F.col("trigger_time").cast("date").alias("trigger_day")).agg(
+            F.count("handle_code").alias("day_count"), tally(is_unfinished()).alias("running_count"), tally(is_success()).alias("suc_count")
+        )
+        write(per_day, batch_id)
+
+    run_available(runs.select("trigger_time", "trigger_code", "handle_code"), count, checkpoint)
 
 
 def read_daily_report(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state of every day."""
-    counts = F.struct("batch", "running_count", "suc_count", "fail_count")
-    newest = read_batches(spark, path).groupBy("trigger_day").agg(F.max(counts).alias("c"))
-    return newest.select("trigger_day", "c.running_count", "c.suc_count", "c.fail_count")
+    """The report of every day: the sums over all batches."""
+    total = read_batches(spark, path).groupBy("trigger_day").agg(*[F.sum(c).alias(c) for c in _REPORT])
+    return total.select("trigger_day", "running_count", "suc_count", (F.col("day_count") - F.col("running_count") - F.col("suc_count")).alias("fail_count"))
 
 
-def stream_callback_dedup(callbacks: DataFrame, path: str, checkpoint: str, time: str = "arrived", lateness: str = "1 day") -> None:
-    """Callbacks without repeats of a log id that arrive within ``lateness`` of each other."""
-    first = _event_time(callbacks, time).withWatermark(time, lateness).dropDuplicatesWithinWatermark(["log_id"])
-    run_available(first.withColumn(time, _zone_free(F.col(time))), batch_writer(path), checkpoint)
+def stream_callback_dedup(callbacks: DataFrame, path: str, checkpoint: str, time: str = "arrived") -> None:
+    """The first callback of each log id."""
+    run_available(callbacks, _once(path, ["log_id"], [F.col(time)]), checkpoint)
 
 
 def stream_registry_state(heartbeats: DataFrame, table: str, checkpoint: str) -> None:
@@ -94,26 +100,31 @@ def stream_registry_state(heartbeats: DataFrame, table: str, checkpoint: str) ->
         newest = registry_latest(batch)
         before = read_current(batch.sparkSession, table)
         publish(newest if before is None else registry_latest(before.unionByName(newest)), table)
+        expire_versions(batch.sparkSession, table, keep=2)
 
     run_available(heartbeats, merge, checkpoint)
 
 
-def stream_fail_alerts(runs: DataFrame, path: str, checkpoint: str, lateness: str = "1 day") -> None:
+def stream_fail_alerts(runs: DataFrame, path: str, checkpoint: str) -> None:
     """Failed runs as they arrive, once each, with the retries they have left."""
-    timed = _event_time(open_failures(runs).select("id", "job_id", "trigger_time", F.col("executor_fail_retry_count").alias("retries_left")), "trigger_time")
-    once = timed.withWatermark("trigger_time", lateness).dropDuplicatesWithinWatermark(["id"])
-    run_available(once.withColumn("trigger_time", _zone_free(F.col("trigger_time"))), batch_writer(path), checkpoint)
+    failed = open_failures(runs).select("id", "job_id", "trigger_time", F.col("executor_fail_retry_count").alias("retries_left"))
+    run_available(failed, _once(path, ["id"], [F.col("trigger_time")]), checkpoint)
 
 
-def stream_sync(source: DataFrame, spec: SyncSpec, checkpoint: str) -> None:
+def stream_sync(source: DataFrame, spec: SyncSpec, checkpoint: str, rejects: str | None = None) -> None:
     """A sync that follows its source: each batch passes mapping, casts and quality gate, then merges by key.
 
-    The checkpoint is the watermark of the job. A repeated batch merges to the same state.
+    The checkpoint is the watermark of the job. A repeated batch merges to the same state. With ``rejects`` dirty rows go there,
+    by batch, and the good ones pass; without it a batch beyond the error limit stops the stream until it is mended.
     """
     if spec.mode != "upsert":
         raise ValueError("a streaming sync merges by key; give upsert_keys and mode='upsert'")
 
-    def move(batch: DataFrame, _: int) -> None:
-        run_sync(batch.sparkSession, replace(spec, read=lambda spark: batch))
+    passing = spec if rejects is None else replace(spec, max_dirty_records=None, max_dirty_ratio=None)
+
+    def move(batch: DataFrame, batch_id: int) -> None:
+        result = run_sync(batch.sparkSession, replace(passing, read=lambda spark: batch))
+        if rejects is not None:
+            batch_writer(rejects)(rejected_rows(batch.sparkSession, result.path), batch_id)
 
     run_available(source, move, checkpoint)

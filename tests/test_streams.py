@@ -52,6 +52,28 @@ def test_registry_state_keeps_the_newest(spark, tables, feed, rows):
     assert rows(read_current(spark, table), *columns) == rows(registry.registry_latest(beats), *columns)
 
 
+def test_rows_weeks_late_are_neither_lost_nor_repeated(spark, tables, feed, rows):
+    out, alerts, checks = scratch_path(spark, "out"), scratch_path(spark, "alerts"), [scratch_path(spark, "cp") for _ in range(2)]
+    log = tables.job_log
+    for part in (log.where("trigger_time >= '2024-01-25'"), log.where("trigger_time < '2024-01-25'"), log.where("id % 3 = 0").limit(0)):
+        source = feed(part)
+        streams.stream_daily_report(source, out, checks[0])
+        streams.stream_fail_alerts(source, alerts, checks[1])
+    from tablesync.operators.runs import open_failures
+
+    assert rows(streams.read_daily_report(spark, out)) == rows(daily_report(log).select("trigger_day", "running_count", "suc_count", "fail_count"))
+    assert rows(streams.read_batches(spark, alerts), "id") == rows(open_failures(log), "id")
+
+
+def test_a_stream_with_rejects_goes_on(spark, feed, rows):
+    target, checkpoint, rejects = (scratch_path(spark, n) for n in ("sync", "cp", "rejects"))
+    spec = SyncSpec(lambda s: None, target, ["k", "v"], ["id", "amount"], types={"amount": "double"}, mode="upsert", upsert_keys=["id"])
+    streams.stream_sync(feed(spark.createDataFrame([(1, "1"), (2, "two")], "k int, v string")), spec, checkpoint, rejects)
+    streams.stream_sync(feed(spark.createDataFrame([(2, "20"), (3, "three")], "k int, v string")), spec, checkpoint, rejects)
+    assert rows(target_rows(spark, spec)) == [(1, 1.0), (2, 20.0)]
+    assert streams.read_batches(spark, rejects).count() == 2
+
+
 def test_alerts_once(spark, tables, feed):
     out, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "cp")
     for _ in range(2):
