@@ -152,8 +152,8 @@ def user_permissions(user_id: int, users, role_user, roles, permission_role, per
         .join(role_user, "job_user_id", "left")
         .join(roles.select(F.col("id").alias("job_role_id"), F.col("id").alias("role_id")), "job_role_id", "left")
         .join(permission_role, "role_id", "left")
-        .join(permissions.withColumnRenamed("id", "permission_id"), "permission_id", "left")
-        .select(F.when(F.col("name").isNotNull(), F.col("permission_id")).alias("id"), "name", "description", "url", "pid")
+        .join(permissions.withColumn("permission_id", F.col("id")), "permission_id", "left")
+        .select("id", "name", "description", "url", "pid")
     )
 
 
@@ -180,7 +180,9 @@ def generic_page(df: DataFrame, params: Mapping[str, object], like: Sequence[str
         order += [direction(snake_case(n.strip())) for n in names if not blank(n)]
     size = int(params.get("size") or 10)
     offset = (int(params.get("current") or 1) - 1) * size
-    return page(df, order, offset, size) if order else df.offset(offset).limit(size)
+    # The key comes last, or else all columns: without a total order pages would repeat and skip rows.
+    order += [F.col(c) for c in (["id"] if "id" in df.columns else df.columns)]
+    return page(df, order, offset, size)
 
 
 def group_in_use(groups: DataFrame, jobs: DataFrame) -> DataFrame:

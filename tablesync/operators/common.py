@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,8 +58,15 @@ def upsert(
     """
     if order:
         batch = newest_per_key(batch, keys, order)
-    kept = target.join(batch.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(batch)
+    asked = batch.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])  # null is a key like any other
+    return target.join(asked, same, "left_anti").unionByName(batch)
+
+
+def newest_first(time: str, key: str) -> Column:
+    """Order of a time and then a whole-number key as one fixed-width value, which hash aggregation can keep a maximum of."""
+    micros = F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col(time)).cast("decimal(18,0)")
+    return micros * F.lit("1" + 19 * "0").cast("decimal(20,0)") + F.col(key).cast("decimal(19,0)")
 
 
 def in_range(column: str, start=None, end=None, inclusive_end: bool = True) -> Column:

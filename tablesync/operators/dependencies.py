@@ -9,10 +9,6 @@ from tablesync.operators.common import newest_per_key
 from tablesync.operators.runs import NOT_REPORTED, SUCCESS, TIMED_OUT
 from tablesync.session import materialise, scratch_path
 
-# Size limits of stored messages, in characters.
-HANDLE_MSG_LIMIT = 15_000
-RUN_MSG_LIMIT = 50_000
-
 # Names a job may use.
 ROUTE_STRATEGIES = (
     "FIRST", "LAST", "ROUND", "RANDOM", "CONSISTENT_HASH", "LEAST_FREQUENTLY_USED",
@@ -30,7 +26,7 @@ def _child_ids(column: str = "child_jobid") -> Column:
 
 def _as_job_id(entry: Column) -> Column:
     """A positive integer, or null. Blanks inside an entry make it malformed."""
-    number = F.when(entry.rlike(r"^[+-]?[0-9]+$"), entry.try_cast("int"))
+    number = F.when(entry.rlike(r"^[+-]?[0-9]+$"), entry.try_cast("bigint"))
     return F.when(number > 0, number)
 
 
@@ -70,58 +66,53 @@ def invalid_children(jobs: DataFrame) -> DataFrame:
     return malformed.select(columns).unionByName(missing.select(columns))
 
 
-def dependency_closure(jobs: DataFrame, root: int, hops_per_round: int = 4) -> DataFrame:
+def dependency_closure(jobs: DataFrame, root: int) -> DataFrame:
     """All existing descendants of ``root`` with their smallest depth.
 
-    Breadth-first search as rounds of joins. A round follows several hops, keeps the smallest
-    depth per job, drops jobs already reached and writes the rest to the shared folder; so the
-    lineage stays short, a cycle ends by itself, and only a row count returns to the driver.
+    Breadth-first search: each round joins the newest level with the edges, drops jobs already reached and writes the rest to
+    the shared folder; so no level is computed twice, a cycle ends by itself, and only a row count returns to the driver.
     """
     spark = jobs.sparkSession
     known = jobs.select(F.col("id").alias("child_id"))
     edges = child_edges(jobs).where("valid").join(known, "child_id", "left_semi")
     edges = materialise(edges.select("parent_id", "child_id").distinct(), "edges")
-    reached_schema = "id int, depth int"
+    reached_schema = "id bigint, depth int"
     frontier = spark.createDataFrame([(root, 0)], reached_schema)
     paths: list[str] = []
-    depth = 0
     while True:
-        level, levels = frontier, []
-        for hop in range(1, hops_per_round + 1):
-            step = edges.join(level.select(F.col("id").alias("parent_id")), "parent_id")
-            level = step.select(F.col("child_id").alias("id")).distinct().withColumn("depth", F.lit(depth + hop))
-            levels.append(level)
-        found = levels[0]
-        for other in levels[1:]:
-            found = found.unionAll(other)
-        found = found.groupBy("id").agg(F.min("depth").alias("depth")).where(F.col("id") != root)
+        depth = len(paths) + 1
+        step = edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id")
+        found = step.where(F.col("child_id") != root).select(F.col("child_id").alias("id")).distinct().withColumn("depth", F.lit(depth))
         if paths:
             found = found.join(spark.read.schema(reached_schema).parquet(*paths).select("id"), "id", "left_anti")
         path = scratch_path(spark, "reached")
         found.write.parquet(path)
         paths.append(path)
-        depth += hops_per_round
-        frontier = spark.read.schema(reached_schema).parquet(path).where(F.col("depth") == depth)
+        frontier = spark.read.schema(reached_schema).parquet(path)
         if frontier.isEmpty():
             return spark.read.schema(reached_schema).parquet(*paths)
 
 
-def callback_apply(log: DataFrame, callbacks: DataFrame, handle_time) -> DataFrame:
-    """Runs after applying the accepted callbacks: result, time, and the message appended and cut."""
+def callback_apply(log: DataFrame, callbacks: DataFrame, handle_time, message_limit: int | None = None) -> DataFrame:
+    """Runs after applying the accepted callbacks: result, time, and the message appended.
+
+    ``message_limit`` cuts stored messages for a target column of that many characters; without it they stay whole.
+    """
     new = _first_callbacks(callbacks).select(F.col("log_id").alias("id"), F.col("code").alias("_code"), F.col("msg").alias("_msg"))
     text = F.concat(F.coalesce(F.concat("handle_msg", F.lit("<br>")), F.lit("")), F.coalesce("_msg", F.lit("")))
+    text = text if message_limit is None else F.substring(text, 1, message_limit)
     changed = F.col("_code").isNotNull() & (F.col("handle_code") <= NOT_REPORTED)
     state = {
         "handle_time": F.when(changed, handle_time).otherwise(F.col("handle_time")),
         "handle_code": F.when(changed, F.col("_code")).otherwise(F.col("handle_code")),
-        "handle_msg": F.when(changed, F.substring(text, 1, HANDLE_MSG_LIMIT)).otherwise(F.col("handle_msg")),
+        "handle_msg": F.when(changed, text).otherwise(F.col("handle_msg")),
     }
     return log.join(new, "id", "left").select(*[state[c].alias(c) if c in state else F.col(c) for c in log.columns])
 
 
-def cap_message(column: Column, limit: int = RUN_MSG_LIMIT) -> Column:
-    """Text cut to ``limit`` characters, marked where something is missing."""
-    return F.when(F.length(column) > limit, F.concat(F.substring(column, 1, limit), F.lit("..."))).otherwise(column)
+def over_column_size(column: Column, size: int) -> Column:
+    """Whether a target column of ``size`` characters would not hold the text; nothing is cut."""
+    return F.coalesce(F.length(column) > size, F.lit(False))
 
 
 def timeout_kill_list(log: DataFrame) -> DataFrame:

@@ -33,10 +33,6 @@ WRITE_TASK = r"(\d+\-)+writer"
 WRITE_BEGIN = r"(?i)begin\s+to\s+commit\s+blocks"
 WRITE_DONE = r"(?i)commit\s+blocks\s+ok"
 
-MAX_COST_S = 864_000
-"""Fixed value: tasks that seem to take longer, or less than nothing, stay out of the sums."""
-
-
 def parse_run_stats(lines: DataFrame) -> DataFrame:
     """One row per run with its statistics; the value follows the first colon, the last match counts."""
     label = F.lit(None).cast("string")
@@ -51,7 +47,7 @@ def parse_run_stats(lines: DataFrame) -> DataFrame:
         return F.max_by(F.when(hit, F.col("value")), F.when(hit, F.col("line_no")))
 
     stats = found.groupBy("log_id").agg(*[last(n).alias(n) for n in STAT_LABELS])
-    return stats.withColumns({c: F.col(c).try_cast("int") for c in ("read_count", "fail_count")})
+    return stats.withColumns({c: F.col(c).try_cast("bigint") for c in ("read_count", "fail_count")})
 
 
 def parse_units(stats: DataFrame) -> DataFrame:
@@ -114,16 +110,17 @@ def write_task_spans(lines: DataFrame, now) -> DataFrame:
     return _spans(lines, WRITE_MARK, WRITE_TASK, WRITE_BEGIN, WRITE_DONE, now, {}).select("log_id", "task", "stat", "wake", "done")
 
 
-def _summary(spans: DataFrame) -> DataFrame:
+def _summary(spans: DataFrame, max_cost_s: int | None) -> DataFrame:
+    """Sums per log over tasks that take no negative time, nor ``max_cost_s`` or more where that is given."""
     cost = F.col("done") - F.col("wake")
-    valid = (cost > -1) & (cost < MAX_COST_S)
+    valid = cost > -1 if max_cost_s is None else (cost > -1) & (cost < max_cost_s)
 
     def over_valid(agg, value):
         return agg(F.when(valid, value))
 
     hosts = [F.count_distinct("host").alias("servers")] if "host" in spans.columns else []
     sums = spans.groupBy("log_id").agg(
-        F.count_if(valid).alias("tasks"), *hosts, F.coalesce(over_valid(F.sum, cost), F.lit(0)).alias("total_s"),
+        F.count_if(valid).alias("tasks"), F.count_if(~valid).alias("left_out"), *hosts, F.coalesce(over_valid(F.sum, cost), F.lit(0)).alias("total_s"),
         over_valid(F.min, F.col("wake")).alias("first_s"), over_valid(F.max, F.col("done")).alias("last_s"), F.max(cost).alias("max_cost"),
     )
     wall = F.coalesce(F.nullif(F.col("last_s") - F.col("first_s"), F.lit(0)), F.lit(1))
@@ -131,25 +128,25 @@ def _summary(spans: DataFrame) -> DataFrame:
     return sums.withColumn("wall_s", wall).withColumn("_index", per_second)
 
 
-def task_profile(spans: DataFrame) -> DataFrame:
+def task_profile(spans: DataFrame, max_cost_s: int | None = None) -> DataFrame:
     """Cost of each task, its share of the wall time in percent, and its tilt (cost over mean cost).
 
     ``spans`` is read twice, for the sums per log and for the rows; materialise it first where
     it is derived from log text.
     """
-    sums = _summary(spans).select("log_id", "wall_s", "_index")
+    sums = _summary(spans, max_cost_s).select("log_id", "wall_s", "_index")
     cost = F.col("done") - F.col("wake")
     return spans.join(sums, "log_id").select(
         *spans.columns, cost.alias("cost"), (100 * cost / F.col("wall_s")).alias("share_pct"), (F.col("_index") * cost).alias("tilt")
     )
 
 
-def profile_summary(spans: DataFrame) -> DataFrame:
-    """Per log: tasks, servers, total and mean cost, wall time, concurrency and largest tilt."""
-    sums = _summary(spans).where("tasks > 0")
+def profile_summary(spans: DataFrame, max_cost_s: int | None = None) -> DataFrame:
+    """Per log: tasks, tasks left out of the sums, servers, total and mean cost, wall time, concurrency and largest tilt."""
+    sums = _summary(spans, max_cost_s).where("tasks > 0")
     servers = ["servers"] if "servers" in sums.columns else []
     return sums.select(
-        "log_id", "tasks", *servers, "total_s", (F.col("total_s") / F.col("tasks")).alias("mean_s"), "wall_s",
+        "log_id", "tasks", "left_out", *servers, "total_s", (F.col("total_s") / F.col("tasks")).alias("mean_s"), "wall_s",
         (F.col("total_s") / F.col("wall_s")).alias("concurrency"), (F.col("_index") * F.col("max_cost")).alias("max_tilt"),
     )
 

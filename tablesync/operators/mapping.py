@@ -55,9 +55,23 @@ def substitute_params(text: str, params: Mapping[str, object]) -> str:
     return _PARAMETER.sub(value, text)
 
 
+_QUOTED = re.compile(r"'\$\{(\w+)\}'|'(?:[^']|'')*'")
+
+
 def bind_params(sql: str) -> str:
-    """Query text with ``${name}`` turned into a ``:name`` marker, to be bound as a value."""
-    return _PARAMETER.sub(r":\1", sql)
+    """Query text with ``${name}``, in quotes of its own or not, turned into a ``:name`` marker, to be bound as a value.
+
+    A parameter that is only part of a quoted text can't be bound; it is an error.
+    """
+
+    def quoted(match):
+        if match[1]:
+            return f":{match[1]}"
+        if _PARAMETER.search(match[0]):
+            raise ValueError(f"parameter inside the text {match[0]}")
+        return match[0]
+
+    return _PARAMETER.sub(r":\1", _QUOTED.sub(quoted, sql))
 
 
 def flag_dirty(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:

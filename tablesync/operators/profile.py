@@ -3,63 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-APPROX_ERROR = 0.02
-"""Relative standard error, rounded up, of the sketches that rule out key candidates."""
-
 COLUMN_SCHEMA = "position int, name string, type string, nullable boolean, comment string, is_key boolean, spec string"
 
 
-def describe_table(df: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+def describe_table(df: DataFrame, keys: Iterable[str] | DataFrame = ()) -> DataFrame:
     """One row per column of a table or query, ``spec`` being its ``index:name:type``.
 
-    Taken from the analysed schema; reads no data.
+    Taken from the analysed schema; reads no data but that of ``keys``, a list of names or the result of ``candidate_keys``.
     """
-    keys = set(keys)
+    listed = set() if isinstance(keys, DataFrame) else set(keys)
     rows = [
-        (i, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), f.name in keys,
+        (i, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), f.name in listed,
          f"{i}:{f.name}:{f.dataType.simpleString()}")
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
-
-
-def _unique(df: DataFrame, combos: Sequence[tuple[str, ...]], rows: int) -> dict[tuple[str, ...], bool]:
-    """Exact test of null-free column combinations for uniqueness, after a sketch has ruled out the hopeless ones."""
-    if not combos:
-        return {}
-    sketch = df.agg(
-        *[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*c))).alias(f"a{i}") for i, c in enumerate(combos)],
-    ).first()
-    limit = rows * (1 - 10 * APPROX_ERROR)
-    left = [c for i, c in enumerate(combos) if sketch[f"a{i}"] >= limit]
-    unique = dict.fromkeys(combos, False)
-    if left:
-        exact = df.agg(*[F.count_distinct(*c).alias(f"d{i}") for i, c in enumerate(left)]).first()
-        unique |= {c: exact[f"d{i}"] == rows for i, c in enumerate(left)}
-    return unique
-
-
-def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None, pairs: bool = False) -> DataFrame:
+    made = df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
+    if not isinstance(keys, DataFrame):
+        return made
+    known = keys.select(F.col("columns").alias("name"), F.col("is_key").alias("_key"))
+    return made.join(known, "name", "left").select(*[F.coalesce("_key", F.lit(False)).alias(c) if c == "is_key" else F.col(c) for c in made.columns])
+
+
+def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | bool = False) -> DataFrame:
     """Which columns, and on request pairs, are unique and free of nulls.
 
-    A sketch of the distinct counts, which needs no shuffle, rules out everything whose estimate
-    lies ten standard errors below the row count; only what is left is counted exactly. A pair
-    that contains a single-column key is a key if its other column has no nulls.
+    Exact: a combination is ruled out by a null or by two equal values that were found, so each is one grouping that stops
+    counting at its first repeat. Nothing runs before the result is read. ``pairs`` lists the pairs, or asks for all of ``columns``.
     """
     columns = list(columns or df.columns)
-    totals = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c_{c}") for c in columns]).first()
-    full = [c for c in columns if totals[f"c_{c}"] == totals["n"]]
-    found = _unique(df, [(c,) for c in full], totals["n"])
-    if pairs:
-        implied = {p: found[p[:1]] or found[p[1:]] for p in combinations(full, 2)}
-        found |= implied | _unique(df, [p for p, known in implied.items() if not known], totals["n"])
-    combos = [(c,) for c in columns] + (list(combinations(columns, 2)) if pairs else [])
-    return df.sparkSession.createDataFrame([(",".join(c), bool(found.get(c, False))) for c in combos], "columns string, is_key boolean")
+    combos = [(c,) for c in columns] + (list(combinations(columns, 2)) if pairs is True else list(pairs or ()))
+    filled = df.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c_{c}") for c in sorted({c for p in combos for c in p})])).scalar()
+    one = df.sparkSession.range(1)
+
+    def test(combo):
+        repeat = df.groupBy(*combo).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).agg(F.count(F.lit(1))).scalar()
+        whole = reduce(and_, [filled[f"c_{c}"] == filled["n"] for c in combo])
+        return one.select(F.lit(",".join(combo)).alias("columns"), (whole & (repeat == 0)).alias("is_key"))
+
+    return reduce(DataFrame.unionAll, map(test, combos))
 
 
 def key_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -95,7 +83,8 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact_dis
     )
     if not exact_distinct:
         return _by_column(basic, columns, **measures, distinct_count=lambda c: F.col(f"distinct_{c}"))
-    distinct = df.agg(*[F.count_distinct(c).alias(f"distinct_{c}") for c in columns])
+    # One grouping for each column: counted in one aggregate they would multiply every row by the number of columns.
+    distinct = df.sparkSession.range(1).select(*[df.select(c).distinct().agg(F.count(c)).scalar().alias(f"distinct_{c}") for c in columns])
     per_column = _by_column(distinct, columns, distinct_count=lambda c: F.col(f"distinct_{c}"))
     return _by_column(basic, columns, **measures).join(per_column.drop("position"), "name").select(
         "position", "name", "row_count", "null_count", "min_value", "max_value", "distinct_count"
@@ -111,17 +100,19 @@ _FIELD_KIND = (
 def infer_document_schema(df: DataFrame, column: str) -> DataFrame:
     """Field names and types over all documents of a JSON text column, with how many carry them.
 
-    Null fields are left out, nested documents are not expanded, and text that is no document
-    is skipped.
+    Null fields are left out and nested documents are not expanded. Text that is no document is counted under the type
+    ``invalid`` with a null field.
     """
-    docs = df.select(F.try_parse_json(column).alias("doc"))
+    docs = df.select(F.try_parse_json(column).alias("doc"), F.col(column).isNotNull().alias("given"))
     fields = docs.sparkSession.sql(
         "SELECT f.key AS field, schema_of_variant(f.value) AS kind FROM {docs}, LATERAL variant_explode(doc) AS f", docs=docs
     )
     kind = F.col("kind")
     for prefix, name in reversed(_FIELD_KIND):
         kind = F.when(F.startswith(F.col("kind"), F.lit(prefix)), name).otherwise(kind)
-    return fields.where("kind <> 'VOID'").groupBy("field", kind.alias("type")).agg(F.count(F.lit(1)).alias("documents"))
+    found = fields.where("kind <> 'VOID'").groupBy("field", kind.alias("type")).agg(F.count(F.lit(1)).alias("documents"))
+    bad = docs.where("given AND doc IS NULL").agg(F.count(F.lit(1)).alias("documents")).where("documents > 0")
+    return found.unionByName(bad.select(F.lit(None).cast("string").alias("field"), F.lit("invalid").alias("type"), "documents"))
 
 
 def infer_cell_columns(cells: DataFrame) -> DataFrame:

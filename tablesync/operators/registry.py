@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.catalog import generic_page
-from tablesync.operators.common import ntz
+from tablesync.operators.common import newest_first, ntz
 
 DEAD_TIMEOUT_S = 90
 """Fixed value: seconds without a heartbeat after which an executor counts as dead."""
@@ -17,8 +17,8 @@ METRICS = ("cpu_usage", "memory_usage", "load_average")
 def registry_latest(heartbeats: DataFrame) -> DataFrame:
     """Newest heartbeat per group, key and value; reduced inside each task before the shuffle."""
     keys = ["registry_group", "registry_key", "registry_value"]
-    newest = F.max(F.struct("update_time", "id", *METRICS))  # ordered by its first fields, which are unique
-    return heartbeats.groupBy(*keys).agg(newest.alias("_n")).select(*keys, "_n.*")
+    newest = newest_first("update_time", "id")
+    return heartbeats.groupBy(*keys).agg(*[F.max_by(c, newest).alias(c) for c in ("update_time", "id", *METRICS)])
 
 
 def _deadline(now, timeout_s: int) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesync.operators.common import in_range, ntz, page, upsert
+from tablesync.operators.common import in_range, newest_first, ntz, page, upsert
 
 # Result codes and alarm states of a run.
 SUCCESS, FAILED, TIMED_OUT, NOT_REPORTED = 200, 500, 502, 0
@@ -157,8 +157,8 @@ def open_failures(log: DataFrame) -> DataFrame:
 
 
 def fail_candidates(log: DataFrame, limit: int | None = None) -> DataFrame:
-    """The same, oldest first."""
-    return page(open_failures(log), [F.col("id")], size=limit)
+    """The same; with a limit the oldest, in order."""
+    return open_failures(log) if limit is None else page(open_failures(log), [F.col("id")], size=limit)
 
 
 def retry_candidates(log: DataFrame) -> DataFrame:
@@ -204,8 +204,7 @@ def alarm_content(log: DataFrame) -> DataFrame:
 def job_last_status(log: DataFrame) -> DataFrame:
     """Last reported result of each job."""
     done = log.where(F.col("handle_time").isNotNull())
-    newest = F.max(F.struct("handle_time", "id", "handle_code"))  # ordered by its first fields, which are unique
-    return done.groupBy("job_id").agg(newest["handle_code"].alias("last_handle_code"))
+    return done.groupBy("job_id").agg(F.max_by("handle_code", newest_first("handle_time", "id")).alias("last_handle_code"))
 
 
 def run_duration(log: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -221,13 +220,21 @@ def run_duration(log: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def run_duration_stats(log: DataFrame) -> DataFrame:
-    """Duration quantiles per job."""
+    """Exact duration quantiles per job: the smallest duration that the share of its runs does not exceed.
+
+    Runs are counted per job and second first, so what is ordered are the distinct durations of a job.
+    """
     seconds = F.timestamp_diff("SECOND", F.col("trigger_time"), F.col("handle_time"))
     runs = log.where(F.col("handle_time").isNotNull()).select("job_id", seconds.alias("s"))
-    return runs.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("runs"), F.min("s").alias("min_s"), F.max("s").alias("max_s"),
-        F.percentile_approx("s", 0.5).alias("p50_s"), F.percentile_approx("s", 0.95).alias("p95_s"),
-    )
+    per_second = runs.groupBy("job_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    of_job = Window.partitionBy("job_id")
+    upto = of_job.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = per_second.withColumns({"_upto": F.sum("n").over(upto), "_all": F.sum("n").over(of_job)})
+
+    def quantile(percent):
+        return F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * percent, F.col("s"))).alias(f"p{percent}_s")
+
+    return counted.groupBy("job_id").agg(F.sum("n").alias("runs"), F.min("s").alias("min_s"), F.max("s").alias("max_s"), quantile(50), quantile(95))
 
 
 def log_lifecycle(events: DataFrame) -> DataFrame:
@@ -237,9 +244,19 @@ def log_lifecycle(events: DataFrame) -> DataFrame:
         hit = F.col("kind") == kind
         return F.max_by(F.when(hit, F.col(column)), F.when(hit, F.col("seq")))
 
-    return events.groupBy("log_id").agg(
+    # Text does not fit a hash aggregate's fixed-width buffer: it is fetched by the number of the event that holds it.
+    runs = events.groupBy("log_id").agg(
         last("event_time", "trigger").alias("trigger_time"), last("code", "trigger").alias("trigger_code"),
-        last("process_id", "process").alias("process_id"),
+        F.max(F.when(F.col("kind") == "process", F.col("seq"))).alias("seq"),
         last("event_time", "handle").alias("handle_time"),
         F.coalesce(last("code", "handle"), F.lit(NOT_REPORTED)).alias("handle_code"),
     )
+    processes = events.where(F.col("kind") == "process").select("log_id", "seq", "process_id")
+    return runs.join(processes, ["log_id", "seq"], "left").select("log_id", "trigger_time", "trigger_code", "process_id", "handle_time", "handle_code")
+
+
+def next_starts(log: DataFrame) -> DataFrame:
+    """When each job may be expected next: its last start plus the mean time between its starts so far, null after one run."""
+    started = log.groupBy("job_id").agg(F.count(F.lit(1)).alias("runs"), F.min("trigger_time").alias("_first"), F.max("trigger_time").alias("last_start"))
+    whole = F.expr("timestampdiff(MICROSECOND, _first, last_start) DIV nullif(runs - 1, 0)")
+    return started.withColumn("next_start", F.timestamp_add("MICROSECOND", whole, F.col("last_start"))).select("job_id", "runs", "last_start", "next_start")

@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.operators.mapping import MAX_DIRTY_RATIO, MAX_DIRTY_RECORDS, check_error_limit, filter_where, flag_dirty, map_columns
+from tablesync.sinks.cells import rows_to_cells
+from tablesync.sinks.files import write_documents, write_files, write_partition_dir
+from tablesync.sinks.jdbc import append_table
 from tablesync.sinks.publish import (
-    mark, needs_compaction, next_version, publish, read_current, read_merged, total_bytes, version_path,
+    expire_versions, good_rows, mark, newest_note, next_version, publish, read_current, read_merged, total_bytes, version_path, write_note,
 )
 
 
 MODES = ("overwrite", "append", "upsert")
 
+# What a sync may write to: its own versioned table, or a sink that gets the good rows after the error limit has passed them.
+TABLE = "table"
+SINKS = (TABLE, "text", "csv", "orc", "partition", "cells", "documents", "jdbc")
+
 
 @dataclass(frozen=True)
 class SyncSpec:
@@ -33,7 +40,9 @@ class SyncSpec:
     upsert_keys: Sequence[str] = ()
     upsert_order: Sequence[str] = ()
     """Newest first by these columns when a batch repeats a key."""
-    compact_ratio: float = 0.5
+    sink: str = TABLE
+    sink_options: dict = field(default_factory=dict)
+    """Arguments of the sink's own function; see ``deliver``."""
     max_dirty_records: int | None = MAX_DIRTY_RECORDS
     max_dirty_ratio: float | None = MAX_DIRTY_RATIO
 
@@ -64,15 +73,43 @@ def prepare(spark: SparkSession, spec: SyncSpec) -> DataFrame:
     return flag_dirty(rows, list(spec.types.items()))
 
 
-def run_sync(spark: SparkSession, spec: SyncSpec) -> SyncResult:
+def deliver(rows: DataFrame, spec: SyncSpec) -> None:
+    """Good rows into the sink of ``spec``.
+
+    ``text``, ``csv``, ``orc``: ``path``, ``file_name`` and what ``write_files`` takes. ``partition``: ``path``, ``fields``.
+    ``cells``: ``path`` and what ``rows_to_cells`` takes. ``documents``: ``path`` and what ``write_documents`` takes. ``jdbc``:
+    ``conn``, ``table`` and what ``append_table`` takes.
+    """
+    options = dict(spec.sink_options)
+    if spec.sink in ("text", "csv", "orc"):
+        write_files(rows, file_type=spec.sink, **options)
+    elif spec.sink == "partition":
+        write_partition_dir(rows, options["path"], *options["fields"])
+    elif spec.sink == "cells":
+        path = options.pop("path")
+        rows_to_cells(rows, **options).write.mode("append").parquet(path)
+    elif spec.sink == "documents":
+        write_documents(rows, **options)
+    elif spec.sink == "jdbc":
+        append_table(rows, **options)
+    else:
+        raise ValueError(f"unknown sink {spec.sink!r}; one of {', '.join(SINKS)}")
+
+
+def run_sync(spark: SparkSession, spec: SyncSpec, note: str | None = None) -> SyncResult:
     """Write, check, publish.
 
     The source is read once: good rows, and dirty ones with their reason, go to a new, still
     invisible version. Counts come from its committed files, not from task-side counters, so a
     task repeated after the loss of an executor is not counted twice. Beyond the error limit the
     version stays invisible. An upsert costs its batch: the version becomes a delta that readers
-    merge by key, until the deltas outgrow ``compact_ratio`` of the table and are merged into it.
+    merge by key; ``compact`` merges deltas into one full version when the caller asks for it.
+
+    Another sink gets the good rows from the checked version, which keeps the rejects and the counters; so no sink sees a
+    row of a run that is over its limit. ``note`` is stored with the version.
     """
+    if spec.sink not in SINKS:
+        raise ValueError(f"unknown sink {spec.sink!r}; one of {', '.join(SINKS)}")
     if spec.mode not in MODES:
         raise ValueError(f"unknown mode {spec.mode!r}; one of {', '.join(MODES)}")
     started = time.monotonic()
@@ -84,13 +121,22 @@ def run_sync(spark: SparkSession, spec: SyncSpec) -> SyncResult:
     counts = written.agg(F.count(F.lit(1)).alias("read"), F.count("dirty_reason").alias("dirty")).first()
     read, dirty = counts["read"], counts["dirty"]
     check_error_limit(read, dirty, spec.max_dirty_records, spec.max_dirty_ratio)
+    if spec.sink != TABLE:
+        deliver(good_rows(written), spec)
+    if note is not None:
+        write_note(spark, spec.target, version, note)
     mark(spark, spec.target, version, delta=spec.mode != "overwrite")
-    if spec.mode == "upsert" and needs_compaction(spark, spec.target, spec.compact_ratio):
-        publish(target_rows(spark, spec), spec.target)
     elapsed = time.monotonic() - started
     return SyncResult(spec.target, version, read, read - dirty, dirty, elapsed, total_bytes(spark, path), path)
 
 
+def compact(spark: SparkSession, spec: SyncSpec, keep: int = 1) -> int:
+    """Merge the table's versions into one and remove all but the newest ``keep`` full ones."""
+    version = publish(target_rows(spark, spec), spec.target, note=newest_note(spark, spec.target))
+    expire_versions(spark, spec.target, keep)
+    return version
+
+
 def target_rows(spark: SparkSession, spec: SyncSpec) -> DataFrame:
     """The target's rows after its runs so far."""
     if spec.mode == "upsert":

@@ -110,10 +110,12 @@ def users_by_ids(t):
     return catalog.users_by_ids(t.job_user, [1, 3])
 
 
-@query("user_permissions", """SELECT p.id, p.name, p.description, p.url, p.pid FROM job_user u
-LEFT JOIN role_user sru ON u.id = sru.job_user_id LEFT JOIN job_role r ON sru.job_role_id = r.id
-LEFT JOIN job_permission_role spr ON spr.role_id = r.id LEFT JOIN job_permission p ON p.id = spr.permission_id
-WHERE u.id = 2""", "job_user role_user job_role job_permission_role job_permission")
+@query("user_permissions", """WITH mine AS (SELECT job_role_id FROM role_user WHERE job_user_id = 2),
+held AS (SELECT m.job_role_id, (SELECT max(id) FROM job_role WHERE id = m.job_role_id) AS known FROM mine m),
+granted AS (SELECT h.job_role_id, g.permission_id FROM held h LEFT JOIN job_permission_role g ON g.role_id = h.known),
+listed AS (SELECT what.* FROM granted g LEFT JOIN job_permission what ON what.id = g.permission_id)
+SELECT id, name, description, url, pid FROM listed
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL FROM job_user WHERE id = 2 AND NOT EXISTS (SELECT 1 FROM mine)""", "job_user role_user job_role job_permission_role job_permission")
 def user_permissions(t):
     return catalog.user_permissions(2, t.job_user, t.role_user, t.job_role, t.job_permission_role, t.job_permission)
 
@@ -129,10 +131,10 @@ def generic_page(t):
 
 @query("group_in_use", """SELECT g.id, g.app_name, count(j.id) AS jobs,
   count(j.id) = 0 AND (SELECT count(*) FROM job_group) > 1 AS removable
-FROM job_group g LEFT JOIN (SELECT * FROM job_info WHERE job_group <> 3) j ON j.job_group = g.id GROUP BY g.id, g.app_name""",
+FROM job_group g LEFT JOIN job_info j ON j.job_group = g.id GROUP BY g.id, g.app_name""",
        "job_group job_info")
 def group_in_use(t):
-    return catalog.group_in_use(t.job_group, t.job_info.where("job_group <> 3"))
+    return catalog.group_in_use(t.job_group, t.job_info)
 
 
 @query("active_datasources", "SELECT id, datasource_name, jdbc_url FROM job_datasource WHERE status = 1", "job_datasource")

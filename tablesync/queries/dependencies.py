@@ -6,11 +6,11 @@ from tablesync.operators import dependencies as deps
 from tablesync.operators.common import ntz
 from tablesync.queries.registry import NOW, query
 
-_VALID = "regexp_full_match(e.entry, '[+-]?[0-9]+') AND coalesce(TRY_CAST(e.entry AS INTEGER), 0) > 0"
+_VALID = "regexp_full_match(e.entry, '[+-]?[0-9]+') AND coalesce(TRY_CAST(e.entry AS BIGINT), 0) > 0"
 
 
 def _edges(view):
-    return f"""SELECT e.parent_id, e.position, e.entry, CASE WHEN {_VALID} THEN TRY_CAST(e.entry AS INTEGER) END AS child_id, {_VALID} AS valid
+    return f"""SELECT e.parent_id, e.position, e.entry, CASE WHEN {_VALID} THEN TRY_CAST(e.entry AS BIGINT) END AS child_id, {_VALID} AS valid
 FROM (SELECT id AS parent_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS position, unnest(l) AS entry
       FROM (SELECT id, string_split(child_jobid, ',') AS l FROM {view})) e"""
 
@@ -52,18 +52,17 @@ def callback_first_wins(t):
 @query("callback_apply", f"""SELECT l.id, CASE WHEN a.code IS NULL THEN l.handle_time ELSE TIMESTAMP '{NOW}' END AS handle_time,
   coalesce(a.code, l.handle_code) AS handle_code,
   CASE WHEN a.code IS NULL THEN l.handle_msg
-       ELSE substring(coalesce(l.handle_msg || '<br>', '') || coalesce(a.msg, ''), 1, 15000) END AS handle_msg
+       ELSE coalesce(l.handle_msg || '<br>', '') || coalesce(a.msg, '') END AS handle_msg
 FROM job_log l LEFT JOIN ({_ACCEPTED}) a ON a.log_id = l.id""", "callbacks job_log")
 def callback_apply(t):
     return deps.callback_apply(t.job_log, t.callbacks, ntz(NOW)).select("id", "handle_time", "handle_code", "handle_msg")
 
 
-@query("callback_message_cap", """SELECT doc_id, length(msg) AS msg_length, right(msg, 3) AS ending, md5(msg) AS digest
-FROM (SELECT doc_id, CASE WHEN length(text) > 50000 THEN substring(text, 1, 50000) || '...' ELSE text END AS msg FROM documents)""")
+@query("callback_message_cap", """SELECT doc_id, length(text) AS msg_length, coalesce(length(text) > 50000, FALSE) AS over_size, md5(text) AS digest FROM documents""")
 def callback_message_cap(t):
-    capped = t.documents.select("doc_id", deps.cap_message(F.col("text")).alias("msg"))
-    return capped.select(
-        "doc_id", F.length("msg").cast("bigint").alias("msg_length"), F.right("msg", F.lit(3)).alias("ending"), F.md5("msg").alias("digest")
+    """Whole messages, and which of them a column of 50 000 characters would not hold."""
+    return t.documents.select(
+        "doc_id", F.length("text").cast("bigint").alias("msg_length"), deps.over_column_size(F.col("text"), 50_000).alias("over_size"), F.md5("text").alias("digest")
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tablesync.operators import increment as inc
 from tablesync.operators.common import upsert
-from tablesync.plans.incremental import IncrementState, run_incremental
+from tablesync.plans.incremental import IncrementState, QuerySource, run_incremental, stored_state
 from tablesync.plans.sync import SyncSpec, target_rows
 from tablesync.queries.registry import query
 from tablesync.session import scratch_path
@@ -90,3 +90,39 @@ def inc_run(t):
     _, state = run_incremental(t.spark, spec, state, "1997-01-01 00:00:00")
     run_incremental(t.spark, spec, state, "1999-01-01 00:00:00")
     return target_rows(t.spark, spec)
+
+
+@query("inc_run_id", """SELECT o_orderkey AS id, o_totalprice AS amount FROM orders
+WHERE o_orderkey >= 100 AND o_orderkey < (SELECT max(o_orderkey) FROM orders)""")
+def inc_run_id(t):
+    """An id job; the second run starts at the stored mark and finds nothing new."""
+    spec = SyncSpec(lambda spark: t.orders, scratch_path(t.spark, "ods_ids"), ["o_orderkey", "o_totalprice"], ["id", "amount"], mode="append")
+    first = IncrementState(inc.INC_ID, "o_orderkey", start_id=100)
+    for _ in range(2):
+        run_incremental(t.spark, spec, stored_state(t.spark, spec, first), "2024-01-02 00:00:00")
+    return target_rows(t.spark, spec)
+
+
+@query("inc_partition_run", """SELECT event_id AS id, value AS amount, strftime(ts, '%Y%m%d') AS p_day FROM events
+WHERE ts >= TIMESTAMP '2024-01-09 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'""")
+def inc_partition_run(t):
+    """A partition job: each run moves the day before it."""
+    rows = t.events.select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("p_day"))
+    spec = SyncSpec(lambda spark: rows, scratch_path(t.spark, "ods_days"), ["event_id", "value", "p_day"], ["id", "amount", "p_day"], mode="append")
+    state = IncrementState(inc.INC_PARTITION, "p_day", partition="p_day,-1,yyyyMMdd")
+    for now in ("2024-01-10 08:00:00", "2024-01-11 08:00:00"):
+        run_incremental(t.spark, spec, state, now)
+    return target_rows(t.spark, spec)
+
+
+@query("inc_run_query", """SELECT o_orderkey AS id, o_totalprice AS amount FROM orders
+WHERE o_orderdate >= TIMESTAMP '1995-06-01 00:00:00' AND o_orderdate < TIMESTAMP '1998-06-01 00:00:00' AND o_orderstatus = 'F'""")
+def inc_run_query(t):
+    """A time job whose rows come from a user's query; the bounds are bound in the format the job asks for."""
+    source = QuerySource("""SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'F'
+        AND o_orderdate >= CAST('${lastTime}' AS TIMESTAMP_NTZ) AND o_orderdate < CAST(${currentTime} AS TIMESTAMP_NTZ)""", {"orders": t.orders})
+    spec = SyncSpec(lambda spark: t.orders, scratch_path(t.spark, "ods_query"), ["o_orderkey", "o_totalprice"], ["id", "amount"], mode="append")
+    state = IncrementState(inc.INC_TIME, "o_orderdate", start_time="1995-06-01 00:00:00", time_format="yyyy-MM-dd HH:mm:ss")
+    for now in ("1997-01-01 00:00:00", "1998-06-01 00:00:00"):
+        _, state = run_incremental(t.spark, spec, state, now, source)
+    return target_rows(t.spark, spec)

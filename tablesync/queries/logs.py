@@ -17,7 +17,7 @@ _STATS = "SELECT log_id, " + ", ".join(_stat(text, name) for name, text in logmi
 
 
 @query("parse_run_stats", f"""SELECT log_id, start_time, end_time, total_time, average_flow, write_speed,
-  TRY_CAST(read_count AS INTEGER) AS read_count, TRY_CAST(fail_count AS INTEGER) AS fail_count FROM ({_STATS})""", "run_log_lines")
+  TRY_CAST(read_count AS BIGINT) AS read_count, TRY_CAST(fail_count AS BIGINT) AS fail_count FROM ({_STATS})""", "run_log_lines")
 def parse_run_stats(t):
     return logmine.parse_run_stats(t.run_log_lines)
 
@@ -42,9 +42,9 @@ _READ = _spans("reader", r"begin\s+to\s+read\s+record", r"finished\s+read\s+reco
                r""", lower(regexp_extract(h.line, '//(.*?)\?', 1)) AS host, lower(regexp_extract(b.line, '(?i)from\s+(\w+)(\s+where|\s*$)', 1)) AS path""") \
     + " LEFT JOIN task_log h ON h.log_id = b.log_id AND h.line_no = b.line_no + 1"
 _WRITE = _spans("writer", r"begin\s+to\s+commit\s+blocks", r"commit\s+blocks\s+ok")
-_SUMS = """SELECT log_id, count(*) FILTER (done - wake > -1 AND done - wake < 864000) AS tasks, count(DISTINCT host) AS servers,
-  CAST(coalesce(sum(done - wake) FILTER (done - wake > -1 AND done - wake < 864000), 0) AS BIGINT) AS total_s,
-  coalesce(nullif(max(done) FILTER (done - wake > -1 AND done - wake < 864000) - min(wake) FILTER (done - wake > -1 AND done - wake < 864000), 0), 1) AS wall_s,
+_SUMS = """SELECT log_id, count(*) FILTER (done - wake > -1) AS tasks, count(*) FILTER (done - wake <= -1) AS left_out, count(DISTINCT host) AS servers,
+  CAST(coalesce(sum(done - wake) FILTER (done - wake > -1), 0) AS BIGINT) AS total_s,
+  coalesce(nullif(max(done) FILTER (done - wake > -1) - min(wake) FILTER (done - wake > -1), 0), 1) AS wall_s,
   max(done - wake) AS max_cost FROM spans GROUP BY log_id"""
 
 
@@ -67,7 +67,7 @@ def task_profile(t):
 
 
 @query("profile_summary", f"""WITH spans AS ({_READ}), sums AS ({_SUMS})
-SELECT log_id, tasks, servers, total_s, round(total_s / tasks, 8) AS mean_s, wall_s, round(total_s / wall_s, 8) AS concurrency,
+SELECT log_id, tasks, left_out, servers, total_s, round(total_s / tasks, 8) AS mean_s, wall_s, round(total_s / wall_s, 8) AS concurrency,
   round(max_cost * (tasks / coalesce(nullif(total_s, 0), wall_s)), 8) AS max_tilt FROM sums WHERE tasks > 0""", "task_log")
 def profile_summary(t):
     rows = logmine.profile_summary(logmine.read_task_spans(t.task_log, NOW))

@@ -20,24 +20,28 @@ _CUSTOMER = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int
     f"SELECT {i} AS position, '{n}' AS name, '{ty}' AS type, TRUE AS nullable, CAST(NULL AS VARCHAR) AS comment, {_key('customer', n)} AS is_key, '{i}:{n}:{ty}' AS spec"
     for i, (n, ty) in enumerate(_CUSTOMER)))
 def describe_table(t):
-    return profile.describe_table(t.customer, profile.key_columns(t.customer))
+    return profile.describe_table(t.customer, profile.candidate_keys(t.customer))
 
 
-_COMBOS = ["l_orderkey", "l_linenumber", "l_partkey", "l_orderkey,l_linenumber", "l_orderkey,l_partkey", "l_linenumber,l_partkey"]
+_LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+_ORDER = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+_LINE_PAIRS = [("l_orderkey", "l_linenumber"), ("l_orderkey", "l_partkey"), ("l_linenumber", "l_partkey")]
+_ORDER_PAIRS = [("o_orderkey", "o_custkey")]
 
 
-@query("candidate_keys", " UNION ALL ".join(f"SELECT '{c}' AS columns, {_key('lineitem', c)} AS is_key" for c in _COMBOS)
-       + " UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', {_key('orders', c)}" for c in ["o_orderkey", "o_custkey", "o_orderkey,o_custkey"]))
+@query("candidate_keys", " UNION ALL ".join(
+    f"SELECT '{c}' AS columns, {_key(table, c)} AS is_key"
+    for table, names in (("lineitem", [*_LINE, *map(",".join, _LINE_PAIRS)]), ("orders", [*_ORDER, *map(",".join, _ORDER_PAIRS)])) for c in names))
 def candidate_keys(t):
-    lines = profile.candidate_keys(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey"], pairs=True)
-    return lines.unionAll(profile.candidate_keys(t.orders, ["o_orderkey", "o_custkey"], pairs=True))
+    return profile.candidate_keys(t.lineitem, _LINE, _LINE_PAIRS).unionAll(profile.candidate_keys(t.orders, _ORDER, _ORDER_PAIRS))
 
 
 @query("infer_document_schema", """SELECT field, type, count(*) AS documents FROM (
   SELECT key AS field, CASE json_type(value) WHEN 'UBIGINT' THEN 'long' WHEN 'BIGINT' THEN 'long' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool'
     WHEN 'DOUBLE' THEN 'double' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' END AS type
   FROM (SELECT unnest(json_keys(doc)) AS key, doc FROM event_docs WHERE json_valid(doc)), LATERAL (SELECT json_extract(doc, '$.' || key) AS value))
-WHERE type IS NOT NULL GROUP BY 1, 2""", "event_docs")
+WHERE type IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT NULL, 'invalid', count(*) FROM event_docs WHERE doc IS NOT NULL AND NOT json_valid(doc) HAVING count(*) > 0""", "event_docs")
 def infer_document_schema(t):
     return profile.infer_document_schema(t.event_docs, "doc")
 
@@ -48,14 +52,16 @@ def infer_cell_columns(t):
     return profile.infer_cell_columns(t.cells).withColumn("fill_rate", F.round("fill_rate", 6))
 
 
-_PROFILED = [("o_orderkey", "{}"), ("o_custkey", "{}"), ("o_orderstatus", "{}"), ("o_orderpriority", "{}")]
+def _profile(table, columns):
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, {i} AS position, '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value, "
+        f"CAST(max({c}) AS VARCHAR) AS max_value, count(DISTINCT {c}) AS distinct_count FROM {table}" for i, c in enumerate(columns))
 
 
-@query("profile_table", " UNION ALL ".join(
-    f"SELECT {i} AS position, '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value, "
-    f"CAST(max({c}) AS VARCHAR) AS max_value, count(DISTINCT {c}) AS distinct_count FROM orders" for i, (c, _) in enumerate(_PROFILED)))
+@query("profile_table", f"{_profile('orders', _ORDER)} UNION ALL {_profile('lineitem', _LINE)}")
 def profile_table(t):
-    return profile.profile_table(t.orders, [c for c, _ in _PROFILED])
+    each = [profile.profile_table(getattr(t, n), c).select(F.lit(n).alias("table_name"), "*") for n, c in (("orders", _ORDER), ("lineitem", _LINE))]
+    return each[0].unionAll(each[1])
 
 
 @query("schema_compat", """SELECT * FROM (VALUES

@@ -1,5 +1,8 @@
 """Registered retention queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators import retention
@@ -9,26 +12,30 @@ _NEWEST = "ORDER BY trigger_time DESC, id DESC"
 
 
 @query("clear_before_time", """SELECT id FROM job_log
-WHERE job_group = 3 AND trigger_time <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY id""", "job_log")
+WHERE job_group = 3 AND trigger_time <= TIMESTAMP '2024-01-15 12:00:00'""", "job_log")
 def clear_before_time(t):
     return retention.clear_before_time(t.job_log, "2024-01-15 12:00:00", job_group=3)
 
 
 @query("clear_keep_newest", f"""SELECT id FROM job_log WHERE job_group = 3
-AND id NOT IN (SELECT id FROM job_log WHERE job_group = 3 {_NEWEST} LIMIT 500) ORDER BY id""", "job_log")
+AND id NOT IN (SELECT id FROM job_log WHERE job_group = 3 {_NEWEST} LIMIT 500)""", "job_log")
 def clear_keep_newest(t):
     return retention.clear_keep_newest(t.job_log, 500, job_group=3)
 
 
-@query("clear_by_type", f"""
-SELECT 1 AS kind, id FROM job_log WHERE trigger_time <= TIMESTAMP '2024-02-20 12:00:00' - INTERVAL 1 MONTH
-UNION ALL SELECT 5, id FROM job_log WHERE id NOT IN (SELECT id FROM job_log {_NEWEST} LIMIT 1000)
-UNION ALL SELECT 9, id FROM job_log WHERE job_group = 1""", "job_log")
+_MONTHS = {1: 1, 2: 3, 3: 6, 4: 12}
+_KEPT = {5: 1_000, 6: 10_000, 7: 30_000, 8: 100_000}
+
+
+@query("clear_by_type", " UNION ALL ".join(
+    [f"SELECT {k} AS kind, id FROM job_log WHERE trigger_time <= TIMESTAMP '2024-02-20 12:00:00' - INTERVAL {m} MONTH" for k, m in _MONTHS.items()]
+    + [f"SELECT {k}, id FROM job_log WHERE id NOT IN (SELECT id FROM job_log {_NEWEST} LIMIT {n})" for k, n in _KEPT.items()]
+    + ["SELECT 9, id FROM job_log WHERE job_group = 1"]), "job_log")
 def clear_by_type(t):
     def ids(kind, **scope):
         return retention.clear_by_type(t.job_log, kind, "2024-02-20 12:00:00", **scope).select(F.lit(kind).alias("kind"), "id")
 
-    return ids(1).unionAll(ids(5)).unionAll(ids(9, job_group=1))
+    return reduce(DataFrame.unionAll, [*[ids(kind) for kind in range(1, 9)], ids(9, job_group=1)])
 
 
 @query("retention_days", "SELECT id FROM job_log WHERE trigger_time <= TIMESTAMP '2024-01-20 00:00:00'", "job_log")

@@ -2,7 +2,6 @@
 
 from tablesync.operators import runs
 from tablesync.queries.registry import NOW, query
-from tablesync.session import materialise
 
 RANGE = ("2024-01-05 00:00:00", "2024-01-20 23:59:59")
 _BETWEEN = f"trigger_time BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"
@@ -98,7 +97,7 @@ def report_total(t):
   CAST(sum(fail_count) OVER () AS BIGINT) AS fail_total
 FROM ({_DAILY}) WHERE trigger_day BETWEEN TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{NOW}'""", "job_log")
 def chart_info(t):
-    return runs.chart_info(materialise(runs.daily_report(t.job_log), "report"), NOW)
+    return runs.chart_info(runs.daily_report(t.job_log.where(f"trigger_time >= TIMESTAMP_NTZ '{NOW}' - INTERVAL '8' DAY")), NOW)
 
 
 @query("dashboard_info", f"""SELECT (SELECT count(*) FROM job_info) AS job_info_count,
@@ -107,10 +106,10 @@ def chart_info(t):
   (SELECT count(DISTINCT a) FROM (SELECT unnest(string_split(address_list, ',')) AS a FROM job_group)) AS executor_count""",
        "job_log job_info job_group")
 def dashboard_info(t):
-    return runs.dashboard_info(t.job_info, materialise(runs.daily_report(t.job_log), "report"), t.job_group)
+    return runs.dashboard_info(t.job_info, runs.daily_report(t.job_log), t.job_group)
 
 
-@query("fail_candidates", f"SELECT id, job_id, trigger_time, trigger_code, handle_code FROM job_log WHERE {_FAIL} ORDER BY id", "job_log")
+@query("fail_candidates", f"SELECT id, job_id, trigger_time, trigger_code, handle_code FROM job_log WHERE {_FAIL}", "job_log")
 def fail_candidates(t):
     return runs.fail_candidates(t.job_log).select(_LOG)
 

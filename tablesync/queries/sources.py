@@ -1,6 +1,9 @@
 """Registered scans. Databases need one of their own, so those are covered by the unit tests;
 here the same operators read the given tables, and files written from them."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.common import ntz
@@ -55,11 +58,16 @@ def scan_delimited(t):
     return files.read_delimited(t.spark, path, columns, sep="\u0001", skip_header=True)
 
 
-@query("scan_file_types", "SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
+@query("scan_file_types", " UNION ALL ".join(f"SELECT '{kind}' AS kind, p_partkey, p_brand, p_size, p_retailprice FROM part" for kind in files.READABLE_TYPES))
 def scan_file_types(t):
-    path = write_files(t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice"), scratch_path(t.spark, "orc"), "part", "orc")
+    rows = t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice")
     columns = [{"index": i, "type": ty, "name": n} for i, (n, ty) in enumerate([("p_partkey", "long"), ("p_brand", "string"), ("p_size", "long"), ("p_retailprice", "double")])]
-    return files.read_file(t.spark, path, "orc", columns).withColumn("p_size", F.col("p_size").cast("int"))
+
+    def back(kind):
+        found = files.read_file(t.spark, write_files(rows, scratch_path(t.spark, kind), "part", kind), kind, columns)
+        return found.select(F.lit(kind).alias("kind"), "p_partkey", "p_brand", F.col("p_size").cast("int").alias("p_size"), "p_retailprice")
+
+    return reduce(DataFrame.unionAll, map(back, files.READABLE_TYPES))
 
 
 @query("scan_partition_path", """SELECT event_id, user_id, value, '2024-01-05' AS p_data_day FROM events
@@ -107,14 +115,21 @@ def scan_generated(t):
     return generated.generate_columns(t.orders.select("o_orderkey"), "o_orderkey", columns)
 
 
-@query("scan_generated_random")
+def _bits(name):
+    return f"CAST('0x' || substring(md5(CAST(o_orderkey AS VARCHAR) || ':42:{name}'), 1, 15) AS BIGINT)"
+
+
+@query("scan_generated_random", f"""SELECT o_orderkey, 2 + {_bits('c0')} % 9 AS c0, left(sha256(CAST(o_orderkey AS VARCHAR) || ':42:c1'), {_bits('c1')} % 11) AS c1,
+  {_bits('c2')} % 10 >= 3 AS c2, TIMESTAMP '2014-07-07 00:00:00' + to_seconds({_bits('c3')} % 63158401) AS c3,
+  round({_bits('c4')} % 9007199254740992 / 9007199254740992.0::DOUBLE * 10, 9) AS c4 FROM orders""")
 def scan_generated_random(t):
     columns = [
         {"name": "c0", "type": "long", "random": "2, 10"}, {"name": "c1", "type": "string", "random": "0, 10"},
         {"name": "c2", "type": "bool", "random": "3, 7"}, {"name": "c3", "type": "date", "random": "2014-07-07 00:00:00, 2016-07-07 00:00:00"},
         {"name": "c4", "type": "double", "random": "0, 10"},
     ]
-    return generated.generate_columns(t.orders.select("o_orderkey"), "o_orderkey", columns, seed=42)
+    made = generated.generate_columns(t.orders.select("o_orderkey"), "o_orderkey", columns, seed=42)
+    return made.withColumn("c4", F.round("c4", 9))
 
 
 @query("sink_documents", "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS placed FROM orders")

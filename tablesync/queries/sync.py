@@ -110,10 +110,11 @@ def sink_upsert(t):
     return upsert(target, batch, ["o_orderkey"], [F.col("o_totalprice").desc()])
 
 
-@query("sink_console_or_noop", "SELECT l_returnflag, count(*) AS rows_read FROM lineitem GROUP BY 1")
+@query("sink_console_or_noop", """SELECT count(*) AS rows_read, count(*) FILTER (l_returnflag = 'A') AS returned, CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM lineitem""")
 def sink_console_or_noop(t):
-    write_nowhere(t.lineitem)
-    return t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows_read"))
+    """What the discarding sink saw go by."""
+    seen = write_nowhere(t.lineitem, returned=F.count_if(F.col("l_returnflag") == "A"), key_sum=F.sum("l_orderkey"))
+    return t.spark.createDataFrame([(seen["rows"], seen["returned"], seen["key_sum"])], "rows_read bigint, returned bigint, key_sum bigint")
 
 
 @query("map_columns", "SELECT o_orderkey AS id, o_orderstatus AS state, o_totalprice AS amount FROM orders")
@@ -207,3 +208,48 @@ def shard_slice(t):
 def shard_slice_hashed(t):
     shards = [mapping.shard_slice(t.customer.select("c_name"), "c_name", i, 3) for i in range(3)]
     return shards[0].unionAll(shards[1]).unionAll(shards[2])
+
+
+_SYNCED = f"SELECT event_id AS id, event_type AS kind, value AS amount FROM events WHERE NOT ({_DIRTY})"
+
+
+def _sync_into(t, sink, **options):
+    """The raw events through mapping, gate and one of the sinks; returns the folder written."""
+    path = scratch_path(t.spark, f"sync-{sink}")
+    spec = SyncSpec(
+        lambda spark: t.raw_events, scratch_path(t.spark, "checked"), ["f_id", "f_type", "f_value", "f_flag"], ["id", "kind", "amount", "flag"],
+        types={"id": "long", "amount": "double", "flag": "bool"}, sink=sink, sink_options={"path": path} | options, max_dirty_records=None, max_dirty_ratio=0.9,
+    )
+    run_sync(t.spark, spec)
+    return path
+
+
+_EVENT_FIELDS = [{"index": 0, "type": "long", "name": "id"}, {"index": 1, "type": "string", "name": "kind"}, {"index": 2, "type": "double", "name": "amount"}]
+
+
+@query("sync_text", _SYNCED)
+def sync_text(t):
+    path = _sync_into(t, "text", file_name="events", sep="\u0001")
+    return read_delimited(t.spark, f"{path}/events", _EVENT_FIELDS, sep="\u0001")
+
+
+@query("sync_orc", _SYNCED)
+def sync_orc(t):
+    return t.spark.read.orc(f"{_sync_into(t, 'orc', file_name='events')}/events").select("id", "kind", "amount")
+
+
+@query("sync_partition", _SYNCED)
+def sync_partition(t):
+    return t.spark.read.schema("id bigint, amount double, kind string").parquet(_sync_into(t, "partition", fields=["kind"])).select("id", "kind", "amount")
+
+
+@query("sync_documents", _SYNCED)
+def sync_documents(t):
+    return t.spark.read.schema("id bigint, kind string, amount double").json(_sync_into(t, "documents"))
+
+
+@query("sync_cells", f"""SELECT CAST(id AS VARCHAR) AS rowkey, 'cf' AS family, q.qualifier, CAST(1 AS BIGINT) AS ver, CASE q.qualifier WHEN 'kind' THEN kind ELSE CAST(flag AS VARCHAR) END AS value
+FROM (SELECT event_id AS id, event_type AS kind, event_type = 'click' AS flag FROM events WHERE NOT ({_DIRTY})), (VALUES ('kind'), ('flag')) q(qualifier)""")
+def sync_cells(t):
+    path = _sync_into(t, "cells", layout='[{"index": 0}]', columns=[(2, "cf:kind"), (4, "cf:flag")])
+    return t.spark.read.schema("rowkey string, ver bigint, family string, qualifier string, value string").parquet(path)

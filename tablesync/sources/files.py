@@ -22,6 +22,25 @@ def _name(spec: FileColumn) -> str:
     return str(spec.get("name") or (f"_c{spec['index']}" if "index" in spec else "_value"))
 
 
+NULL_TEXT = "\\N"
+"""Fixed value: how a null field is written in text files."""
+
+_NO_FIELD = "\uffff"
+"""A separator no text has: a line stays one field."""
+
+
+def read_lines_raw(
+    spark: SparkSession, path: str | Sequence[str], width: int, sep: str = "\u0001", skip_header: bool = False, null_value: str = NULL_TEXT
+) -> DataFrame:
+    """Every field of plain text lines as text, named ``_f0`` onward: quotes are data, empty text is empty, only ``null_value`` is null."""
+    if skip_header:  # the first line of each file
+        lines = spark.read.csv(path, schema="value string", sep=_NO_FIELD, quote="", header=True, nullValue=_NO_FIELD, enforceSchema=True)
+    else:
+        lines = spark.read.text(path)
+    fields = F.split("value", rf"\Q{sep}\E", -1)
+    return lines.select(*[F.nullif(F.get(fields, F.lit(i)), F.lit(null_value)).alias(f"_f{i}") for i in range(width)])
+
+
 def read_delimited_raw(
     spark: SparkSession, path: str | Sequence[str], width: int, sep: str = ",", skip_header: bool = False, null_value: str = ""
 ) -> DataFrame:
@@ -32,11 +51,17 @@ def read_delimited_raw(
 
 def read_delimited(
     spark: SparkSession, path: str | Sequence[str], columns: Sequence[FileColumn], sep: str = ",",
-    skip_header: bool = False, null_value: str = "",
+    skip_header: bool = False, null_value: str | None = None, quoted: bool = False,
 ) -> DataFrame:
-    """Fields by position in their declared type, plus constants. Text that does not fit its type is null."""
+    """Fields by position in their declared type, plus constants. Text that does not fit its type is null.
+
+    Plain lines unless ``quoted``, which reads quoted CSV.
+    """
     width = 1 + max((int(c["index"]) for c in columns if "index" in c), default=0)
-    raw = read_delimited_raw(spark, path, width, sep, skip_header, null_value)
+    if quoted:
+        raw = read_delimited_raw(spark, path, width, sep, skip_header, null_value or "")
+    else:
+        raw = read_lines_raw(spark, path, width, sep, skip_header, NULL_TEXT if null_value is None else null_value)
     return raw.select(
         *[
             (cast_declared(F.col(f"_f{c['index']}"), str(c["type"])) if "index" in c else constant(c.get("value"), str(c["type"]))).alias(_name(c))
@@ -60,7 +85,7 @@ def read_file(spark: SparkSession, path, file_type: str, columns: Sequence[FileC
     """Files of a named type."""
     kind = file_type.lower()
     if kind in ("text", "csv"):
-        return read_delimited(spark, path, columns, **options)
+        return read_delimited(spark, path, columns, quoted=kind == "csv", **options)
     if kind == "orc":
         return read_orc(spark, path, columns)
     if kind in UNREADABLE_TYPES:

@@ -16,8 +16,9 @@ GeneratedColumn = Mapping[str, object]
 def _random(spec: GeneratedColumn, key: Column, seed: int) -> Column:
     declared = str(spec["type"])
     lo, hi = [p.strip() for p in str(spec["random"]).split(",")]
-    # Hash of row id and column: a lost task regenerates the same rows.
-    bits = F.xxhash64(key, F.lit(seed), F.lit(str(spec["name"])))
+    # 60 bits of a hash of row id and column: a lost task regenerates the same rows.
+    named = F.concat_ws(":", key.cast("string"), F.lit(seed), F.lit(str(spec["name"])))
+    bits = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("bigint")
     if declared == "long":
         return F.lit(int(lo)) + F.pmod(bits, F.lit(int(hi) - int(lo) + 1))
     if declared == "double":
@@ -31,7 +32,7 @@ def _random(spec: GeneratedColumn, key: Column, seed: int) -> Column:
         return F.pmod(bits, F.lit(zeros + ones)) >= zeros
     # Text and bytes: a random length between the bounds.
     length = F.lit(int(lo)) + F.pmod(bits, F.lit(int(hi) - int(lo) + 1))
-    source = F.repeat(F.sha2(F.concat_ws(":", key.cast("string"), F.lit(seed), F.lit(str(spec["name"]))), 512), int(hi) // 128 + 1)
+    source = F.repeat(F.sha2(named, 256), int(hi) // 64 + 1)
     text = F.substring(source, F.lit(1), length.cast("int"))
     return text.cast("binary") if declared == "bytes" else text
 

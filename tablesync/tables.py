@@ -1,7 +1,7 @@
 """The given Parquet tables, and adapter views that give them the shape of the control tables.
 
-A view is one ``SELECT`` that reads the same in Spark SQL and in ANSI SQL; ``{name}``
-stands for another table or view.
+A view is one ``SELECT`` over one scan of its table that reads the same in Spark SQL and, but for the
+names of two functions, in ANSI SQL; ``{name}`` stands for another table or view.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ BASE_TABLES = (
 
 VIEWS: dict[str, str] = {
     "job_log": """
-SELECT event_id AS id, CAST(user_id % 5 + 1 AS INT) AS job_group, CAST(user_id AS INT) AS job_id,
+SELECT event_id AS id, CAST(user_id % 5 + 1 AS INT) AS job_group, user_id AS job_id,
        concat('job-', CAST(user_id AS STRING)) AS job_desc,
        concat('10.0.0.', CAST(user_id % 8 AS STRING), ':9999') AS executor_address,
        CAST(event_id % 3 AS INT) AS executor_fail_retry_count,
@@ -37,7 +37,7 @@ SELECT event_id AS id, CAST(user_id % 5 + 1 AS INT) AS job_group, CAST(user_id A
        event_id * 10 AS max_id
 FROM {events}""",
     "job_info": """
-SELECT CAST(c_custkey AS INT) AS id, CAST(c_custkey % 5 + 1 AS INT) AS job_group, c_name AS job_desc,
+SELECT c_custkey AS id, CAST(c_custkey % 5 + 1 AS INT) AS job_group, c_name AS job_desc,
        c_nationkey AS project_id, CAST(c_nationkey % 5 AS INT) AS user_id,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'GLUE_SHELL' WHEN 'MACHINERY' THEN 'GLUE_PYTHON' ELSE 'BEAN' END AS glue_type,
        CAST(c_custkey % 2 AS INT) AS trigger_status,
@@ -50,7 +50,7 @@ SELECT CAST(c_custkey AS INT) AS id, CAST(c_custkey % 5 + 1 AS INT) AS job_group
        TIMESTAMP_NTZ '2024-01-01 00:00:00' AS inc_start_time
 FROM {customer}""",
     "job_form": """
-SELECT CAST(c_custkey AS INT) AS id,
+SELECT c_custkey AS id,
        CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS job_desc,
        CAST(c_nationkey % 5 AS INT) AS user_id,
        CASE WHEN c_custkey % 13 = 0 THEN 'NEAREST' WHEN c_custkey % 2 = 0 THEN 'ROUND' ELSE 'FIRST' END AS executor_route_strategy,
@@ -62,7 +62,7 @@ SELECT CAST(c_custkey AS INT) AS id,
             WHEN c_custkey % 4 = 1 AND c_custkey % 7 = 0 THEN 'x,-1,999999' END AS child_jobid
 FROM {customer}""",
     "job_tree": """
-SELECT CAST(c_custkey AS INT) AS id,
+SELECT c_custkey AS id,
        CASE WHEN c_custkey % 9 = 8 THEN concat(CAST(c_custkey * 2 AS STRING), ',', CAST(c_custkey % 3 + 1 AS STRING))
             ELSE concat(CAST(c_custkey * 2 AS STRING), ',', CAST(c_custkey * 2 + 1 AS STRING)) END AS child_jobid
 FROM {customer}""",
@@ -89,20 +89,20 @@ SELECT event_id AS id, 'EXECUTOR' AS registry_group, concat('app-', CAST(user_id
        CAST(event_id % 16 AS DOUBLE) / 2 AS load_average, ts AS update_time
 FROM {events}""",
     "job_logglue": """
-SELECT o_orderkey AS id, CAST(o_custkey AS INT) AS job_id, o_orderpriority AS glue_remark, o_orderdate AS update_time
+SELECT o_orderkey AS id, o_custkey AS job_id, o_orderpriority AS glue_remark, o_orderdate AS update_time
 FROM {orders}""",
     "job_template": """
-SELECT CAST(p_partkey AS INT) AS id, CAST(p_size % 5 + 1 AS INT) AS job_group, p_name AS job_desc,
+SELECT p_partkey AS id, CAST(p_size % 5 + 1 AS INT) AS job_group, p_name AS job_desc,
        CAST(p_size % 30 AS INT) AS project_id, CAST(p_partkey % 6 AS INT) AS user_id, p_type AS executor_handler
 FROM {part}""",
     "job_permission": """
-SELECT CAST(p_partkey AS INT) AS id, p_name AS name, p_type AS description,
+SELECT p_partkey AS id, p_name AS name, p_type AS description,
        concat('/api/', p_brand) AS url, CAST(p_partkey % 10 AS INT) AS pid
 FROM {part}""",
     "role_user": "SELECT n_regionkey AS job_user_id, n_nationkey AS job_role_id FROM {nation}",
     "job_role": "SELECT n_nationkey AS id, n_name AS name FROM {nation} WHERE n_nationkey <> 7",
     "job_permission_role": """
-SELECT s_nationkey AS role_id, CAST(s_suppkey * 25 AS INT) AS permission_id FROM {supplier}""",
+SELECT s_nationkey AS role_id, s_suppkey * 25 AS permission_id FROM {supplier}""",
     "job_datasource": """
 SELECT s_suppkey AS id, s_name AS datasource_name, CASE WHEN s_suppkey % 3 = 0 THEN 'sales' ELSE 'stock' END AS datasource_group,
        CASE WHEN s_suppkey % 5 <> 0 THEN concat('user', CAST(s_suppkey % 4 AS STRING)) END AS jdbc_username,
@@ -125,21 +125,25 @@ SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'renamed' END AS dataso
        CASE WHEN s_suppkey % 6 = 0 THEN 1 END AS status
 FROM {supplier} WHERE s_suppkey % 2 = 0""",
     "cells": """
-SELECT CAST(c_custkey AS STRING) AS rowkey, 'cf' AS family, 'name' AS qualifier, 1 AS ver, c_name AS value FROM {customer}
-UNION ALL SELECT CAST(c_custkey AS STRING), 'cf', 'nation', 1, CAST(c_nationkey AS STRING) FROM {customer}
-UNION ALL SELECT CAST(c_custkey AS STRING), 'cf', 'nation', 2, CAST(c_nationkey + 100 AS STRING) FROM {customer} WHERE c_custkey % 2 = 0
-UNION ALL SELECT CAST(c_custkey AS STRING), 'cf', 'segment', 1, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END FROM {customer}""",
+SELECT CAST(c_custkey AS STRING) AS rowkey, 'cf' AS family,
+       CASE k WHEN 1 THEN 'name' WHEN 4 THEN 'segment' ELSE 'nation' END AS qualifier, CASE k WHEN 3 THEN 2 ELSE 1 END AS ver,
+       CASE k WHEN 1 THEN c_name WHEN 2 THEN CAST(c_nationkey AS STRING) WHEN 3 THEN CAST(c_nationkey + 100 AS STRING)
+              ELSE CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END END AS value
+FROM (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, explode(sequence(1, 4)) AS k FROM {customer}) AS c
+WHERE k <> 3 OR c_custkey % 2 = 0""",
     "callbacks": """
-SELECT event_id AS log_id, 1 AS arrival, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code,
-       concat('done ', CAST(event_id AS STRING)) AS msg FROM {events}
-UNION ALL SELECT event_id, 2, 500, 'again' FROM {events} WHERE event_id % 10 = 0
-UNION ALL SELECT event_id + 1000000, 1, 200, CAST(NULL AS STRING) FROM {events} WHERE event_id % 50 = 0""",
+SELECT CASE k WHEN 3 THEN event_id + 1000000 ELSE event_id END AS log_id, CASE k WHEN 2 THEN 2 ELSE 1 END AS arrival,
+       CASE WHEN k = 2 OR (k = 1 AND event_type = 'error') THEN 500 ELSE 200 END AS code,
+       CASE k WHEN 1 THEN concat('done ', CAST(event_id AS STRING)) WHEN 2 THEN 'again' END AS msg
+FROM (SELECT event_id, event_type, explode(sequence(1, 3)) AS k FROM {events}) AS e
+WHERE k = 1 OR (k = 2 AND event_id % 10 = 0) OR (k = 3 AND event_id % 50 = 0)""",
     "run_events": """
-SELECT event_id AS log_id, 1 AS seq, 'trigger' AS kind, ts AS event_time,
-       CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code, CAST(NULL AS STRING) AS process_id FROM {events}
-UNION ALL SELECT event_id, 2, 'process', ts, CAST(NULL AS INT), CAST(1000 + event_id AS STRING) FROM {events} WHERE event_type <> 'error'
-UNION ALL SELECT event_id, 3, 'handle', ts + INTERVAL '5' MINUTE, CASE WHEN event_type = 'signup' THEN 500 ELSE 200 END,
-       CAST(NULL AS STRING) FROM {events} WHERE event_type IN ('purchase', 'view', 'signup')""",
+SELECT event_id AS log_id, CAST(k AS INT) AS seq, CASE k WHEN 1 THEN 'trigger' WHEN 2 THEN 'process' ELSE 'handle' END AS kind,
+       CASE k WHEN 3 THEN ts + INTERVAL '5' MINUTE ELSE ts END AS event_time,
+       CASE k WHEN 1 THEN CASE WHEN event_type = 'error' THEN 500 ELSE 200 END WHEN 3 THEN CASE WHEN event_type = 'signup' THEN 500 ELSE 200 END END AS code,
+       CASE k WHEN 2 THEN CAST(1000 + event_id AS STRING) END AS process_id
+FROM (SELECT event_id, event_type, ts, explode(sequence(1, 3)) AS k FROM {events}) AS e
+WHERE k = 1 OR (k = 2 AND event_type <> 'error') OR (k = 3 AND event_type IN ('purchase', 'view', 'signup'))""",
     "run_messages": """
 SELECT event_id AS log_id, CASE WHEN event_id % 2 = 0 THEN 'mysql' WHEN event_id % 5 = 0 THEN 'hive' ELSE 'oracle' END AS db_type,
        CASE WHEN event_id % 2 = 0 THEN
@@ -178,32 +182,32 @@ SELECT event_id AS run_id, user_id AS job_id,
        CASE WHEN event_type = 'click' THEN ts - INTERVAL '2' DAY ELSE ts - INTERVAL '1' HOUR END AS window_start, ts AS window_end
 FROM {events}""",
     "run_log_lines": """
-SELECT event_id AS log_id, 1 AS line_no, concat('任务启动时刻                    : ', CAST(DATE '2024-01-01' AS STRING), ' 11:20:15') AS line FROM {events}
-UNION ALL SELECT event_id, 2, concat('任务总计耗时                    :                 ', CAST(event_id % 60 + 1 AS STRING), 's') FROM {events}
-UNION ALL SELECT event_id, 3, concat('记录写入速度                    :              ', CAST(event_id % 7 AS STRING), 'rec/s') FROM {events}
-UNION ALL SELECT event_id, 4, concat('读出记录总数                    :                  ', CAST(event_id AS STRING)) FROM {events}
-UNION ALL SELECT event_id, 5, concat('读写失败总数                    :                   ', CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE '0' END) FROM {events}""",
+SELECT event_id AS log_id, CAST(k AS INT) AS line_no,
+       CASE k WHEN 1 THEN concat('任务启动时刻                    : ', CAST(DATE '2024-01-01' AS STRING), ' 11:20:15')
+              WHEN 2 THEN concat('任务总计耗时                    :                 ', CAST(event_id % 60 + 1 AS STRING), 's')
+              WHEN 3 THEN concat('记录写入速度                    :              ', CAST(event_id % 7 AS STRING), 'rec/s')
+              WHEN 4 THEN concat('读出记录总数                    :                  ', CAST(event_id AS STRING))
+              ELSE concat('读写失败总数                    :                   ', CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE '0' END) END AS line
+FROM (SELECT event_id, explode(sequence(1, 5)) AS k FROM {events}) AS e""",
     "task_log": """
-SELECT user_id AS log_id, event_id * 10 AS line_no,
-       concat(substring(CAST(ts AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
-              '-reader] INFO CommonRdbmsReader$Task - Begin to read record by Sql: [select id, name FROM T_',
-              CAST(user_id % 9 AS STRING), CASE WHEN event_id % 3 = 0 THEN ' where id > 7' ELSE '' END) AS line FROM {events}
-UNION ALL SELECT user_id, event_id * 10 + 1,
-       concat('] jdbcUrl:[jdbc:mysql://DB-', CAST(user_id % 4 AS STRING), '.local:3306/shop?useSSL=false].') FROM {events}
-UNION ALL SELECT user_id, event_id * 10 + 2,
-       concat(substring(CAST(ts + INTERVAL '40' SECOND AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
-              '-reader] INFO CommonRdbmsReader$Task - Finished read record by Sql: [select id, name FROM T_',
-              CAST(user_id % 9 AS STRING)) FROM {events} WHERE event_type IN ('click', 'view')
-UNION ALL SELECT user_id, event_id * 10 + 2,
-       concat(substring(CAST(ts + INTERVAL '3' MINUTE AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
-              '-reader] INFO CommonRdbmsReader$Task - Finished  read record by Sql: [select id, name FROM T_',
-              CAST(user_id % 9 AS STRING)) FROM {events} WHERE event_type = 'signup'
-UNION ALL SELECT user_id, event_id * 10 + 3,
-       concat(substring(CAST(ts + INTERVAL '50' SECOND AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
-              '-writer] INFO Writer$Task - Begin to commit blocks') FROM {events} WHERE event_type <> 'error'
-UNION ALL SELECT user_id, event_id * 10 + 4,
-       concat(substring(CAST(ts + INTERVAL '65' SECOND AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
-              '-writer] INFO Writer$Task - commit blocks ok') FROM {events} WHERE event_type IN ('click', 'view')""",
+SELECT user_id AS log_id, event_id * 10 + k AS line_no,
+       CASE k WHEN 0 THEN
+         concat(substring(CAST(ts AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
+                '-reader] INFO CommonRdbmsReader$Task - Begin to read record by Sql: [select id, name FROM T_',
+                CAST(user_id % 9 AS STRING), CASE WHEN event_id % 3 = 0 THEN ' where id > 7' ELSE '' END)
+       WHEN 1 THEN concat('] jdbcUrl:[jdbc:mysql://DB-', CAST(user_id % 4 AS STRING), '.local:3306/shop?useSSL=false].')
+       WHEN 2 THEN
+         concat(substring(CAST(CASE event_type WHEN 'signup' THEN ts + INTERVAL '3' MINUTE ELSE ts + INTERVAL '40' SECOND END AS STRING), 1, 19),
+                '.000 [0-0-', CAST(event_id AS STRING), '-reader] INFO CommonRdbmsReader$Task - Finished ',
+                CASE event_type WHEN 'signup' THEN ' ' ELSE '' END, 'read record by Sql: [select id, name FROM T_', CAST(user_id % 9 AS STRING))
+       WHEN 3 THEN
+         concat(substring(CAST(ts + INTERVAL '50' SECOND AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
+                '-writer] INFO Writer$Task - Begin to commit blocks')
+       ELSE
+         concat(substring(CAST(ts + INTERVAL '65' SECOND AS STRING), 1, 19), '.000 [0-0-', CAST(event_id AS STRING),
+                '-writer] INFO Writer$Task - commit blocks ok') END AS line
+FROM (SELECT event_id, user_id, event_type, ts, explode(sequence(0, 4)) AS k FROM {events}) AS e
+WHERE k < 2 OR (k = 2 AND event_type IN ('click', 'view', 'signup')) OR (k = 3 AND event_type <> 'error') OR (k = 4 AND event_type IN ('click', 'view'))""",
     "job_json": """
 SELECT c_custkey AS id,
        concat('{{"job":{{"setting":{{"speed":{{"channel":3}}}},"content":[{{"reader":{{"name":"',
@@ -211,16 +215,6 @@ SELECT c_custkey AS id,
               '","parameter":{{"username":"u', CAST(c_custkey % 7 AS STRING), '","password":"p","splitPk":"","connection":[{{"table":["t',
               CAST(c_custkey % 3 AS STRING), '"],"jdbcUrl":["jdbc:mysql://h/d"]}}],"column":["id","',
               lower(c_mktsegment), '"]}}}},"writer":{{"name":"mysqlwriter","parameter":{{"username":"w","password":"q","column":["id","v"]}}}}}}]}}}}') AS job_json
-FROM {customer}""",
-    "job_cron": """
-SELECT CAST(c_custkey AS INT) AS id,
-       CASE CAST(c_custkey % 16 AS INT)
-            WHEN 0 THEN '0 0 12 * * ?'      WHEN 1 THEN '0/20 * * * * ?'     WHEN 2 THEN '0 15 10 L * ?'
-            WHEN 3 THEN '0 0 8-10,20 ? * MON-FRI' WHEN 4 THEN '0 30 6 15W * ?' WHEN 5 THEN '0 0 0 LW * ?'
-            WHEN 6 THEN '0 0 1 ? * 6#3'     WHEN 7 THEN '0 0 1 ? * 6L'       WHEN 8 THEN '0 0 0 29 2 ?'
-            WHEN 9 THEN '0 0 12 1 1 ? 2026-2028' WHEN 10 THEN '15,45 10/25 22-2 * * ?' WHEN 11 THEN '0 0 12 * *'
-            WHEN 12 THEN '0 0 12 * * *'     WHEN 13 THEN '0 61 12 * * ?'     WHEN 14 THEN '0 0 9 L-3 * ?'
-            ELSE '0 0 12 1 1 ? 2020' END AS job_cron
 FROM {customer}""",
 }
 
@@ -261,4 +255,4 @@ def _references(text: str) -> list[str]:
 def ansi_view(name: str) -> str:
     """The view's text for the SQL check, reading the tables under their own names."""
     text = VIEWS[name]
-    return text.format(**{n: n for n in _references(text)}).replace("TIMESTAMP_NTZ '", "TIMESTAMP '").strip()
+    return text.format(**{n: n for n in _references(text)}).replace("TIMESTAMP_NTZ '", "TIMESTAMP '").replace("explode(sequence(", "unnest(generate_series(").strip()

@@ -1,14 +1,11 @@
-"""Credentials, URLs, log mining and cron expressions against known values."""
+"""Credentials, URLs, and log mining against known values."""
 
-import datetime as dt
 import json
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablesync.functions import credentials, sources
-from tablesync.functions.cron import fire_times, next_fire_times
 from tablesync.operators import logmine, profile
 
 # A stored value: the text "root" under this seed.
@@ -101,95 +98,3 @@ def test_candidate_keys_with_nulls(spark):
     df = spark.createDataFrame([(1, 1, None), (2, 1, 3), (3, 2, 4)], "a int, b int, c int")
     got = {r.columns: r.is_key for r in profile.candidate_keys(df, pairs=True).collect()}
     assert got == {"a": True, "b": False, "c": False, "a,b": True, "a,c": False, "b,c": False}
-
-
-# ---------------------------------------------------------------- cron
-
-NOW = "2024-01-30 23:58:00"
-
-
-def _fires(spark, crons, now=NOW, n=5):
-    df = spark.createDataFrame([(c,) for c in crons], "cron string")
-    return {r.cron: (r.valid, [t.strftime("%Y-%m-%d %H:%M:%S") for t in r.fires] if r.fires is not None else None) for r in fire_times(df, "cron", now, n).collect()}
-
-
-def test_known_fire_times(spark):
-    want = {
-        "0 59 23 30 1 ?": ["2024-01-30 23:59:00", "2025-01-30 23:59:00", "2026-01-30 23:59:00"],
-        "30 58 23 * * ?": ["2024-01-30 23:58:30", "2024-01-31 23:58:30", "2024-02-01 23:58:30"],
-        "0 0 0 1W 6 ?": ["2024-06-03 00:00:00", "2025-06-02 00:00:00", "2026-06-01 00:00:00"],
-        "0 0 0 31W 3 ?": ["2024-03-29 00:00:00", "2025-03-31 00:00:00", "2026-03-31 00:00:00"],
-        "0 0 0 L-2W 2 ?": ["2024-02-27 00:00:00", "2025-02-26 00:00:00", "2026-02-26 00:00:00"],
-        "0 0 0 ? 2 5#5": ["2024-02-29 00:00:00", "2052-02-29 00:00:00", "2080-02-29 00:00:00"],
-        "0 0 0 ? * L": ["2024-02-03 00:00:00", "2024-02-10 00:00:00", "2024-02-17 00:00:00"],
-        "0 0 0 ? NOV-FEB SAT-SUN": ["2024-02-03 00:00:00", "2024-02-04 00:00:00", "2024-02-10 00:00:00"],
-        "0 0 0 30 2 ?": [],
-        "0 0 12 ? * 2 2024/50": ["2024-02-05 12:00:00", "2024-02-12 12:00:00", "2024-02-19 12:00:00"],
-    }
-    got = _fires(spark, want, n=3)
-    assert {c: g[1] for c, g in got.items()} == want and all(g[0] for g in got.values())
-
-
-@pytest.mark.parametrize("cron", [
-    "", "* * * * *", "0 0 0 ? * ?", "0 0 0 * * *", "60 * * * * ?", "* 60 * * * ?", "* * 24 * * ?", "* * * 0 * ?", "* * * 32 * ?", "* * * * 13 ?",
-    "* * * ? * 8", "* * * ? * 0", "*/60 * * * * ?", "* * */24 * * ?", "a * * * * ?", "* * * L,5 * ?", "* * * ? * 2#6", "* * * ? * 2L,3", "* * * ? FOO 2",
-    "* * * L-31 * ?", "* * * 32W * ?", "? * * * * ?", "-5 * * * * ?", "5- * * * * ?", "* * * ? * 2#1,3#1", "0 0 0 1 1 ? 2030-2020",
-])
-def test_invalid_expressions(spark, cron):
-    assert _fires(spark, [cron])[cron] == (False, None)
-
-
-def _brute(sec, minute, hour, dom, mon, dow, now, n):
-    """Fire times by walking the days; plain number sets, one of dom and dow is None."""
-    out, day = [], now.date()
-    while len(out) < n and day.year < now.year + 30:
-        weekday = day.isoweekday() % 7 + 1
-        if day.month in mon and (dom is None or day.day in dom) and (dow is None or weekday in dow):
-            for h in sorted(hour):
-                for m in sorted(minute):
-                    for s in sorted(sec):
-                        t = dt.datetime.combine(day, dt.time(h, m, s))
-                        if t > now and len(out) < n:
-                            out.append(t.strftime("%Y-%m-%d %H:%M:%S"))
-        day += dt.timedelta(1)
-    return out
-
-
-def test_random_expressions_against_brute_force(spark):
-    rng = random.Random(7)
-
-    def field(low, high):
-        kind = rng.choice(["*", "one", "list", "range", "step", "from"])
-        if kind == "*":
-            return "*", set(range(low, high + 1))
-        a, b = rng.randint(low, high), rng.randint(low, high)
-        if kind == "one":
-            return str(a), {a}
-        if kind == "list":
-            return f"{a},{b}", {a, b}
-        if kind == "range":
-            values = set(range(a, b + 1)) if a <= b else set(range(a, high + 1)) | set(range(low, b + 1))
-            return f"{a}-{b}", values
-        step = rng.randint(1, min(7, high))
-        if kind == "step":
-            return f"*/{step}", set(range(low, high + 1, step))
-        return f"{a}/{step}", set(range(a, high + 1, step))
-
-    crons = {}
-    now = dt.datetime(2024, 2, 27, 22, 17, 40)
-    for _ in range(60):
-        (s, S), (m, M), (h, H), (mo, MO) = field(0, 59), field(0, 59), field(0, 23), field(1, 12)
-        if rng.random() < 0.5:
-            d, D = field(1, 31)
-            crons[f"{s} {m} {h} {d} {mo} ?"] = _brute(S, M, H, D, MO, None, now, 5)
-        else:
-            w, W = field(1, 7)
-            crons[f"{s} {m} {h} ? {mo} {w}"] = _brute(S, M, H, None, MO, W, now, 5)
-    got = _fires(spark, crons, str(now))
-    assert {c: g[1] for c, g in got.items()} == crons
-
-
-def test_jobs_share_expressions(spark, rows):
-    jobs = spark.createDataFrame([(1, "0 0 12 * * ?"), (2, "0 0 12 * * ?"), (3, "bad"), (4, None)], "id int, job_cron string")
-    got = next_fire_times(jobs, NOW, 2)
-    assert rows(got, "id", "valid", "fire_no") == [(1, True, 1), (1, True, 2), (2, True, 1), (2, True, 2), (3, False, None), (4, False, None)]

@@ -6,9 +6,6 @@ from tablesync.operators import retention, runs
 from tablesync.operators.common import newest_per_key
 from tablesync.queries import QUERIES
 
-RUNS_JOBS = {"dependency_closure", "batch_sync", "sync_counters", "sink_console_or_noop"}
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -47,8 +44,6 @@ def test_page_is_a_top_k(spark, sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_global_window(name, spark, sf_dir):
-    if name in RUNS_JOBS or name.startswith(("stream_", "sink_", "inc_run", "inc_stream", "scan_delimited", "scan_partition")):
-        pytest.skip("runs its own jobs")
     plan = _plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     lines = plan.splitlines()
@@ -57,3 +52,22 @@ def test_no_cross_join_and_no_global_window(name, spark, sf_dir):
             shuffle = next((below for below in lines[i:] if "Exchange" in below), "")
             assert "SinglePartition" not in shuffle
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["registry_latest", "job_last_status", "log_lifecycle", "run_duration_stats", "advance_watermark", "log_count_by_day"])
+def test_newest_rows_need_no_sorted_input(name, spark, sf_dir):
+    assert "SortAggregate" not in _plan(QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("view", ["cells", "callbacks", "run_events", "run_log_lines", "task_log"])
+def test_a_view_scans_its_table_once(view, tables):
+    assert _plan(getattr(tables, view)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["clear_before_time", "clear_by_type", "clear_keep_newest", "retention_days", "fail_candidates"])
+def test_lists_are_not_sorted(name, spark, sf_dir):
+    assert "rangepartitioning" not in _plan(QUERIES[name](spark, sf_dir))
+
+
+def test_profiles_do_not_multiply_rows(spark, sf_dir):
+    assert "Expand" not in _plan(QUERIES["profile_table"](spark, sf_dir)) and "Expand" not in _plan(QUERIES["candidate_keys"](spark, sf_dir))

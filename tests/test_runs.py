@@ -80,31 +80,44 @@ def test_versions_to_drop_with_a_hot_job(spark, rows):
 
 
 def test_child_list_entries(spark):
-    jobs = spark.createDataFrame([(1, "2,,x, 3,+4,,"), (2, None), (3, " "), (4, "0,-1,99999999999")], "id int, child_jobid string")
+    jobs = spark.createDataFrame([(1, "2,,x, 3,+4,,"), (2, None), (3, " "), (4, "0,-1,99999999999,99999999999999999999")], "id int, child_jobid string")
     got = [(r.parent_id, r.position, r.entry, r.child_id) for r in dependencies.child_edges(jobs).orderBy("parent_id", "position").collect()]
     assert got == [(1, 1, "2", 2), (1, 2, "", None), (1, 3, "x", None), (1, 4, " 3", None), (1, 5, "+4", 4),
-                   (4, 1, "0", None), (4, 2, "-1", None), (4, 3, "99999999999", None)]
+                   (4, 1, "0", None), (4, 2, "-1", None), (4, 3, "99999999999", 99999999999), (4, 4, "99999999999999999999", None)]
 
 
 def test_closure_ends_on_cycles_and_finds_smallest_depth(spark, rows):
     jobs = spark.createDataFrame([(1, "2,3"), (2, "4"), (3, "4,1"), (4, "5"), (5, "2,6"), (6, "7"), (7, "77"), (8, "1")], "id int, child_jobid string")
     want = [(2, 1), (3, 1), (4, 2), (5, 3), (6, 4), (7, 5)]
-    assert rows(dependencies.dependency_closure(jobs, 1, 2)) == want
-    assert rows(dependencies.dependency_closure(jobs, 1, 4)) == want
+    assert rows(dependencies.dependency_closure(jobs, 1)) == want
     assert rows(dependencies.dependency_closure(jobs, 7)) == []
 
 
-def test_callback_message_is_appended_and_cut(spark):
-    log = spark.createDataFrame([(1, 9, 0, "a" * 14_999, None), (2, 9, 200, "kept", None)], "id int, job_id int, handle_code int, handle_msg string, handle_time timestamp_ntz")
+def test_callback_message_is_appended_whole(spark):
+    log = spark.createDataFrame([(1, 9, 0, "a" * 20_000, None), (2, 9, 200, "kept", None)], "id int, job_id int, handle_code int, handle_msg string, handle_time timestamp_ntz")
     calls = spark.createDataFrame([(1, 1, 500, "b"), (1, 2, 200, "c"), (2, 1, 500, "d")], "log_id int, arrival int, code int, msg string")
     got = {r.id: r for r in dependencies.callback_apply(log, calls, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).collect()}
-    assert got[1].handle_code == 500 and len(got[1].handle_msg) == 15_000 and got[1].handle_msg.endswith("a<")
+    assert got[1].handle_code == 500 and got[1].handle_msg == "a" * 20_000 + "<br>b"
     assert got[2].handle_code == 200 and got[2].handle_msg == "kept" and got[2].handle_time is None
 
 
-def test_message_cap(spark):
-    df = spark.createDataFrame([("x" * 50_000,), ("x" * 50_001,)], "m string").select(F.length(dependencies.cap_message(F.col("m"))).alias("n"))
-    assert sorted(r.n for r in df.collect()) == [50_000, 50_003]
+def test_messages_a_column_would_not_hold(spark):
+    df = spark.createDataFrame([("x" * 50_000,), ("x" * 50_001,), (None,)], "m string").select(dependencies.over_column_size(F.col("m"), 50_000).alias("over"))
+    assert sorted(r.over for r in df.collect()) == [False, False, True]
+
+
+def test_quantiles_are_exact(spark):
+    log = spark.range(30_000).selectExpr("id % 2 AS job_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS trigger_time", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS handle_time")
+    got = {r.job_id: (r.runs, r.p50_s, r.p95_s) for r in runs.run_duration_stats(log).collect()}
+    assert got == {0: (15_000, 14_998, 28_498), 1: (15_000, 14_999, 28_499)}
+
+
+def test_keep_newest_among_ties_and_missing_times(spark):
+    data = [(i, 1, 1, f"2024-01-0{1 + i % 3} 00:00:0{i % 2}" if i % 7 else None) for i in range(60)]
+    log = spark.createDataFrame(data, "id int, job_id int, job_group int, t string").selectExpr("id", "job_id", "job_group", "CAST(t AS TIMESTAMP_NTZ) AS trigger_time")
+    newest = [r[0] for r in sorted(data, key=lambda r: (r[3] or "", r[0]), reverse=True)]
+    for keep in (0, 1, 17, 20, 50, 55, 59, 60, 90):
+        assert sorted(r.id for r in retention.clear_keep_newest(log, keep).collect()) == sorted(newest[keep:])
 
 
 def test_repeated_triggers(spark, rows):

@@ -17,6 +17,19 @@ def test_delimited_by_position_with_header_and_constant(spark, tmp_path):
     assert got[0].asDict().keys() == {"_c2", "no", "tag"}
 
 
+@pytest.mark.parametrize("header", [False, True])
+def test_text_lines_carry_quotes_commas_and_empty_text(spark, rows, header):
+    data = [(1, 'say "hi"', ""), (2, "a,b", None), (3, '"', "\\"), (None, " lead", "trail "), (5, "#x", '"q"')]
+    df = spark.createDataFrame(data, "n int, a string, b string")
+    path = write_files(df, scratch_path(spark, "lines"), "t", "text", sep="\u0001", header=header)
+    columns = [{"index": i, "type": ty, "name": n} for i, (n, ty) in enumerate([("n", "long"), ("a", "string"), ("b", "string")])]
+    back = files.read_file(spark, path, "text", columns, sep="\u0001", skip_header=header)
+    assert rows(back) == sorted(data, key=repr)
+    for bad in ("x\u0001y", "x\ny", "\\N"):
+        with pytest.raises(Exception):
+            write_files(spark.createDataFrame([(bad,)], "a string"), scratch_path(spark, "lines"), "t", "text", sep="\u0001")
+
+
 @pytest.mark.parametrize("kind", ["seq", "rc", "xls"])
 def test_unreadable_types_are_named(spark, kind):
     with pytest.raises(ValueError):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tablesync.operators import mapping
 from tablesync.operators.increment import INC_ID, INC_TIME
-from tablesync.plans.incremental import IncrementState, run_incremental
-from tablesync.plans.sync import SyncSpec, batch_sync, run_sync, sync_counters, target_rows
+from tablesync.plans.incremental import IncrementState, QuerySource, bounds, run_incremental, stored_state
+from tablesync.plans.sync import SyncSpec, batch_sync, compact, run_sync, sync_counters, target_rows
 from tablesync.session import scratch_path
 from tablesync.sinks import publish as pub
 
@@ -21,7 +21,9 @@ def test_map_columns_needs_equal_counts(tables):
 def test_parameters():
     params = mapping.parse_definitions("-DlastTime=2024-01-01 -Dn=5")
     assert mapping.substitute_params("/x/p=${lastTime}/${n}", params) == "/x/p=2024-01-01/5"
-    assert mapping.bind_params("a >= ${lastTime}") == "a >= :lastTime"
+    assert mapping.bind_params("a >= ${lastTime} AND b < '${n}' AND c = 'it''s'") == "a >= :lastTime AND b < :n AND c = 'it''s'"
+    with pytest.raises(ValueError):
+        mapping.bind_params("a LIKE 'x${n}%'")
     with pytest.raises(KeyError):
         mapping.substitute_params("${other}", params)
 
@@ -91,7 +93,7 @@ def test_overwrite_replaces_and_append_adds(spark):
 
 def test_upsert_merges_repeats_and_compacts(spark, rows):
     first = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "b2", 2)], "id int, v string, ver int")
-    spec = _spec(spark, first, mode="upsert", upsert_keys=["id"], upsert_order=["ver"], compact_ratio=1e9)
+    spec = _spec(spark, first, mode="upsert", upsert_keys=["id"], upsert_order=["ver"])
     run_sync(spark, spec)
     assert rows(target_rows(spark, spec)) == [(1, "a", 1), (2, "b2", 2)]
     second = spark.createDataFrame([(2, "late", 0), (3, "c", 0)], "id int, v string, ver int")
@@ -100,7 +102,10 @@ def test_upsert_merges_repeats_and_compacts(spark, rows):
     want = [(1, "a", 1), (2, "late", 0), (3, "c", 0)]
     assert rows(target_rows(spark, spec)) == want
     assert pub.current_parts(spark, spec.target)[0] is None
-    run_sync(spark, replace(step, compact_ratio=0.0))  # the repeated batch changes nothing but is merged into a full version
+    run_sync(spark, step)  # the repeated batch changes nothing
+    assert rows(target_rows(spark, spec)) == want
+    compact(spark, spec)
+    assert len(pub.versions(spark, spec.target)) == 1
     full, deltas = pub.current_parts(spark, spec.target)
     assert full and not deltas
     assert rows(target_rows(spark, spec)) == want
@@ -143,3 +148,64 @@ def test_id_run_leaves_the_largest_id_for_later(spark, tables):
     assert result.write_count == tables.orders.count() - 1
     result, _ = run_incremental(spark, spec, after, "2024-01-01 00:00:00")
     assert result.write_count == 0
+
+
+def test_null_keys_are_replaced_like_any_other(spark, rows):
+    first = spark.createDataFrame([(None, "old"), (1, "a")], "id int, v string")
+    spec = _spec(spark, first, mode="upsert", upsert_keys=["id"], upsert_order=["v"])
+    run_sync(spark, spec)
+    compact(spark, spec)
+    run_sync(spark, replace(spec, read=lambda s: spark.createDataFrame([(None, "new")], "id int, v string")))
+    assert {tuple(r) for r in target_rows(spark, spec).collect()} == {(None, "new"), (1, "a")}
+
+
+def test_two_writers_never_share_a_version(spark):
+    root = scratch_path(spark, "claims")
+    assert [pub.next_version(spark, root) for _ in range(4)] == [1, 2, 3, 4]
+
+
+def test_the_mark_is_stored_with_the_version_and_never_goes_back(spark, tables):
+    columns = ["o_orderkey", "o_totalprice"]
+    spec = SyncSpec(lambda s: tables.orders, scratch_path(spark, "inc-mark"), columns, columns, mode="append")
+    first = IncrementState(INC_ID, "o_orderkey", start_id=5)
+    assert stored_state(spark, spec, first) == first
+    run_incremental(spark, spec, first, "2024-01-01 00:00:00")  # the caller crashes before it saves what was returned
+    top = tables.orders.agg(F.max("o_orderkey")).first()[0]
+    after = stored_state(spark, spec, first)
+    assert after.start_id == top
+    empty = replace(spec, read=lambda s: tables.orders.limit(0))
+    run_incremental(spark, empty, after, "2024-01-02 00:00:00")
+    assert stored_state(spark, spec, first).start_id == top
+    broken = replace(spec, types={"o_totalprice": "date"})
+    with pytest.raises(Exception):
+        run_incremental(spark, broken, first, "2024-01-03 00:00:00")
+    assert stored_state(spark, spec, first).start_id == top
+
+
+def test_bounds_as_a_query_sees_them():
+    state = IncrementState(INC_TIME, "t", start_time="2024-01-01 00:00:00")
+    assert bounds(state, "2024-01-02 03:04:05") == {"lastTime": "1704067200", "currentTime": "1704164645"}
+    assert bounds(replace(state, time_format="yyyy/MM/dd"), "2024-01-02 03:04:05")["currentTime"] == "2024/01/02"
+    assert bounds(IncrementState(INC_ID, "id", start_id=3), "2024-01-02 00:00:00", 9) == {"startId": 3, "endId": 9}
+    day = IncrementState(3, "p", partition="p,-1,yyyyMMdd")
+    assert bounds(day, "2024-01-01 08:00:00") == {"partition": "20231231"}
+
+
+def test_id_bounds_reach_a_query(spark, rows):
+    data = spark.range(10).withColumnRenamed("id", "k")
+    spec = SyncSpec(lambda s: data, scratch_path(spark, "inc-query"), ["k"], ["k"], mode="append")
+    source = QuerySource("SELECT k FROM {t} WHERE k >= ${startId} AND k < ${endId}", {"t": data})
+    run_incremental(spark, spec, IncrementState(INC_ID, "k", start_id=4), "2024-01-01 00:00:00", source)
+    assert rows(target_rows(spark, spec)) == [(k,) for k in range(4, 9)]
+
+
+def test_sinks_see_nothing_of_a_refused_run(spark):
+    spec = _spec(spark, _raw(spark), types=dict(_TYPES), sink="documents", sink_options={"path": scratch_path(spark, "docs")})
+    with pytest.raises(mapping.ErrorLimitExceeded):
+        run_sync(spark, spec)
+    assert not pub.path_exists(spark, spec.sink_options["path"])
+    done = run_sync(spark, replace(spec, max_dirty_records=None, max_dirty_ratio=None))
+    assert (done.read_count, done.write_count, done.fail_count) == (4, 2, 2)
+    assert spark.read.json(spec.sink_options["path"]).count() == 2 and pub.rejected_rows(spark, done.path).count() == 2
+    with pytest.raises(ValueError):
+        run_sync(spark, replace(spec, sink="tape"))
