@@ -122,7 +122,7 @@ def copied_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = materialise(chunk_table(docs, id_col, text_col, least, most), "chunks")
     ordered = F.coalesce("id", F.lit((1 << 63) - 1))
     spread = chunks.select("digest", ordered.alias("order")).groupBy("digest").agg(F.min("order").alias("first_id"), F.max("order").alias("last_id"))
-    shared = spread.where("first_id < last_id").select("digest", "first_id")
+    shared = materialise(spread.where("first_id < last_id").select("digest", "first_id"), "shared")  # on its own it lets Spark split a common chunk
     later = chunks.join(shared, "digest").where(ordered > F.col("first_id"))
     in_row = Window.partitionBy("row").orderBy("k")
     runs = later.withColumn("run", F.col("k") - F.row_number().over(in_row))
