@@ -24,6 +24,8 @@ from tablesync.session import materialise
 
 #: Lines of the shortest run that counts.
 LEAST = 3
+#: Ranks that agree but for their last bits form a block.
+BLOCK_BITS = 10
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,6 +55,21 @@ def _next(step: int) -> Column:
     return F.coalesce(*found)
 
 
+def _refined(classes: DataFrame) -> DataFrame:
+    """``(rank, next, refined)``: the rank plus how many suffixes of the class continue with a smaller one.
+
+    A common line has many continuations, so a class is summed up in blocks of ``next`` first, and then over its blocks.
+    """
+    upto = (Window.unboundedPreceding, -1)
+    blocked = classes.withColumn("block", F.shiftright("next", BLOCK_BITS))
+    inside = Window.partitionBy("rank", "block").orderBy("next").rowsBetween(*upto)
+    blocks = blocked.groupBy("rank", "block").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("rank").orderBy("block").rowsBetween(*upto)
+    blocks = blocks.select("rank", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    counted = blocked.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["rank", "block"])
+    return counted.select("rank", "next", (F.col("rank") + F.col("below") + F.col("inside")).alias("refined"))
+
+
 def ranked_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Suffixes whose first ``least`` lines occur more than once: row, id, at, rank by those lines."""
     lines = materialise(line_table(docs, id_col, text_col), "lines")
@@ -62,9 +79,8 @@ def ranked_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step = min(known, least - known)
         pairs = materialise(suffixes.withColumn("next", _next(step)).where("next IS NOT NULL"), "suffixes")
         classes = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
-        smaller = Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-        classes = classes.select("rank", "next", (F.col("rank") + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias("refined"))
-        suffixes = pairs.join(classes, ["rank", "next"]).select("row", "id", "at", F.col("refined").alias("rank"))
+        refined = materialise(_refined(classes), "classes")  # read from files, both sides of the join are dealt out and a common line can be split
+        suffixes = pairs.join(refined, ["rank", "next"]).select("row", "id", "at", F.col("refined").alias("rank"))
         known += step
     return materialise(suffixes, "suffixes")
 
@@ -73,7 +89,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per run of lines to delete: row, id, first_line, n_lines."""
     suffixes = ranked_suffixes(docs, id_col, text_col, least)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
+    first = materialise(suffixes.groupBy("rank").agg(F.min(place).alias("first")), "first")
     later = suffixes.join(first, "rank").where(place > F.col("first"))
     in_row = Window.partitionBy("row").orderBy("at")
     opens = F.coalesce(F.col("at") > F.lag("at").over(in_row) + least, F.lit(True))
