@@ -42,6 +42,35 @@ def split_bounds(spark: SparkSession, conn: JdbcConnection, table: str, split_pk
     return (None, None) if row is None else (row[0], row[1])
 
 
+NTH_ROW = "SELECT {key} FROM {source} WHERE {key} IS NOT NULL ORDER BY {key} OFFSET {n} ROWS FETCH NEXT 1 ROWS ONLY"
+"""The ``n``-th key in order; databases without this clause take another text."""
+
+
+def _literal(value) -> str:
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def row_ranges(spark: SparkSession, conn: JdbcConnection, source: str, split_pk: str, channels: int = DEFAULT_CHANNELS, nth_row: str = NTH_ROW) -> list[str]:
+    """Conditions that cut ``source`` into at most ``channels`` ranges of about as many rows each, whatever the key's type and skew.
+
+    The database is asked for the keys at the cuts; rows without a key go with the first range.
+    """
+    rows = int(read_query(spark, conn, f"SELECT COUNT({split_pk}) AS n FROM {source}").first()[0])
+    cuts = []
+    for i in range(1, channels):
+        if rows * i // channels:
+            found = read_query(spark, conn, nth_row.format(key=split_pk, source=source, n=rows * i // channels)).first()
+            if found is not None and found[0] not in cuts:
+                cuts.append(found[0])
+    if not cuts:
+        return ["1 = 1"]
+    edges = [_literal(c) for c in cuts]
+    middle = [f"{split_pk} >= {a} AND {split_pk} < {b}" for a, b in zip(edges, edges[1:])]
+    return [f"{split_pk} < {edges[0]} OR {split_pk} IS NULL", *middle, f"{split_pk} >= {edges[-1]}"]
+
+
 def read_table(
     spark: SparkSession,
     conn: JdbcConnection,
@@ -51,15 +80,23 @@ def read_table(
     query_sql: str | None = None,
     split_pk: str | None = None,
     channels: int = DEFAULT_CHANNELS,
+    by_rows: bool = False,
+    nth_row: str = NTH_ROW,
 ) -> DataFrame:
     """Columns of a table with an optional filter; a query, when given, replaces all three.
 
     The filter is the database's own text and runs there, as does the projection. With a split
     key the scan runs as ``channels`` ranges between its smallest and largest value, otherwise
-    as one.
+    as one. ``by_rows`` cuts ranges of equal row counts instead, which suits skewed and text keys; a query is always cut so.
     """
-    if not blank(query_sql):
+    if not blank(query_sql) and blank(split_pk):
         return read_query(spark, conn, query_sql)
+    if not blank(query_sql) or (by_rows and not blank(split_pk)):
+        whole = f"({query_sql}) src" if not blank(query_sql) else table if blank(where) else f"(SELECT * FROM {table} WHERE {where}) src"
+        given = conn.as_options()
+        ranges = row_ranges(spark, conn, whole, split_pk, channels, nth_row)
+        df = spark.read.jdbc(given["url"], whole, predicates=ranges, properties={k: v for k, v in given.items() if k != "url"})
+        return df.select(*columns) if columns and blank(query_sql) else df
     source = table if blank(where) else f"(SELECT * FROM {table} WHERE {where}) src"
     reader = spark.read.format("jdbc").options(**conn.as_options()).option("dbtable", source)
     if not blank(split_pk):

@@ -90,3 +90,21 @@ def test_post_statements_need_a_successful_write(spark, conn):
     with pytest.raises(Exception):
         append_table(bad, conn, "T3", post_sql="INSERT INTO DONE3 VALUES (1)")
     assert read_table(spark, conn, "DONE3").count() == 0
+
+
+def test_text_keys_and_queries_are_read_in_ranges_of_rows(spark, conn, tables, rows):
+    run_statements(spark, conn, ["CREATE TABLE NAMES (K VARCHAR(30), V BIGINT)"])
+    data = spark.range(1000).selectExpr("concat('n', char(39), lpad(CAST(id * id AS STRING), 9, '0')) AS K", "id AS V")
+    append_table(data, conn, "NAMES", partitions=1)
+    run_statements(spark, conn, ["INSERT INTO NAMES VALUES (NULL, 7)"])
+    split = read_table(spark, conn, "NAMES", ["K", "V"], split_pk="K", channels=4, by_rows=True)
+    sizes = split.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 4 and max(sizes) <= 2 * min(sizes)
+    assert split.where("K IS NULL").count() == 1 and rows(split.where("K IS NOT NULL")) == rows(data)
+    query = read_table(spark, conn, query_sql="SELECT O_KEY, O_PRICE FROM ORDERS WHERE O_STATUS = 'F'", split_pk="O_KEY", channels=5)
+    assert query.rdd.getNumPartitions() == 5
+    assert rows(query) == rows(tables.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"))
+    run_statements(spark, conn, ["CREATE TABLE SAME_KEY (K BIGINT)"])
+    append_table(spark.range(30).selectExpr("7L AS K"), conn, "SAME_KEY", partitions=1)
+    same = read_table(spark, conn, "SAME_KEY", split_pk="K", channels=4, by_rows=True)
+    assert same.count() == 30
