@@ -28,7 +28,7 @@ from tablesync.session import materialise
 #: Words of a chunk, at least and at most, and the share of word starts that end one, as a power of two.
 LEAST, MOST, SHARE_BITS = 3, 32, 2
 #: Words of a run of copied chunks from which it is removed.
-PASSAGE = 14
+PASSAGE = 20
 #: Bytes hashed at a time.
 BLOCK = 1 << 20
 

@@ -63,7 +63,7 @@ def test_shared_passages_are_found_wherever_they_stand(docs):
     out = found(chunks.copied_passages(docs(rows)))
     assert {i for i, *_ in out} == planted
     for i, a, b, words, first in out:
-        assert first == i - 20 and rows[i][1].encode()[a:b].strip() in rows[first][1].encode() and words >= 14
+        assert first == i - 20 and rows[i][1].encode()[a:b].strip() in rows[first][1].encode() and words >= chunks.PASSAGE
         assert words >= 25
 
 
