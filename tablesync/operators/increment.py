@@ -80,22 +80,29 @@ def advance_watermark(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     return state.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in jobs.columns])
 
 
-def previous_value(df: DataFrame, key: str, order: str, value: Column, out: str, bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """Adds the last non-null ``value`` before each row of the same ``key`` in ``order`` (a unique id).
-
-    A window over a whole key would put a hot key into one task. Rows are grouped by key and id
-    bucket instead, so a group is bounded by the bucket's width whatever the key holds; a table
-    of one row per key and bucket carries the value across bucket borders.
+def previous_value(
+    df: DataFrame, key: str, order: str, value: Column, out: str, bucket_bits: int = BUCKET_BITS, id_bits: int = 64, level: int = 0
+) -> DataFrame:
+    """Adds the last non-null ``value`` before each row of the same ``key`` in ``order`` (a unique id of ``id_bits`` bits).
+
+    A window over a whole key would put a hot key into one task. Rows are grouped by key and id bucket instead, so a group is
+    bounded by the bucket's width whatever the key holds. One row per key and bucket carries the value across bucket borders;
+    where ids are sparse these rows are many too, so they are carried over buckets of buckets in the same way.
     """
-    rows = df.withColumn("_value", value).withColumn("_bucket", F.shiftright(F.col(order).cast("bigint"), bucket_bits))
-    known = F.when(F.col("_value").isNotNull(), F.col(order))
-    ends = rows.groupBy(key, "_bucket").agg(F.max_by("_value", known).alias("_end"))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(key, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    inside = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carry, [key, "_bucket"], "left")
-    last = F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carry"))
-    return joined.withColumn(out, last).drop("_value", "_bucket", "_carry")
+    bucket, end, carried, found = (f"_{n}{level}" for n in ("bucket", "end", "carry", "value"))
+    rows = df.withColumn(found, value).withColumn(bucket, F.shiftright(F.col(order).cast("bigint"), bucket_bits))
+    known = F.when(F.col(found).isNotNull(), F.col(order))
+    ends = rows.groupBy(key, bucket).agg(F.max_by(found, known).alias(end))
+    left = id_bits - bucket_bits
+    if left <= BUCKET_BITS:
+        before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select(key, bucket, F.last(end, ignorenulls=True).over(before).alias(carried))
+    else:
+        carry = previous_value(ends, key, bucket, F.col(end), carried, BUCKET_BITS, left, level + 1).select(key, bucket, carried)
+    inside = Window.partitionBy(key, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carry, [key, bucket], "left")
+    last = F.coalesce(F.last(found, ignorenulls=True).over(inside), F.col(carried))
+    return joined.withColumn(out, last).drop(found, bucket, carried)
 
 
 def inc_chain(runs: DataFrame, first_start, bucket_bits: int = BUCKET_BITS) -> DataFrame:

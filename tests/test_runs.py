@@ -138,6 +138,16 @@ def test_previous_value_across_buckets(spark, bits):
     assert got == want
 
 
+def test_previous_value_over_sparse_ids(spark):
+    df = spark.range(1500).selectExpr("abs(xxhash64(id)) AS id", "IF(id % 4 = 0, id % 3, 9) AS job_id", "IF(id % 5 = 1, id, NULL) AS v")
+    want, last = {}, {}
+    for r in df.orderBy("id").collect():
+        want[r.id] = last.get(r.job_id)
+        if r.v is not None:
+            last[r.job_id] = r.v
+    assert {r.id: r.prev for r in previous_value(df, "job_id", "id", F.col("v"), "prev").collect()} == want
+
+
 def test_chain_and_audit_do_not_depend_on_the_bucket_width(tables, rows):
     assert rows(inc_chain(tables.job_log, "2024-01-01 00:00:00", 4)) == rows(inc_chain(tables.job_log, "2024-01-01 00:00:00"))
     assert rows(inc_gap_overlap(tables.sync_windows, 3)) == rows(inc_gap_overlap(tables.sync_windows))
