@@ -39,9 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tablesync/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tablesync/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the scratch tables this process has made so far; frames that read them must be done with. Returns their number."""
+    dropped = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -209,3 +209,11 @@ def test_sinks_see_nothing_of_a_refused_run(spark):
     assert spark.read.json(spec.sink_options["path"]).count() == 2 and pub.rejected_rows(spark, done.path).count() == 2
     with pytest.raises(ValueError):
         run_sync(spark, replace(spec, sink="tape"))
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from tablesync.session import drop_scratch, materialise
+
+    drop_scratch(spark)
+    kept = materialise(spark.range(3), "once")
+    assert kept.count() == 3 and drop_scratch(spark) == 1 and drop_scratch(spark) == 0
