@@ -20,7 +20,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ TRAIN_TOXIC = 1200
 TRAIN_OTHER = 2400
 #: Longer documents are not taken into the sample.
 TRAIN_CHARS = 8_000
+#: Characters of the whole sample; with longer documents it holds fewer of them.
+TRAIN_ALL_CHARS = 12_000_000
 THRESHOLD = 0.3
 BUCKETS = 1 << 20
 GRAMS = (3, 4, 5)
@@ -158,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # TRAIN_TOXIC + TRAIN_OTHER rows of two numbers
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS)
     one = texts.join(chosen, "id").groupBy("id", "y").agg(F.max("text").alias("text"))
-    rows = sorted((r.id, r.y, r.text) for r in one.collect())
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample only
+    fits = one.withColumn("chars", F.sum(F.length("text")).over(upto)).where(F.col("chars") <= TRAIN_ALL_CHARS)
+    rows = sorted((r.id, r.y, r.text) for r in fits.select("id", "y", "text").collect())
     return train([t for _, _, t in rows], [y for _, y, _ in rows])
 
 
