@@ -44,7 +44,8 @@ DECAY = 1e-5
 SHRINK = 0.8
 #: N-grams in a smaller or larger share of the sample keep the zero vector.
 LEAST_SHARE, LARGEST_SHARE = 0.005, 0.25
-#: Words a task remembers.
+#: Words that training remembers the n-grams of, and words a task remembers.
+TRAIN_WORDS = 1 << 15
 REMEMBERED = 1 << 19
 
 
@@ -103,6 +104,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         for w in words:
             subs = of_word.get(w)
             if subs is None:
+                if len(of_word) >= TRAIN_WORDS:
+                    of_word.clear()
                 subs = of_word[w] = subwords(w)
             for s in subs:
                 bag[s] = bag.get(s, 0) + 1
@@ -110,12 +113,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         buckets.append(np.fromiter(bag.keys(), np.int32, len(bag)))
         weights.append(np.fromiter(bag.values(), np.float32, len(bag)) / max(1, len(words)))
     doc, bucket, weight = map(np.concatenate, (docs, buckets, weights))
+    docs, buckets, weights, of_word = [], [], [], {}
     n, spread_over = len(texts), np.bincount(bucket, minlength=BUCKETS)
     fit_for = (spread_over >= max(2, LEAST_SHARE * n)) & (spread_over <= max(2, LARGEST_SHARE * n))
     doc, bucket, weight = (x[fit_for[bucket]] for x in (doc, bucket, weight))
     used, column = np.unique(bucket, return_inverse=True)
+    column = column.astype(np.int32)
     m = len(used)
-    by_column = np.argsort(column, kind="stable")
+    by_column = np.argsort(column, kind="stable").astype(np.int32)
     row_starts, column_starts = np.searchsorted(doc, np.arange(n)), np.searchsorted(column[by_column], np.arange(m))
     filled = np.bincount(doc, minlength=n) > 0
     doc_c, weight_c = doc[by_column], weight[by_column]
