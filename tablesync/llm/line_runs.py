@@ -5,7 +5,8 @@ of all sequences are ranked by their first line, then by twice as many lines wit
 refined by the rank of the suffix that starts where its known lines end. Suffixes that share their lines with no other
 are settled and leave. After the rounds, suffixes of equal rank are the intervals of the suffix array whose longest
 common prefix is ``least`` lines or more. In each interval the first suffix stays, and the lines of later ones are deleted;
-overlapping and touching ones join to maximal runs.
+overlapping and touching ones join to maximal runs. With ``words``, shorter runs count too if they hold that many words; the
+ranks then grow by one line a round, so that every length below ``least`` is looked at.
 
 Only DataFrame functions are used. Ranks are running totals over pre-aggregated (rank, next rank) groups, so a common line
 is one group a task and not one row a document.
@@ -17,6 +18,8 @@ an empty result. Columns other than id and text are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +31,11 @@ LEAST = 3
 BLOCK_BITS = 10
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line: row, id, at (its number in the row) and 128 bits of hash."""
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """Every line: row, id, at (its number in the row), 128 bits of hash, and ``more`` made from ``line``."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = rows.where("text <> ''").select("row", "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.select("row", "id", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return lines.select("row", "id", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), *more)
 
 
 def _line_ranks(lines: DataFrame) -> DataFrame:
@@ -70,6 +73,14 @@ def _refined(classes: DataFrame) -> DataFrame:
     return counted.select("rank", "next", (F.col("rank") + F.col("below") + F.col("inside")).alias("refined"))
 
 
+def _refined_by(suffixes: DataFrame, step: int, *carry: str) -> DataFrame:
+    """Suffixes that agree in ``step`` more lines with another one, ranked by these too."""
+    pairs = materialise(suffixes.withColumn("next", _next(step)).where("next IS NOT NULL"), "suffixes")
+    classes = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
+    refined = materialise(_refined(classes), "classes")  # read from files, both sides of the join are dealt out and a common line can be split
+    return pairs.join(refined, ["rank", "next"]).select("row", "id", "at", F.col("refined").alias("rank"), *carry)
+
+
 def ranked_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Suffixes whose first ``least`` lines occur more than once: row, id, at, rank by those lines."""
     lines = materialise(line_table(docs, id_col, text_col), "lines")
@@ -77,29 +88,51 @@ def ranked_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = 1
     while known < least:
         step = min(known, least - known)
-        pairs = materialise(suffixes.withColumn("next", _next(step)).where("next IS NOT NULL"), "suffixes")
-        classes = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
-        refined = materialise(_refined(classes), "classes")  # read from files, both sides of the join are dealt out and a common line can be split
-        suffixes = pairs.join(refined, ["rank", "next"]).select("row", "id", "at", F.col("refined").alias("rank"))
+        suffixes = _refined_by(suffixes, step)
         known += step
     return materialise(suffixes, "suffixes")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """One row per run of lines to delete: row, id, first_line, n_lines."""
-    suffixes = ranked_suffixes(docs, id_col, text_col, least)
+def _later(suffixes: DataFrame, *carry: str) -> DataFrame:
+    """Suffixes that are not the first of their rank."""
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
     first = materialise(suffixes.groupBy("rank").agg(F.min(place).alias("first")), "first")
-    later = suffixes.join(first, "rank").where(place > F.col("first"))
-    in_row = Window.partitionBy("row").orderBy("at")
-    opens = F.coalesce(F.col("at") > F.lag("at").over(in_row) + least, F.lit(True))
-    runs = later.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(in_row))
-    return runs.groupBy("row", "id", "run").agg(F.min("at").alias("first_line"), (F.max("at") - F.min("at") + least).alias("n_lines")).drop("run")
+    return suffixes.join(first, "rank").where(place > F.col("first")).select("row", "id", "at", *carry)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def _later_by_words(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -> DataFrame:
+    """``(row, id, at, to)`` of later copies of ``least`` lines, and of fewer lines that hold ``words`` words."""
+    lines = line_table(docs, id_col, text_col, F.regexp_count("line", F.lit(r"\S+")).alias("words"))
+    on = Window.partitionBy("row").orderBy("at")
+    held = [sum((F.lead("words", j, 0).over(on) for j in range(1, k)), F.col("words")) >= words for k in range(1, least)]
+    lines = materialise(lines.withColumn("enough", F.array(*held, F.lit(True))).drop("words"), "lines")
+    suffixes = materialise(lines.join(_line_ranks(lines), ["h", "g"]).select("row", "id", "at", "rank", "enough"), "suffixes")
+    found = []
+    for known in range(1, least + 1):
+        if known > 1:
+            suffixes = materialise(_refined_by(suffixes, 1, "enough"), "suffixes")
+        # the copy that stays holds the same words, so all of its class can go
+        found.append(_later(suffixes.where(F.col("enough")[known - 1])).withColumn("to", F.col("at") + known))
+    return reduce(DataFrame.union, found)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int | None = None) -> DataFrame:
+    """One row per run of lines to delete: row, id, first_line, n_lines."""
+    in_row = Window.partitionBy("row").orderBy("at")
+    if words is None:
+        later = _later(ranked_suffixes(docs, id_col, text_col, least)).withColumn("to", F.col("at") + least)
+        opens = F.col("at") > F.lag("to").over(in_row)
+    else:
+        later = _later_by_words(docs, id_col, text_col, least, words)
+        opens = F.col("at") > F.max("to").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    in_run = in_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = later.withColumn("opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(in_run))
+    return runs.groupBy("row", "id", "run").agg(F.min("at").alias("first_line"), (F.max("to") - F.min("at")).alias("n_lines")).drop("run")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, words: int | None = None) -> DataFrame:
     """One row per deleted run: id, first_line (from 0), n_lines."""
-    found = repeated_runs(docs, id_col, text_col, least)
+    found = repeated_runs(docs, id_col, text_col, least, words)
     return found.select(F.col("id").alias(id_col), F.col("first_line").cast("long").alias("first_line"), F.col("n_lines").cast("long").alias("n_lines"))
 
 
