@@ -3,11 +3,12 @@
 Every language has a tree of byte contexts up to three bytes long, with counts from all its training texts (A-Z in lower
 case). A byte's code length under a language is that of the longest known context: the byte's share there, or, if it was
 never seen there, the escape's share (escapes count as often as there are different bytes, method C) and the code length
-after one byte less, down to one of 256. The statistics are frozen, so the code lengths of all contexts that any language
-knows form one table, and a text is scored by looking up its bytes. The language with the shortest code wins.
+after one byte less, down to one of 256. The statistics are frozen, so a language's code lengths are one sorted table for each
+order of context, and a text is scored by looking up its different stretches of four bytes. The language with the
+shortest code wins.
 
-Counts are taken in the tasks and summed up in Spark over every training row. The trees keep the most frequent ``grams``
-stretches of a language and the model has at most ``contexts`` contexts of three bytes, so what the tasks get is bounded.
+Counts are taken in the tasks and summed up in Spark over every training row. All counted stretches are kept, so the model grows
+with what the training texts hold: about 16 bytes for each stretch on the driver, 50 in each Python worker.
 
 Defined results: null texts, texts without a letter, and all texts if nothing could be learned are ``und`` with score 0. Rows with a
 null id are predicted but not learned from. Ties go to the first language by name.
@@ -31,9 +32,6 @@ from tablesync.session import materialise
 UNKNOWN = "und"
 #: Bytes of context.
 ORDER = 3
-#: Stretches of four bytes kept for a language, and contexts of three bytes kept in all.
-GRAMS = 60_000
-CONTEXTS = 16_384
 #: Bytes counted or scored at a time.
 BLOCK = 1 << 20
 
@@ -106,7 +104,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Counts:
-    """Kept stretches and counts of each language, the languages in order."""
+    """Stretches and counts of each language, the languages in order."""
 
     languages: list[str]
     grams: list[np.ndarray]
@@ -119,7 +117,7 @@ class Counts:
         return h.hexdigest()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", grams: int = GRAMS) -> Counts:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Counts:
     """Counts over every row that has text, lang and id and is not held out."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id")))
@@ -127,67 +125,59 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = sorted(r.lang for r in counted.select("lang").distinct().toLocalIterator())
     out = Counts(languages, [], [])
     for lang in languages:
-        kept = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(grams).select("gram", "n").collect()
-        kept.sort()
-        out.grams.append(np.array([r.gram for r in kept], np.int64))
-        out.counts.append(np.array([r.n for r in kept], np.int64))
+        found = counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        gram, n = (found.column(c).to_numpy() for c in ("gram", "n"))
+        order = np.argsort(gram)
+        out.grams.append(gram[order].astype(np.int64))
+        out.counts.append(n[order].astype(np.int64))
     return out
 
 
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted numbers are in the sorted keys, and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Tables:
-    """``row_of[context]`` is the row of the longest known context; ``bits[row, byte, language]`` the code length."""
-
-    def __init__(self, counts: Counts, contexts: int = CONTEXTS):
-        seen = np.unique(np.concatenate([(g[:, None] >> np.array([24, 16, 8, 0])).ravel() & 255 for g in counts.grams]))
-        a = self.base = len(seen) + 1
-        self.symbol = np.zeros(256, np.int64)  # 0: never seen in training
-        self.symbol[seen] = np.arange(1, a)
-        many = len(counts.languages)
-        split = [[self.symbol[(g >> s) & 255] for s in (24, 16, 8, 0)] for g in counts.grams]
-        total = _sum([(x[0] * a * a + x[1] * a + x[2], n) for x, n in zip(split, counts.counts, strict=True)])
-        kept = np.sort(total[0][np.argsort(-total[1], kind="stable")[:contexts]])
-        self.row_of = np.zeros((a, a, a), np.int32)
-        self.bits = np.full((1, a, many), 8.0, np.float32)
-        first, rows = 0, 1  # of the contexts one byte shorter
-        suffix_row = np.zeros(1, np.int64)
-        for order in range(ORDER + 1):
-            codes, per = [], []
-            for x, n in zip(split, counts.counts, strict=True):
-                context = sum((x[3 - k] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(len(n), np.int64))
-                pairs, c = _sum([(context * a + x[3], n)])
-                codes.append(pairs // a)
-                per.append((pairs // a, pairs % a, c))
-            known = np.unique(np.concatenate(codes))
-            if order == ORDER:
-                known = np.intersect1d(known, kept)
-            shorter = known % a ** max(0, order - 1)
-            block = self.bits[suffix_row[shorter] if order else [0] * len(known)].copy()
-            for lang, (context, byte, c) in enumerate(per):
-                at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-                ok = known[at] == context
-                at, byte, c = at[ok], byte[ok], c[ok]
-                whole, different = np.bincount(at, c, len(known)), np.bincount(at, minlength=len(known))
-                has = different > 0
-                block[has, :, lang] += np.log2((whole[has] + different[has]) / different[has])[:, None]
-                block[at, byte, lang] = -np.log2(c / (whole[at] + different[at]))
-            first = len(self.bits) if order else 0
-            self.bits = np.concatenate((self.bits, block)) if order else block
-            suffix_row = np.zeros(a**order, np.int64)
-            suffix_row[known] = first + np.arange(len(known))
-            place = self.row_of.reshape(a ** (ORDER - order), a**order)
-            place[:, known] = suffix_row[known]
+    """Code lengths of each language and order: of (context, byte) pairs, and of the escape of each context."""
+
+    def __init__(self, counts: Counts):
+        self.orders = [[self._order(g, n, order) for order in range(ORDER, -1, -1)] for g, n in zip(counts.grams, counts.counts, strict=True)]
+
+    @staticmethod
+    def _order(grams: np.ndarray, n: np.ndarray, order: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        mask = (1 << 8 * (order + 1)) - 1
+        pairs, c = (grams, n) if order == ORDER else _sum([(grams & mask, n)])
+        contexts, of = np.unique(pairs >> 8, return_inverse=True)
+        whole, different = np.bincount(of, c, len(contexts)), np.bincount(of, minlength=len(contexts))
+        bits = -np.log2(c / (whole + different)[of])
+        return mask, pairs.astype(np.uint32), bits.astype(np.float32), contexts.astype(np.uint32), np.log2((whole + different) / different).astype(np.float32)
+
+    def _bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each stretch under each language."""
+        out = np.zeros((len(grams), len(self.orders)))
+        for lang, orders in enumerate(self.orders):
+            left = np.arange(len(grams))
+            for mask, pairs, bits, contexts, escapes in orders:
+                wanted = grams[left] & np.uint32(mask)
+                at, seen = _at(pairs, wanted)
+                out[left[seen], lang] += bits[at[seen]]
+                left, wanted = left[~seen], wanted[~seen]
+                at, known = _at(contexts, wanted >> np.uint32(8))
+                out[left[known], lang] += escapes[at[known]]
+            out[left, lang] += 8.0
+        return out
 
     def bits_of(self, block: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
         sizes = np.array([len(x) for x in block])
-        symbols = self.symbol[np.frombuffer(b"".join(_START + x for x in block), np.uint8)]
-        context = (symbols[:-3] * self.base + symbols[1:-2]) * self.base + symbols[2:-1]
-        each = self.bits[self.row_of.ravel()[context], symbols[3:]].astype(np.float64)
+        raw = np.frombuffer(b"".join(_START + x for x in block), np.uint8).astype(np.uint32)
+        grams, back = np.unique(raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], return_inverse=True)
+        each = self._bits(grams)[back]
         starts = np.concatenate(([0], np.cumsum(sizes + 3)[:-1]))
-        out = np.zeros((len(block), each.shape[1]))
         sums = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each, 0)))
-        out[:] = sums[starts + sizes] - sums[starts]
-        return out
+        return sums[starts + sizes] - sums[starts]
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:

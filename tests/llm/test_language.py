@@ -71,6 +71,18 @@ def test_code_lengths(docs):
     assert np.allclose(got, [slow_bits(counts, t) for t in texts], rtol=1e-4)
 
 
+def test_a_small_language_keeps_its_contexts_beside_a_large_one(docs):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [(i, "".join(rng.choices(letters, k=400)), "zz") for i in range(300)]
+    rows += [(1000 + i, t, "aa") for i, (_, t, _) in enumerate(corpus(40))]
+    counts = language.fit(docs(rows))
+    assert counts.languages == ["aa", "zz"] and len(counts.grams[1]) > 60_000  # nothing is left out
+    texts = ["the andther ing", "".join(rng.choices(letters, k=30)), "über 漢字"]
+    got = language.Tables(counts).bits_of([language._raw(t) for t in texts])
+    assert np.allclose(got, [slow_bits(counts, t) for t in texts], rtol=1e-4)
+
+
 def test_held_out_accuracy(docs):
     rows = corpus()
     lang = {i: x for i, _, x in rows}
