@@ -42,8 +42,8 @@ RATE = 0.3
 #: Weight decay of the vectors, and how far each step pulls a whole vector towards zero, so that chance n-grams lose theirs.
 DECAY = 1e-5
 SHRINK = 0.8
-#: N-grams in a smaller or larger share of the sample keep the zero vector.
-LEAST_SHARE, LARGEST_SHARE = 0.005, 0.25
+#: N-grams in fewer documents of the sample keep the zero vector: they say nothing about any other document.
+LEAST_DOCUMENTS = 2
 #: Words that training remembers the n-grams of, and words a task remembers.
 TRAIN_WORDS = 1 << 15
 REMEMBERED = 1 << 19
@@ -91,14 +91,17 @@ class Model:
         return score
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Vectors and softmax from labelled texts; order of the rows doesn't matter beyond rounding."""
+def train(texts: list[str | None], labels: list[int], seed: int = 7, of_class: tuple[int, int] | None = None) -> Model:
+    """Vectors and softmax from labelled texts; order of the rows doesn't matter beyond rounding.
+
+    ``of_class``: documents of class 0 and 1 that the texts stand for. A class that is drawn from more sparsely weighs more.
+    """
     share = sum(labels) / len(labels) if labels else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), 800.0 if share else -800.0)
-    docs, buckets, weights = [], [], []
+    buckets, weights = [], []
     of_word: dict[bytes, list[int]] = {}
-    for d, text in enumerate(texts):
+    for text in texts:
         words = word_bytes(text)
         bag: dict[int, int] = {}
         for w in words:
@@ -109,24 +112,32 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
                 subs = of_word[w] = subwords(w)
             for s in subs:
                 bag[s] = bag.get(s, 0) + 1
-        docs.append(np.full(len(bag), d, np.int32))
         buckets.append(np.fromiter(bag.keys(), np.int32, len(bag)))
         weights.append(np.fromiter(bag.values(), np.float32, len(bag)) / max(1, len(words)))
-    doc, bucket, weight = map(np.concatenate, (docs, buckets, weights))
-    docs, buckets, weights, of_word = [], [], [], {}
-    n, spread_over = len(texts), np.bincount(bucket, minlength=BUCKETS)
-    fit_for = (spread_over >= max(2, LEAST_SHARE * n)) & (spread_over <= max(2, LARGEST_SHARE * n))
-    doc, bucket, weight = (x[fit_for[bucket]] for x in (doc, bucket, weight))
-    used, column = np.unique(bucket, return_inverse=True)
-    column = column.astype(np.int32)
-    m = len(used)
+    n, of_word = len(texts), {}
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b in buckets])
+    bucket, buckets = np.concatenate(buckets), []  # one after the other, so that few copies are held at a time
+    weight, weights = np.concatenate(weights), []
+    spread_over = np.bincount(bucket, minlength=BUCKETS)
+    fit_for = spread_over >= LEAST_DOCUMENTS
+    used = np.flatnonzero(fit_for)
+    m, column_of = len(used), np.zeros(BUCKETS, np.int32)
+    column_of[used] = np.arange(m)
+    fit_for = fit_for[bucket]
+    doc, weight = doc[fit_for], weight[fit_for]
+    column = column_of[bucket[fit_for]]
+    del bucket, fit_for
     by_column = np.argsort(column, kind="stable").astype(np.int32)
     row_starts, column_starts = np.searchsorted(doc, np.arange(n)), np.searchsorted(column[by_column], np.arange(m))
     filled = np.bincount(doc, minlength=n) > 0
     doc_c, weight_c = doc[by_column], weight[by_column]
+    del doc, by_column
 
     rng = np.random.default_rng(seed)
     y = np.eye(2, dtype=np.float32)[np.asarray(labels)]
+    drawn = np.bincount(labels, minlength=2)
+    stands_for = np.asarray(drawn if of_class is None else of_class) / drawn
+    counts_as = (stands_for[np.asarray(labels)] / (stands_for * drawn).sum()).astype(np.float32)[:, None]  # sums to 1
     params = [np.zeros((m, DIMENSIONS), np.float32), rng.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, EPOCHS + 1):
@@ -136,7 +147,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             bags[filled, j] = np.add.reduceat(vectors[:, j][column] * weight, row_starts[filled])
         logits = bags @ softmax + bias
         e = np.exp(logits - logits.max(1, keepdims=True))
-        error = (e / e.sum(1, keepdims=True) - y) / n
+        error = (e / e.sum(1, keepdims=True) - y) * counts_as
         into = error @ softmax.T
         pulled = [np.add.reduceat(into[:, j][doc_c] * weight_c, column_starts) for j in range(DIMENSIONS)] if m else [np.zeros(0, np.float32)] * DIMENSIONS
         grads = [np.stack(pulled, 1) + DECAY * vectors, bags.T @ error, error.sum(0)]
@@ -168,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample only
     fits = one.withColumn("chars", F.sum(F.length("text")).over(upto)).where(F.col("chars") <= TRAIN_ALL_CHARS)
     rows = sorted((r.id, r.y, r.text) for r in fits.select("id", "y", "text").collect())
-    return train([t for _, _, t in rows], [y for _, y, _ in rows])
+    of_class = dict(known.groupBy("y").count().collect())
+    return train([t for _, _, t in rows], [y for _, y, _ in rows], of_class=(of_class.get(0, 0), of_class.get(1, 0)))
 
 
 def with_score(df: DataFrame, text_col: str, model: Model) -> DataFrame:

@@ -68,3 +68,18 @@ def test_stage_keeps_columns_and_rows_below_the_threshold(spark, docs):
     out = toxicity.drop_toxic(table, known)
     stays = {r.doc_id for r in toxicity.toxicity(table, known).collect() if not r.predicted}
     assert out.columns == table.columns and {r.doc_id for r in out.collect()} == stays
+
+
+def test_a_cue_of_every_toxic_document_is_learned():
+    rng = random.Random(5)
+    clean = ["".join(rng.choices("aeioubcdlmnrst", k=rng.randint(2, 8))) for _ in range(400)]
+    labels = [int(i % 3 == 0) for i in range(300)]
+    texts = [" ".join([*rng.choices(clean, k=30), *["zyxwvq"] * (2 * y)]) for y in labels]
+    score = toxicity.train(texts, labels).scorer()
+    assert all((score(t) >= 0.5) == bool(y) for t, y in zip(texts, labels, strict=True))
+
+
+def test_classes_weigh_what_they_stand_for():
+    texts, labels = ["one and the same"] * 200, [0, 1] * 100
+    share = toxicity.train(texts, labels, of_class=(900, 100)).scorer()(texts[0])
+    assert abs(share - 0.1) < 0.03
