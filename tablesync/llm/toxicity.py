@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesync.llm.common import append_columns, carried, spread, word_bytes
+from tablesync.session import materialise
 
 #: Labelled documents that are learned from at most, toxic and other ones; the bound of the training sample.
 TRAIN_TOXIC = 1200
@@ -169,17 +170,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id") -> Model:
-    """Train on a bounded sample: of each class the labelled rows with the smallest hashes that are not held out."""
+    """Train on a bounded sample: of each class the usable rows with the smallest hashes, labelled, not held out, and with a text that is not too long."""
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER))]
-    chosen = F.broadcast(drawn[0].union(drawn[1]))  # TRAIN_TOXIC + TRAIN_OTHER rows of two numbers
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS)
+    usable = materialise(texts.select("id").distinct().join(known, "id").select("id", "y"), "usable")
+    drawn = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER))]
+    chosen = F.broadcast(drawn[0].union(drawn[1]))  # TRAIN_TOXIC + TRAIN_OTHER rows of two numbers
     one = texts.join(chosen, "id").groupBy("id", "y").agg(F.max("text").alias("text"))
     upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample only
     fits = one.withColumn("chars", F.sum(F.length("text")).over(upto)).where(F.col("chars") <= TRAIN_ALL_CHARS)
     rows = sorted((r.id, r.y, r.text) for r in fits.select("id", "y", "text").collect())
-    of_class = dict(known.groupBy("y").count().collect())
+    of_class = dict(usable.groupBy("y").count().collect())
     return train([t for _, _, t in rows], [y for _, y, _ in rows], of_class=(of_class.get(0, 0), of_class.get(1, 0)))
 
 

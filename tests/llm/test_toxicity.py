@@ -83,3 +83,14 @@ def test_classes_weigh_what_they_stand_for():
     texts, labels = ["one and the same"] * 200, [0, 1] * 100
     share = toxicity.train(texts, labels, of_class=(900, 100)).scorer()(texts[0])
     assert abs(share - 0.1) < 0.03
+
+
+def test_labels_without_a_usable_document_take_no_place(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOXIC", 60)
+    rows, labels = corpus(600)
+    long = [(10_000 + i, "x" * (toxicity.TRAIN_CHARS + 1)) for i in range(300)]
+    absent = [(20_000 + i, 1) for i in range(20_000)]
+    found = toxicity.toxicity(docs(rows + long), frame(spark, labels + [(i, 1) for i, _ in long] + absent)).collect()
+    want = dict(labels)
+    held = [r for r in found if r.held_out and r.doc_id in want]
+    assert sum(r.predicted == want[r.doc_id] for r in held) / len(held) > 0.95
