@@ -1,13 +1,14 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the last sixteen bytes decides at each word's start whether a chunk ends there, so the same passage
-falls into the same chunks wherever it stands and whatever was inserted before it. Chunks have ``least`` to ``most`` words.
+falls into the same chunks wherever it stands and whatever was inserted before it. A word of over 32 bytes, as in scripts without spaces or encoded data, is taken in pieces that
+the same hash cuts between letters, and each piece counts as a word. Chunks have ``least`` to ``most`` words.
 They are deduplicated by digest over all documents: a chunk stays in the document with the smallest id that has it. A run of such
 later chunks counts as a copied passage if it has at least two chunks and ``passage`` words, so phrases that
 chance repeats stay, and a clash of two 64-bit digests alone removes nothing.
 
 Defined results: rows with the same id count as one document, so neither repeats within a document nor repeated rows lose text; a
-null id counts as the largest. Null and empty texts have no chunks. A text without white space is one chunk. An empty
+null id counts as the largest. Null and empty texts have no chunks. An empty
 table gives an empty result. Columns other than id and text are not looked at.
 """
 
@@ -31,6 +32,8 @@ LEAST, MOST, SHARE_BITS = 3, 32, 2
 PASSAGE = 20
 #: Bytes hashed at a time.
 BLOCK = 1 << 20
+#: A word of more bytes is taken in pieces of so many bytes on average, each counted as a word.
+LONG, PIECE = 32, 6
 
 _GAP = 16
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -42,7 +45,7 @@ def gear_table(seed: int = 20) -> np.ndarray:
 
 
 def _ends(raw: np.ndarray, gear: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word starts, and which of them may end a chunk: the rolling hash just before has its leading bits zero."""
+    """Word starts, those of the pieces of long words among them, and which of them may end a chunk: the rolling hash just before has its leading bits zero."""
     h = np.where(inside, gear[raw], np.uint32(0))
     width = 1
     while width < _GAP:  # h over 2w bytes from h over w bytes
@@ -50,6 +53,16 @@ def _ends(raw: np.ndarray, gear: np.ndarray, inside: np.ndarray) -> tuple[np.nda
         width *= 2
     space = _SPACE[raw] | ~inside
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+    long = ends - starts > LONG
+    if long.any():
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[starts[long] + _GAP] += 1  # from there on the hash sees this word only
+        step[ends[long]] -= 1
+        letters = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (raw & 0xC0 != 0x80))
+        width = 1 + sum((np.logical_and.reduce([raw[letters - j] & 0xC0 == 0x80 for j in range(1, k + 1)]) for k in (1, 2, 3)), np.zeros(len(letters), np.int64))
+        piece = h[letters - 1] >> np.uint32(32 - SHARE_BITS - 8) & np.uint32(255)
+        starts = np.union1d(starts, letters[piece < 256 * width // PIECE])
     before = h[starts - 1]
     return starts, (before >> np.uint32(32 - SHARE_BITS) == 0) & inside[starts - 1]
 
@@ -133,7 +146,7 @@ def copied_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """``text`` without the bytes in ``spans``; chunks begin and end between words, so no character is cut."""
+    """``text`` without the bytes in ``spans``; chunks begin and end between letters, so no character is cut."""
     if not text or not spans:
         return text
     raw, keep, at = text.encode("utf-8", "surrogatepass"), [], 0

@@ -80,3 +80,16 @@ def test_odd_rows(docs, odd):
 
 def test_gear_numbers_differ():
     assert len(np.unique(chunks.gear_table())) == 256
+
+
+def test_passages_without_spaces(docs):
+    rng = random.Random(6)
+    han, code = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for letters, n in ((han, 150), (code, 500)):
+        passage, some = "".join(rng.choices(letters, k=n)), lambda k, x=letters: "".join(rng.choices(x, k=k))
+        rows = [(1, some(90) + passage + some(70)), (2, some(41) + passage + some(55)), (3, some(200)), (4, passage[: n // 2] + some(1) + passage[n // 2 :])]
+        out = found(chunks.copied_passages(docs(rows)))
+        assert {(i, f) for i, *_, f in out} >= {(2, 1), (4, 1)} and 3 not in {i for i, *_ in out}
+        for i, a, b, _, _ in out:
+            piece = dict(rows)[i].encode()[a:b].decode()  # no letter is cut
+            assert len(piece) >= 20 and (i != 2 or piece in passage)
