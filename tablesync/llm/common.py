@@ -67,14 +67,30 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = sign
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        # Written first, so that adaptive execution can split the edges of a node that most others reach.
+        least = materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "least")
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "links")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialise(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
+def root_of(steps: DataFrame) -> DataFrame:
+    """``(node, root)`` for a table of nodes and the next node of each: where the steps end. There must be no cycle.
+
+    Each round doubles the steps behind every row, so rounds grow with the logarithm of the longest way.
+    """
+    node, _ = steps.columns
+    now = materialise(steps.toDF(node, "root"), "roots")
+    while True:
+        ahead = now.select(F.col(node).alias("root"), F.col("root").alias("next"))
+        moved = materialise(now.join(ahead, "root", "left").select(node, F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        if not moved.where("moved").limit(1).count():
+            return moved.drop("moved")
+        now = moved.drop("moved")
+
+
 def worker_store(name: str) -> dict:
     """A dictionary that stays with the Python worker from task to task."""
     return sys.modules.setdefault("_tablesync_worker", types.ModuleType("_tablesync_worker")).__dict__.setdefault(name, {})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import chunks, decontaminate, exact_dedup, language, line_runs, packing, preferences, simhash, toxicity, url_filter
+from tablesync.llm import chunks, decontaminate, exact_dedup, language, line_runs, packing, preferences, simhash, spelling, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op9_toxicity(spark, sf_dir):
 @registered("op10_decontaminate", decontaminate.ORACLE)
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op11_spelling", spelling.ORACLE)
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
