@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.llm import chunks, decontaminate, exact_dedup, language, line_runs, packing, preferences, simhash, spelling, toxicity, url_filter
+from tablesync.llm import ball_tree, chunks, decontaminate, exact_dedup, language, line_runs, nn_descent, packing, preferences, simhash, spelling, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,13 @@ def op10_decontaminate(spark, sf_dir):
 @registered("op11_spelling", spelling.ORACLE)
 def op11_spelling(spark, sf_dir):
     return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@registered("op12_ranked_search", ball_tree.ORACLE)
+def op12_ranked_search(spark, sf_dir):
+    return ball_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered("op13_near_vectors")
+def op13_near_vectors(spark, sf_dir):
+    return nn_descent.near_vectors(table(spark, sf_dir, "embeddings"))
