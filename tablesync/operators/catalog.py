@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.common import blank, contains, page
+from tablesync.operators.select import By
 
 PRE_READ_MS = 5000
 """Fixed value: how far ahead of its time a job is picked up, and how late it may still start."""
@@ -53,7 +54,7 @@ def _user_names(users: DataFrame) -> DataFrame:
 def job_page(jobs, projects, users, offset: int = 0, size: int | None = 10, **filters) -> DataFrame:
     """Page of jobs with project and user name, newest id first."""
     rows = filter_jobs(jobs, **filters).join(_project_names(projects), "project_id").join(_user_names(users), "user_id")
-    return page(rows, [F.col("id").desc()], offset, size)
+    return page(rows, [By("id", descending=True)], offset, size)
 
 
 def job_page_count(jobs, projects, **filters) -> DataFrame:
@@ -89,7 +90,7 @@ def job_due_class(jobs: DataFrame, now_ms: int) -> DataFrame:
 
 def template_page(templates, projects, users, offset: int = 0, size: int | None = 10, **filters) -> DataFrame:
     rows = filter_templates(templates, **filters).join(_project_names(projects), "project_id").join(_user_names(users), "user_id")
-    return page(rows, [F.col("id").desc()], offset, size)
+    return page(rows, [By("id", descending=True)], offset, size)
 
 
 def template_count(templates, **filters) -> DataFrame:
@@ -166,22 +167,22 @@ def snake_case(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
 
 
-def generic_page(df: DataFrame, params: Mapping[str, object], like: Sequence[str] = LIKE_COLUMNS) -> DataFrame:
-    """Page driven by request parameters: ``current``, ``size``, ``ascs``, ``descs``; the rest filter."""
+def generic_page(df: DataFrame, params: Mapping[str, object], like: Sequence[str] = LIKE_COLUMNS, key: Sequence[str] | None = None) -> DataFrame:
+    """Page driven by request parameters: ``current``, ``size``, ``ascs``, ``descs``; the rest filter. ``key`` tells rows apart."""
     for name, value in params.items():
         column = snake_case(name)
         if name in PAGE_PARAMETERS or blank(None if value is None else str(value)):
             continue
         df = df.where(contains(column, str(value)) if column in like else F.col(column) == F.lit(value))
     order = []
-    for key, direction in (("ascs", F.asc), ("descs", F.desc)):
-        names = params.get(key) or []
+    for asked, descending in (("ascs", False), ("descs", True)):
+        names = params.get(asked) or []
         names = names.split(",") if isinstance(names, str) else names
-        order += [direction(snake_case(n.strip())) for n in names if not blank(n)]
+        order += [By(snake_case(n.strip()), descending) for n in names if not blank(n)]
     size = int(params.get("size") or 10)
     offset = (int(params.get("current") or 1) - 1) * size
     # The key comes last, or else all columns: without a total order pages would repeat and skip rows.
-    order += [F.col(c) for c in (["id"] if "id" in df.columns else df.columns)]
+    order += [By(c) for c in key or (["id"] if "id" in df.columns else df.columns)]
     return page(df, order, offset, size)
 
 

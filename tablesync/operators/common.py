@@ -15,6 +15,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesync.operators.select import By, selectable, slice_rows
+
+DEEP = 10_000
+"""Rows up to the end of a page beyond which the page is cut out by counting instead of ordering all rows before it."""
+
 
 def ntz(value: str | dt.datetime) -> Column:
     """A zone-free timestamp literal."""
@@ -30,9 +35,15 @@ def contains(column: str, text: str) -> Column:
     return F.col(column).contains(text)
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int = 0, size: int | None = None) -> DataFrame:
-    """Ordered page. Offset and limit over a sort run as one top-k per task, then one merge."""
-    df = df.orderBy(*order)
+def page(df: DataFrame, order: Sequence[Column | By], offset: int = 0, size: int | None = None, deep: int = DEEP) -> DataFrame:
+    """Ordered page. Offset and limit over a sort run as one top-k per task, then one merge.
+
+    A top-k holds all rows up to the page's end. Where these are more than ``deep`` and the order is one of numbers and times,
+    the keys of the page's two ends are counted out first, and only the rows between them are sorted.
+    """
+    if size and offset + size > deep and all(isinstance(o, By) for o in order) and selectable(df, order):
+        return slice_rows(df, order, offset, size)
+    df = df.orderBy(*[o.order() if isinstance(o, By) else o for o in order])
     if offset:
         df = df.offset(offset)
     return df if size is None else df.limit(size)

@@ -6,10 +6,11 @@ there is no loop over batches of ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesync.operators.common import newest_per_key, ntz, page
+from tablesync.operators.select import By, nth_row, rows_after
 
 # Clean-up types of the run log, as (months back) or (newest rows kept).
 CLEAR_MONTHS = {1: 1, 2: 3, 3: 6, 4: 12}
@@ -40,46 +41,17 @@ def clear_before_time(log: DataFrame, cutoff, job_group: int = 0, job_id: int =
     return _listed(_scope(log, job_group, job_id).where(F.col("trigger_time") <= cutoff), limit)
 
 
-def _cut(counts: DataFrame, unit: str, keep: Column) -> Column:
-    """``(unit, rest)`` from rows ``(unit, n)``: the unit in which the newest ``keep`` rows end, and how many of its rows they
-    hold. One row; null when all rows are kept. The rows of ``counts`` meet in one array, so they must be bounded."""
-    newest = F.reverse(F.array_sort(F.collect_list(F.struct(unit, "n"))))
-    one = counts.withColumn("_keep", keep.cast("bigint")).agg(newest.alias("newest"), F.max("_keep").alias("keep"))
-    found = F.aggregate(
-        "newest",
-        F.struct(F.lit(None).cast(dict(counts.dtypes)[unit]).alias("unit"), F.col("keep").alias("rest"), F.lit(False).alias("done")),
-        lambda state, day: F.when(state["done"], state).otherwise(
-            F.struct(day[unit].alias("unit"), F.when(day["n"] > state["rest"], state["rest"]).otherwise(state["rest"] - day["n"]).alias("rest"), (day["n"] > state["rest"]).alias("done"))
-        ),
-    )
-    return one.select(F.when(found["done"], found)).scalar()
-
-
 def clear_keep_newest(log: DataFrame, keep: int, job_group: int = 0, job_id: int = 0, limit: int | None = None) -> DataFrame:
-    """Ids outside the newest ``keep`` runs of the scope; rows without a time are the oldest.
+    """Ids outside the newest ``keep`` runs of the scope; rows without a time are the oldest, and among equal times the smaller ids.
 
-    Runs are counted per day, which says on which day the newest ``keep`` end, and then per second of that day. Older runs go by
-    a plain comparison of their time, and only the runs of that one second are put in order.
+    The last run to keep is found by counting, see ``select``; what stands after it goes by a plain comparison.
     """
     scope = _scope(log, job_group, job_id)
     if keep <= 0:
         return _listed(scope, limit)
-    count = F.count(F.lit(1)).alias("n")
-    day, second = F.col("trigger_time").cast("date"), F.date_trunc("SECOND", "trigger_time").cast("timestamp_ntz")
-    days = scope.where("trigger_time IS NOT NULL").groupBy(day.alias("day")).agg(count)
-    of_day = _cut(days, "day", F.lit(keep))
-    in_day = scope.where(day == of_day["unit"]).groupBy(second.alias("second")).agg(count)
-    cut = _cut(in_day, "second", of_day["rest"])
-    older = scope.where(F.col("trigger_time") < cut["unit"])
-    order = Window.partitionBy("_second").orderBy(F.col("trigger_time").desc(), F.col("id").desc())
-    tied = scope.withColumn("_second", second).where(F.col("_second") == cut["unit"])
-    rest = tied.withColumn("_place", F.row_number().over(order)).where(F.col("_place") > cut["rest"])
-    total = scope.agg(count).scalar()
-    untimed = scope.where(F.col("trigger_time").isNull() & (total > keep))
-    dated = scope.where("trigger_time IS NOT NULL").agg(count).scalar()
-    spare = Window.partitionBy(F.col("trigger_time").isNull()).orderBy(F.col("id").desc())
-    undated = untimed.withColumn("_place", F.row_number().over(spare)).where(F.col("_place") > keep - dated)
-    return _listed(older.select("id").unionAll(rest.select("id")).unionAll(undated.select("id")), limit)
+    order = [By("trigger_time", descending=True), By("id", descending=True)]
+    last = nth_row(scope, order, keep - 1)
+    return _listed(scope.where(F.lit(False) if last is None else rows_after(order, last)), limit)
 
 
 def clear_by_type(log: DataFrame, kind: int, now, job_group: int = 0, job_id: int = 0) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesync.operators.common import in_range, newest_first, ntz, page, upsert
+from tablesync.operators.common import DEEP, in_range, newest_first, ntz, page, upsert
+from tablesync.operators.select import By
 
 # Result codes and alarm states of a run.
 SUCCESS, FAILED, TIMED_OUT, NOT_REPORTED = 200, 500, 502, 0
@@ -51,12 +52,12 @@ def filter_log(
     return log
 
 
-def log_page(log: DataFrame, offset: int = 0, size: int = 10, log_id: int | None = None, **filters) -> DataFrame:
+def log_page(log: DataFrame, offset: int = 0, size: int = 10, log_id: int | None = None, deep: int = DEEP, **filters) -> DataFrame:
     """One page of runs, newest first; or the single run ``log_id``."""
     if log_id is not None:
         return log.where(F.col("id") == log_id)
-    order = [F.col("trigger_time").desc(), F.col("id").desc()]
-    return page(filter_log(log, **filters), order, offset, size)
+    order = [By("trigger_time", descending=True), By("id", descending=True)]
+    return page(filter_log(log, **filters), order, offset, size, deep)
 
 
 def log_count(log: DataFrame, **filters) -> DataFrame:

@@ -129,6 +129,16 @@ def generic_page(t):
     )
 
 
+@query("generic_page_deep", """SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem WHERE l_linenumber <> 7
+ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50 OFFSET 49950""")
+def generic_page_deep(t):
+    """Page 1000, most of it among rows of equal dates."""
+    rows = t.lineitem.where("l_linenumber <> 7").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    asked = {"current": 1000, "size": 50, "descs": ["l_shipdate"], "ascs": []}
+    return catalog.generic_page(rows, asked, key=order).select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+
+
 @query("group_in_use", """SELECT g.id, g.app_name, count(j.id) AS jobs,
   count(j.id) = 0 AND (SELECT count(*) FROM job_group) > 1 AS removable
 FROM job_group g LEFT JOIN job_info j ON j.job_group = g.id GROUP BY g.id, g.app_name""",

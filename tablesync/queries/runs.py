@@ -24,6 +24,13 @@ def log_page(t):
     return rows.select(_LOG)
 
 
+@query("log_page_deep", """SELECT id, job_id, trigger_time, trigger_code, handle_code FROM job_log
+ORDER BY trigger_time DESC, id DESC LIMIT 25 OFFSET 7000""", "job_log")
+def log_page_deep(t):
+    """A page far down the log, cut out by counting."""
+    return runs.log_page(t.job_log, 7000, 25, deep=1000).select(_LOG)
+
+
 @query("log_page_count", f"""
 SELECT count(*) AS total FROM job_log
 WHERE job_group = 2 AND {_BETWEEN} AND (trigger_code NOT IN (0, 200) OR handle_code NOT IN (0, 200))""", "job_log")
