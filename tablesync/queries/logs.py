@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tablesync.operators import logmine
 from tablesync.queries.registry import NOW, query
-from tablesync.session import materialise
+from tablesync.session import materialise, scratch_path
+from tablesync.sources.logs import log_lines, write_log_files
 
 _VALUE = "trim(substring(line, instr(line, ':') + 1))"
 
@@ -83,3 +84,25 @@ def log_tail(t):
 FROM job_log l LEFT JOIN (SELECT log_id, max(line_no) AS to_line FROM run_log_lines GROUP BY log_id) r ON r.log_id = l.id""", "job_log run_log_lines")
 def log_tail_status(t):
     return logmine.log_tail_status(t.run_log_lines, t.job_log, 6)
+
+
+def _through_files(t, lines):
+    """The lines written as log files and read again."""
+    return log_lines(t.spark, write_log_files(lines, scratch_path(t.spark, "log-files")))
+
+
+_NUMBERED = "SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS line_no, line FROM task_log"
+
+
+@query("log_files", _NUMBERED, "task_log")
+def log_files(t):
+    return _through_files(t, t.task_log)
+
+
+@query("log_file_tail", f"""SELECT n.log_id, n.line_no, n.line, e.to_line FROM ({_NUMBERED}) n
+JOIN (SELECT log_id, count(*) AS to_line FROM task_log GROUP BY log_id) e ON e.log_id = n.log_id WHERE n.line_no >= 20""", "task_log")
+def log_file_tail(t):
+    """What a reader that has seen 19 lines of each log gets next, and up to which line."""
+    lines = materialise(_through_files(t, t.task_log), "numbered")
+    ends = lines.groupBy("log_id").agg(F.max("line_no").alias("to_line"))
+    return logmine.log_tail(lines, 20).join(ends, "log_id")
