@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,9 +182,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = texts.join(chosen, "id").groupBy("id", "y").agg(F.max("text").alias("text"))
     upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample only
     fits = one.withColumn("chars", F.sum(F.length("text")).over(upto)).where(F.col("chars") <= TRAIN_ALL_CHARS)
-    rows = sorted((r.id, r.y, r.text) for r in fits.select("id", "y", "text").collect())
     of_class = dict(usable.groupBy("y").count().collect())
-    return train([t for _, _, t in rows], [y for _, y, _ in rows], of_class=(of_class.get(0, 0), of_class.get(1, 0)))
+    return _trained(fits.select("id", "y", "text"), (of_class.get(0, 0), of_class.get(1, 0)))
+
+
+def _trained(sample: DataFrame, of_class: tuple[int, int]) -> Model:
+    """Train in one task, so that the bounded sample never reaches the driver; what comes back are margins and the bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = train([t for _, _, t in rows], [y for _, y, _ in rows], of_class=of_class)
+        at = np.flatnonzero(model.margin)
+        for columns in (([-1], [model.bias]), (at, model.margin[at])):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64()), strict=True)], names=["bucket", "margin"])
+
+    found = sample.coalesce(1).mapInArrow(run, "bucket int, margin double").toArrow()
+    bucket, value = (found.column(i).to_numpy() for i in range(2))
+    margin = np.zeros(BUCKETS, np.float32)
+    margin[bucket[bucket >= 0]] = value[bucket >= 0]
+    bias = value[bucket < 0]
+    return Model(margin, float(bias[0]) if len(bias) else -800.0)
 
 
 def with_score(df: DataFrame, text_col: str, model: Model) -> DataFrame:
