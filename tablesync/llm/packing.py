@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ CLOSING = 1
 UNIT = 4
 #: Column generation ends when this share of the sequences is the most that is left to gain.
 GAP = 2e-3
-#: Stretches of text a worker remembers.
-REMEMBERED = 1 << 20
+#: Characters of stretches that a worker remembers; a block can go beyond it by its own.
+REMEMBERED = 1 << 23
 #: Characters tokenised at a time.
 BLOCK_CHARS = 1 << 21
 
@@ -68,32 +69,40 @@ class Encoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.small = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.small.itemsize == 2 else "I"
         made = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for part, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (made[part] or {}).get(many, [])]
         self.by_word = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and made["model"]["type"] == "BPE" and made["model"]["dropout"] is None
-        self.byte_level = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
+        shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+        hidden = [b for b in range(256) if b not in shown]
+        self.glyph = [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]  # how byte-level models write a byte
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.small).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """Ids of one lower-cased run of letters."""
-        marked = word if word.isascii() else self.byte_level.pre_tokenize_str(word)[0][0]
-        return np.array([t.id for t in self.model.tokenize(marked)], self.small).tobytes()
+        marked = word if word.isascii() else "".join(map(self.glyph.__getitem__, word.encode("utf-8")))
+        return array(self.code, [t.id for t in self.model.tokenize(marked)]).tobytes()
 
     def _learn(self, missing: set[str], wanted: set[str]) -> None:
         known = self.known
-        if len(known) + len(missing) > REMEMBERED:
+        if self.held + sum(map(len, missing)) > REMEMBERED:
             known = self.known = {"": b""}
-            missing = wanted
+            missing, self.held = wanted, 0
+        self.held += sum(map(len, missing))
         self.model = self.tokenizer.model
-        other = []
+        other, by_word = [], self.by_word
         for s in missing:
+            if by_word and s.isascii() and s.isalpha():
+                known[s] = self._word(s.lower())
+                continue
             word = s.rstrip(self.MARKS)
             low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
             marks = s[len(word) :]
-            if not self.by_word or not low.isalpha() or "\u03c2" in low or "\u03a3" in word:
+            if not by_word or not low.isalpha() or "\u03c2" in low or "\u03a3" in word:
                 other.append(s)
                 continue
             ids = known.get(low)
@@ -106,8 +115,17 @@ class Encoder:
             known[s] = ids
         known.update(zip(other, self._whole(other), strict=True))
 
+    def _lowered(self, text: str) -> str:
+        """Lower-cased where the tokenizer does the same letter by letter, so that fewer stretches differ."""
+        if self.by_word:
+            try:
+                return text.lower() if text.isascii() or text.encode("latin-1") else text
+            except UnicodeEncodeError:
+                pass
+        return text
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [self._lowered(t).replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*parts)
         missing = wanted - self.known.keys()
         if missing:
