@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +17,13 @@ from tablesync.operators.mapping import MAX_DIRTY_RATIO, MAX_DIRTY_RECORDS, chec
 from tablesync.sinks.cells import rows_to_cells
 from tablesync.sinks.files import write_documents, write_files, write_partition_dir
 from tablesync.sinks.jdbc import append_table
-from tablesync.sinks.publish import (
-    expire_versions, good_rows, mark, newest_note, next_version, publish, read_current, read_merged, total_bytes, version_path, write_note,
-)
+from tablesync.sinks.buckets import BUCKETS, read_buckets, upsert_buckets
+from tablesync.sinks.publish import FULL, MERGED, PART, good_rows, mark, marker, next_version, read_current, remove, total_bytes, version_path, versions
 
 
 MODES = ("overwrite", "append", "upsert")
 
-# What a sync may write to: its own versioned table, or a sink that gets the good rows after the error limit has passed them.
+# What a sync may write to: its own table, or a sink that gets the good rows after the error limit has passed them.
 TABLE = "table"
 SINKS = (TABLE, "text", "csv", "orc", "partition", "cells", "documents", "jdbc")
 
@@ -40,6 +42,8 @@ class SyncSpec:
     upsert_keys: Sequence[str] = ()
     upsert_order: Sequence[str] = ()
     """Newest first by these columns when a batch repeats a key."""
+    buckets: int = BUCKETS
+    """Buckets of a new upserted table."""
     sink: str = TABLE
     sink_options: dict = field(default_factory=dict)
     """Arguments of the sink's own function; see ``deliver``."""
@@ -57,6 +61,8 @@ class SyncResult:
     elapsed_s: float
     bytes_written: int
     path: str
+    error: str | None = None
+    """Why the sync failed; then nothing of it is visible."""
 
     @property
     def records_per_s(self) -> float:
@@ -100,13 +106,13 @@ def run_sync(spark: SparkSession, spec: SyncSpec, note: str | None = None) -> Sy
     """Write, check, publish.
 
     The source is read once: good rows, and dirty ones with their reason, go to a new, still
-    invisible version. Counts come from its committed files, not from task-side counters, so a
+    invisible directory. Counts come from its committed files, not from task-side counters, so a
     task repeated after the loss of an executor is not counted twice. Beyond the error limit the
-    version stays invisible. An upsert costs its batch: the version becomes a delta that readers
-    merge by key; ``compact`` merges deltas into one full version when the caller asks for it.
+    directory stays invisible. The good rows of an upsert are then merged into the table's buckets, of which those that
+    the batch touches are read and written; repeating a run merges to the same state.
 
-    Another sink gets the good rows from the checked version, which keeps the rejects and the counters; so no sink sees a
-    row of a run that is over its limit. ``note`` is stored with the version.
+    Another sink gets the good rows from the checked directory, which keeps the rejects and the counters; so no sink sees a
+    row of a run that is over its limit. ``note`` is stored with the run, after its rows.
     """
     if spec.sink not in SINKS:
         raise ValueError(f"unknown sink {spec.sink!r}; one of {', '.join(SINKS)}")
@@ -121,46 +127,88 @@ def run_sync(spark: SparkSession, spec: SyncSpec, note: str | None = None) -> Sy
     counts = written.agg(F.count(F.lit(1)).alias("read"), F.count("dirty_reason").alias("dirty")).first()
     read, dirty = counts["read"], counts["dirty"]
     check_error_limit(read, dirty, spec.max_dirty_records, spec.max_dirty_ratio)
+    kind = FULL if spec.mode == "overwrite" else PART
     if spec.sink != TABLE:
         deliver(good_rows(written), spec)
-    if note is not None:
-        write_note(spark, spec.target, version, note)
-    mark(spark, spec.target, version, delta=spec.mode != "overwrite")
+    elif spec.mode == "upsert":
+        kind, order = MERGED, [F.col(c).desc() for c in spec.upsert_order or spec.writer_columns]
+        upsert_buckets(good_rows(written).select(*spec.writer_columns), _table(spec), list(spec.upsert_keys), order, spec.buckets)
+    mark(spark, spec.target, version, kind, note or "")
     elapsed = time.monotonic() - started
     return SyncResult(spec.target, version, read, read - dirty, dirty, elapsed, total_bytes(spark, path), path)
 
 
-def compact(spark: SparkSession, spec: SyncSpec, keep: int = 1) -> int:
-    """Merge the table's versions into one and remove all but the newest ``keep`` full ones."""
-    version = publish(target_rows(spark, spec), spec.target, note=newest_note(spark, spec.target))
-    expire_versions(spark, spec.target, keep)
-    return version
+def _table(spec: SyncSpec) -> str:
+    return f"{spec.target}/table"
+
+
+def clear_runs(spark: SparkSession, spec: SyncSpec, keep: int = 1) -> int:
+    """Remove the directories of runs whose rows are elsewhere: merged ones, and those that a newer whole table has replaced.
+
+    The newest ``keep`` marked ones stay, for their rejects and the note; readers of older ones must have ended. Directories
+    without a marker stay too: another run may be writing them. Returns how many are gone.
+    """
+    marked = [(v, kind) for v in versions(spark, spec.target) if (kind := marker(spark, spec.target, v))]
+    whole = max((v for v, kind in marked if kind == FULL), default=0)
+    gone = [v for v, kind in marked[: len(marked) - keep] if kind == MERGED or v < whole]
+    for version in gone:
+        remove(spark, version_path(spec.target, version))
+    return len(gone)
 
 
 def target_rows(spark: SparkSession, spec: SyncSpec) -> DataFrame:
     """The target's rows after its runs so far."""
-    if spec.mode == "upsert":
-        order = list(spec.upsert_order or spec.writer_columns)
-        rows = read_merged(spark, spec.target, list(spec.writer_columns), list(spec.upsert_keys), order)
-    else:
-        rows = read_current(spark, spec.target)
+    merged = spec.mode == "upsert" and spec.sink == TABLE
+    rows = read_buckets(spark, _table(spec)) if merged else read_current(spark, spec.target)
     if rows is None:
         return prepare(spark, spec).select(*spec.writer_columns).limit(0)
     return rows.select(*spec.writer_columns)
 
 
 def batch_sync(
-    spark: SparkSession, tables: Sequence[str], targets: Sequence[str], make: Callable[[str, str], SyncSpec], parallel: int = 3
+    spark: SparkSession, tables: Sequence[str], targets: Sequence[str], make: Callable[[str, str], SyncSpec], parallel: int = 3, limit_s: float | None = None
 ) -> list[SyncResult]:
-    """One sync per pair of reader and writer table, from a template that builds its spec.
+    """One sync per pair of reader and writer table, from a template that builds its spec; one result each, in their order.
 
-    The driver only starts jobs; independent tables overlap on the cluster.
+    The driver only starts jobs; independent tables overlap on the cluster, each in a scheduler pool of its own, so that under
+    fair scheduling a small table need not wait for a large one. A table that fails, or runs for more than ``limit_s``
+    seconds and is stopped, has its error in its result and leaves the others alone.
     """
     if len(tables) != len(targets):
         raise ValueError(f"{len(tables)} reader tables for {len(targets)} writer tables")
-    specs = [make(source, target) for source, target in zip(tables, targets)]
+
+    def run(source: str, target: str) -> SyncResult:
+        started, tag, late, over, result_of = time.monotonic(), f"sync-{uuid.uuid4().hex}", threading.Event(), threading.Event(), target
+        for name, value in (("spark.scheduler.pool", target), ("spark.job.interruptOnCancel", "true")):
+            spark.sparkContext.setLocalProperty(name, value)
+        spark.sparkContext.addJobTag(tag)
+
+        def stop():
+            # A sync is a chain of jobs: what of it begins after the limit is stopped as well.
+            late.set()
+            while not over.is_set():
+                spark.sparkContext.cancelJobsWithTag(tag)
+                over.wait(1)
+
+        timer = threading.Timer(limit_s if limit_s is not None else threading.TIMEOUT_MAX, stop)
+        timer.daemon = True
+        timer.start()
+        try:
+            spec = make(source, target)
+            result_of = spec.target
+            return run_sync(spark, spec)
+        except Exception as error:  # noqa: BLE001 - whatever it is, it belongs to this table's result
+            why = f"stopped after {limit_s} seconds" if late.is_set() else f"{type(error).__name__}: {str(error)[:500]}"
+            return SyncResult(result_of, 0, 0, 0, 0, time.monotonic() - started, 0, "", why)
+        finally:
+            over.set()
+            timer.cancel()
+            spark.sparkContext.removeJobTag(tag)
+            for name in ("spark.scheduler.pool", "spark.job.interruptOnCancel"):
+                spark.sparkContext.setLocalProperty(name, None)
+
     with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(lambda spec: run_sync(spark, spec), specs))
+        return list(pool.map(inheritable_thread_target(spark)(run), tables, targets))
 
 
 def sync_counters(spark: SparkSession, results: Sequence[SyncResult]) -> DataFrame:

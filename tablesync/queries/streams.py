@@ -8,7 +8,7 @@ from tablesync.queries.executors import _LATEST
 from tablesync.queries.registry import NOW, query
 from tablesync.queries.runs import _DAILY, _FAIL
 from tablesync.session import scratch_path
-from tablesync.sinks.publish import read_current
+from tablesync.sinks.buckets import read_buckets
 from tablesync.streaming import streams
 
 
@@ -38,7 +38,7 @@ def stream_callback_dedup(t):
 def stream_registry_state(t):
     data, checkpoint = _places(t, "registry")
     streams.stream_registry_state(t.streams().job_registry, data, checkpoint)
-    state = read_current(t.spark, data).select("registry_key", "registry_value", "cpu_usage", "update_time")
+    state = read_buckets(t.spark, data).select("registry_key", "registry_value", "cpu_usage", "update_time")
     alive = registry_alive(state, NOW, 3600).select("registry_key", "registry_value", F.lit(True).alias("alive"))
     return state.join(alive, ["registry_key", "registry_value"], "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
 

@@ -188,6 +188,22 @@ def batch_sync_query(t):
     return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
+@query("batch_sync_results", f"""SELECT 'ods_orders' AS target, count(*) AS read_count, count(*) AS write_count, CAST(NULL AS VARCHAR) AS failed FROM orders
+UNION ALL SELECT 'ods_events', 0, 0, 'ErrorLimitExceeded' FROM events WHERE {_DIRTY} HAVING count(*) > 0
+UNION ALL SELECT 'ods_customer', count(*), count(*), NULL FROM customer""")
+def batch_sync_results(t):
+    """A batch of three tables; the one with dirty rows is refused, the others are written."""
+    folder = scratch_path(t.spark, "batch-results")
+
+    def make(source, target):
+        types = dict(_RAW_TYPES) if source == "raw_events" else {}
+        return _copy_spec(t, folder, source, target, types=types)
+
+    done = batch_sync(t.spark, ["orders", "raw_events", "customer"], ["ods_orders", "ods_events", "ods_customer"], make)
+    counted = [(r.target.rsplit("/", 1)[-1], r.read_count, r.write_count, r.error and r.error.split(":")[0]) for r in done]
+    return t.spark.createDataFrame(counted, "target string, read_count bigint, write_count bigint, failed string")
+
+
 @query("sync_counters", f"""SELECT 'events' AS target, count(*) AS read_count, count(*) FILTER (NOT ({_DIRTY})) AS write_count,
   count(*) FILTER ({_DIRTY}) AS fail_count FROM events""")
 def sync_counters_query(t):

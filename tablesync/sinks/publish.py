@@ -1,20 +1,17 @@
-"""Published versions of a table: each change is a new directory, visible once marked.
+"""Directories of a table: each run writes a new one, and a marker makes it count.
 
 Readers follow marked directories only, so a failed or refused run leaves the table as it was.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesync.operators.common import newest_per_key, upsert
-
-FULL, DELTA, NOTE = "_FULL", "_DELTA", "_NOTE"
+#: Markers: the directory is the whole table, is added to it, or has been merged into a table elsewhere.
+FULL, PART, MERGED = "_FULL", "_PART", "_MERGED"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -33,8 +30,34 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    fs, p = _filesystem(spark, f"{path}.tmp")
+    stream = fs.create(p, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(path)):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the version directories below ``root``, complete or not."""
+    """Numbers of the directories below ``root``, marked or not."""
     fs, p = _filesystem(spark, root)
     if not fs.exists(p):
         return []
@@ -47,114 +70,56 @@ def version_path(root: str, version: int) -> str:
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    """Claim the next free number. Two runs that ask at once get two numbers: creating the claim file fails for the second."""
-    version = max(versions(spark, root), default=0) + 1
-    while True:
-        fs, p = _filesystem(spark, f"{root}/_claims/{version:08d}")
-        try:
-            fs.create(p, False).close()
-            return version
-        except Py4JJavaError:
-            if not fs.exists(p):
-                raise
-            version += 1
-
-
-def expire_versions(spark: SparkSession, root: str, keep: int = 1) -> None:
-    """Remove what the newest ``keep`` full versions have replaced. Readers that began on an older one must have ended.
-
-    Versions that are not marked stay: another run may be writing them.
-    """
-    known = versions(spark, root)
-    complete = [v for v in known if path_exists(spark, f"{version_path(root, v)}/{FULL}")]
-    for version in known if len(complete) >= keep else []:
-        base = version_path(root, version)
-        if version < complete[-keep] and (version in complete or path_exists(spark, f"{base}/{DELTA}")):
-            fs, p = _filesystem(spark, base)
-            fs.delete(p, True)
-
-
-def write_note(spark: SparkSession, root: str, version: int, text: str) -> None:
-    """Text that belongs to a version and is visible with it."""
-    fs, p = _filesystem(spark, f"{version_path(root, version)}/{NOTE}")
-    stream = fs.create(p, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
+    """The next number. Writing is an error where the directory exists, so of two runs that ask at once one fails."""
+    return max(versions(spark, root), default=0) + 1
+
+
+def marker(spark: SparkSession, root: str, version: int) -> str | None:
+    """Kind of a marked directory."""
+    base = version_path(root, version)
+    return next((kind for kind in (FULL, PART, MERGED) if path_exists(spark, f"{base}/{kind}")), None)
+
+
+def mark(spark: SparkSession, root: str, version: int, kind: str = FULL, note: str = "") -> None:
+    """Make a written directory count. ``note`` is text that belongs to it."""
+    write_text(spark, f"{version_path(root, version)}/{kind}", note)
 
 
 def newest_note(spark: SparkSession, root: str) -> str | None:
-    """Note of the newest visible version that has one."""
+    """Note of the newest marked directory that has one."""
     for version in reversed(versions(spark, root)):
-        base = version_path(root, version)
-        if (path_exists(spark, f"{base}/{FULL}") or path_exists(spark, f"{base}/{DELTA}")) and path_exists(spark, f"{base}/{NOTE}"):
-            fs, p = _filesystem(spark, f"{base}/{NOTE}")
-            stream = fs.open(p)
-            try:
-                return bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
+        kind = marker(spark, root, version)
+        note = kind and read_text(spark, f"{version_path(root, version)}/{kind}")
+        if note:
+            return note
     return None
 
 
-def mark(spark: SparkSession, root: str, version: int, delta: bool = False) -> None:
-    """Make a written version visible, as the whole table or as rows added to it."""
-    fs, p = _filesystem(spark, f"{version_path(root, version)}/{DELTA if delta else FULL}")
-    fs.create(p, False).close()
-
-
-def current_parts(spark: SparkSession, root: str) -> tuple[str | None, list[str]]:
-    """Directories that make up the table now: the newest full version, and the deltas after it."""
-    deltas: list[str] = []
+def current_parts(spark: SparkSession, root: str) -> list[str]:
+    """Directories that make up the table now: the newest whole one, and those added after it."""
+    parts: list[str] = []
     for version in reversed(versions(spark, root)):
-        base = version_path(root, version)
-        if path_exists(spark, f"{base}/{FULL}"):
-            return base, deltas[::-1]
-        if path_exists(spark, f"{base}/{DELTA}"):
-            deltas.append(base)
-    return None, deltas[::-1]
+        kind = marker(spark, root, version)
+        if kind in (FULL, PART):
+            parts.append(version_path(root, version))
+        if kind == FULL:
+            break
+    return parts[::-1]
 
 
 def good_rows(df: DataFrame) -> DataFrame:
-    """Rows of a written version without the rejected ones, which stay in the same files with their reason."""
+    """Rows of a written directory without the rejected ones, which stay in the same files with their reason."""
     if "dirty_reason" not in df.columns:
         return df
     return df.where(F.col("dirty_reason").isNull()).drop("dirty_reason", "dirty_record")
 
 
 def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rejected rows of a written version: the reason, and the row as it was read."""
+    """Rejected rows of a written directory: the reason, and the row as it was read."""
     return spark.read.parquet(path).where(F.col("dirty_reason").isNotNull()).select("dirty_reason", "dirty_record")
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The rows of a table that only grows or is replaced; ``None`` before its first version."""
-    full, deltas = current_parts(spark, root)
-    parts = [good_rows(spark.read.parquet(*paths)) for paths in ([full] if full else [], deltas) if paths]
+    """The rows of a table that only grows or is replaced; ``None`` before its first marked directory."""
+    parts = [good_rows(spark.read.parquet(path)) for path in current_parts(spark, root)]
     return reduce(DataFrame.unionByName, parts) if parts else None
-
-
-def read_merged(spark: SparkSession, root: str, columns: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
-    """The rows of a table whose deltas replace by key: the newest delta wins, then ``order`` descending.
-
-    The full version is only filtered by the keys of the deltas. While these are few, that is a
-    broadcast and the full version is not shuffled.
-    """
-    full, deltas = current_parts(spark, root)
-    base = good_rows(spark.read.parquet(full)).select(*columns) if full else None
-    if not deltas:
-        return base
-    version = F.regexp_extract("_metadata.file_path", "/v=([0-9]+)/", 1)
-    changes = good_rows(spark.read.parquet(*deltas).withColumn("_version", version)).select(*columns, "_version")
-    newest = newest_per_key(changes, keys, [F.col(c).desc() for c in ("_version", *order)]).drop("_version")
-    return newest if base is None else upsert(base, newest, keys)
-
-
-def publish(df: DataFrame, root: str, delta: bool = False, note: str | None = None) -> int:
-    """Write ``df`` as the next version of the table at ``root``."""
-    spark = df.sparkSession
-    version = next_version(spark, root)
-    df.write.parquet(version_path(root, version))
-    if note is not None:
-        write_note(spark, root, version, note)
-    mark(spark, root, version, delta)
-    return version

@@ -17,7 +17,12 @@ from tablesync.operators.common import newest_per_key
 from tablesync.operators.registry import registry_latest
 from tablesync.operators.runs import is_success, is_unfinished, open_failures
 from tablesync.plans.sync import SyncSpec, run_sync
-from tablesync.sinks.publish import expire_versions, path_exists, publish, read_current, rejected_rows
+from tablesync.sinks.buckets import merge_buckets
+from tablesync.sinks.publish import path_exists, rejected_rows
+
+SEEN_WIDTH = 1 << 20
+"""Ids of one part of the published rows of a stream that takes each id once."""
+
 
 def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
     """Files below ``path`` as a stream; ``max_files`` bounds a batch."""
@@ -45,22 +50,32 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def batches_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """What earlier batches wrote; the batch's own directory, there after a failure, is left out."""
-    if not path_exists(spark, path):
+def parts_before(spark: SparkSession, path: str, parts: list[int], batch_id: int, schema) -> DataFrame:
+    """What earlier batches wrote into some parts; the batch's own rows, there after a failure, are left out.
+
+    Directories of other parts are neither listed nor read.
+    """
+    there = [p for p in (f"{path}/part={n}" for n in parts) if path_exists(spark, p)]
+    if not there:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
+    return spark.read.option("basePath", path).schema(schema).parquet(*there).where(F.col("batch") < batch_id)
 
 
-def _once(path: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
+def _once(path: str, key: str, order: list[Column], width: int) -> Callable[[DataFrame, int], None]:
     """Writes the rows whose key no earlier batch has, one of each key. What was seen is the published table itself, so a
-    row is recognised however late its repeat arrives, and is taken however late it arrives first."""
-    write = batch_writer(path)
+    row is recognised however late its repeat arrives, and is taken however late it arrives first.
+
+    The table is dealt to parts of ``width`` consecutive ids. Ids are given in sequence, so a batch and its repeats fall
+    into few parts, and only these are read, however long the history.
+    """
 
     def new(batch: DataFrame, batch_id: int) -> None:
-        schema = batch.select(*keys).schema.add("batch", "integer")
-        seen = batches_before(batch.sparkSession, path, batch_id, schema)
-        write(newest_per_key(batch, keys, order).join(seen.select(*keys), keys, "left_anti"), batch_id)
+        dealt = batch.withColumn("part", F.floor(F.col(key) / width))
+        parts = [r[0] for r in dealt.where(F.col(key).isNotNull()).select("part").distinct().collect()]
+        schema = batch.select(key).schema.add("part", "long").add("batch", "integer")
+        seen = parts_before(batch.sparkSession, path, parts, batch_id, schema)
+        fresh = newest_per_key(dealt, [key], order).join(seen.select(key), key, "left_anti").withColumn("batch", F.lit(batch_id))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
 
     return new
 
@@ -88,27 +103,27 @@ def read_daily_report(spark: SparkSession, path: str) -> DataFrame:
     return total.select("trigger_day", "running_count", "suc_count", (F.col("day_count") - F.col("running_count") - F.col("suc_count")).alias("fail_count"))
 
 
-def stream_callback_dedup(callbacks: DataFrame, path: str, checkpoint: str, time: str = "arrived") -> None:
+def stream_callback_dedup(callbacks: DataFrame, path: str, checkpoint: str, time: str = "arrived", width: int = SEEN_WIDTH) -> None:
     """The first callback of each log id."""
-    run_available(callbacks, _once(path, ["log_id"], [F.col(time)]), checkpoint)
+    run_available(callbacks, _once(path, "log_id", [F.col(time)], width), checkpoint)
 
 
 def stream_registry_state(heartbeats: DataFrame, table: str, checkpoint: str) -> None:
-    """Table of the newest heartbeat per executor; who is dead is asked of it at a given time."""
+    """Bucketed table of the newest heartbeat per executor; who is dead is asked of it at a given time."""
+
+    def newest(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return registry_latest(batch if before is None else before.unionByName(batch))
 
     def merge(batch: DataFrame, _: int) -> None:
-        newest = registry_latest(batch)
-        before = read_current(batch.sparkSession, table)
-        publish(newest if before is None else registry_latest(before.unionByName(newest)), table)
-        expire_versions(batch.sparkSession, table, keep=2)
+        merge_buckets(registry_latest(batch), table, ["registry_group", "registry_key", "registry_value"], newest)
 
     run_available(heartbeats, merge, checkpoint)
 
 
-def stream_fail_alerts(runs: DataFrame, path: str, checkpoint: str) -> None:
+def stream_fail_alerts(runs: DataFrame, path: str, checkpoint: str, width: int = SEEN_WIDTH) -> None:
     """Failed runs as they arrive, once each, with the retries they have left."""
     failed = open_failures(runs).select("id", "job_id", "trigger_time", F.col("executor_fail_retry_count").alias("retries_left"))
-    run_available(failed, _once(path, ["id"], [F.col("trigger_time")]), checkpoint)
+    run_available(failed, _once(path, "id", [F.col("trigger_time")], width), checkpoint)
 
 
 def stream_sync(source: DataFrame, spec: SyncSpec, checkpoint: str, rejects: str | None = None) -> None:

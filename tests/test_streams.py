@@ -46,10 +46,34 @@ def test_registry_state_keeps_the_newest(spark, tables, feed, rows):
     beats = tables.job_registry
     for part in (beats.where("id % 2 = 1"), beats.where("id % 2 = 0")):
         streams.stream_registry_state(feed(part), table, checkpoint)
-    from tablesync.sinks.publish import read_current
+    from tablesync.sinks.buckets import read_buckets
 
     columns = ["registry_key", "registry_value", "update_time", "id"]
-    assert rows(read_current(spark, table), *columns) == rows(registry.registry_latest(beats), *columns)
+    assert rows(read_buckets(spark, table), *columns) == rows(registry.registry_latest(beats), *columns)
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_history(spark, monkeypatch):
+    out, read = scratch_path(spark, "out"), []
+    before = streams.parts_before
+
+    def seen(*args):
+        found = before(*args)
+        read.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(streams, "parts_before", seen)
+    take = streams._once(out, "log_id", [F.col("arrived")], 100)
+    for batch in range(50):  # each batch brings 100 new ids and repeats the 30 before them
+        calls = spark.range(max(0, batch * 100 - 30), batch * 100 + 100, 1, 1).selectExpr("id AS log_id", "id AS arrived")
+        take(calls, batch)
+    got = streams.read_batches(spark, out)
+    assert got.count() == got.select("log_id").distinct().count() == 5000
+    assert max(read[25:]) <= max(read[2:25]) <= 3
+    take(spark.range(0, 50, 1, 1).selectExpr("id AS log_id", "id AS arrived"), 50)  # very late repeats
+    assert streams.read_batches(spark, out).count() == 5000
+    take(spark.range(4970, 5100, 1, 1).selectExpr("id AS log_id", "id AS arrived"), 51)
+    take(spark.range(4970, 5100, 1, 1).selectExpr("id AS log_id", "id AS arrived"), 51)  # the batch is repeated after a failure
+    assert streams.read_batches(spark, out).count() == 5100
 
 
 def test_rows_weeks_late_are_neither_lost_nor_repeated(spark, tables, feed, rows):

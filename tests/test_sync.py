@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tablesync.operators import mapping
 from tablesync.operators.increment import INC_ID, INC_TIME
 from tablesync.plans.incremental import IncrementState, QuerySource, bounds, run_incremental, stored_state
-from tablesync.plans.sync import SyncSpec, batch_sync, compact, run_sync, sync_counters, target_rows
+from tablesync.plans.sync import SyncSpec, batch_sync, clear_runs, run_sync, sync_counters, target_rows
 from tablesync.session import scratch_path
+from tablesync.sinks import buckets
 from tablesync.sinks import publish as pub
 
 
@@ -91,28 +92,78 @@ def test_overwrite_replaces_and_append_adds(spark):
     assert target_rows(spark, replace(spec, mode="append")).count() == 15
 
 
-def test_upsert_merges_repeats_and_compacts(spark, rows):
+def test_upsert_merges_and_repeats(spark, rows):
     first = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "b2", 2)], "id int, v string, ver int")
     spec = _spec(spark, first, mode="upsert", upsert_keys=["id"], upsert_order=["ver"])
     run_sync(spark, spec)
     assert rows(target_rows(spark, spec)) == [(1, "a", 1), (2, "b2", 2)]
-    second = spark.createDataFrame([(2, "late", 0), (3, "c", 0)], "id int, v string, ver int")
+    second = spark.createDataFrame([(2, "late", 0), (3, "c", 0)], "id long, v string, ver int")
     step = replace(spec, read=lambda s: second)
     run_sync(spark, step)
     want = [(1, "a", 1), (2, "late", 0), (3, "c", 0)]
     assert rows(target_rows(spark, spec)) == want
-    assert pub.current_parts(spark, spec.target)[0] is None
     run_sync(spark, step)  # the repeated batch changes nothing
     assert rows(target_rows(spark, spec)) == want
-    compact(spark, spec)
+    assert len(pub.versions(spark, spec.target)) == 3 and clear_runs(spark, spec) == 2
     assert len(pub.versions(spark, spec.target)) == 1
-    full, deltas = pub.current_parts(spark, spec.target)
-    assert full and not deltas
     assert rows(target_rows(spark, spec)) == want
     run_sync(spark, replace(spec, read=lambda s: second.limit(0)))
     assert rows(target_rows(spark, spec)) == want
 
 
+def _upserted(spark, n, **more):
+    root = scratch_path(spark, "buckets")
+    table = spark.range(n).selectExpr("id AS k", "'old' AS v")
+    buckets.upsert_buckets(table, root, ["k"], [F.col("v")], **more)
+    return root
+
+
+def test_an_upsert_touches_the_buckets_of_its_batch(spark, rows):
+    root = _upserted(spark, 1000, buckets=16)
+    before = set(spark.read.parquet(f"{root}/data").inputFiles())
+    batch = spark.createDataFrame([(5, "new"), (5000, "new")], "k long, v string")
+    touched = {r[0] for r in batch.select(buckets.bucket_of(["k"], 16)).collect()}
+    assert buckets.upsert_buckets(batch, root, ["k"], [F.col("v")]) == len(touched) < 16
+    after = set(spark.read.parquet(f"{root}/data").inputFiles())
+    assert {int(f.split("_bucket=")[1].split("/")[0]) for f in before ^ after} == touched
+    plan = buckets.read_buckets(spark, root, sorted(touched))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [_bucket" in plan
+    want = {k: "old" for k in range(1000)} | {5: "new", 5000: "new"}
+    assert {r.k: r.v for r in buckets.read_buckets(spark, root).collect()} == want
+    assert {r.k for r in buckets.read_buckets(spark, root, [3]).collect()} == {r.k for r in spark.createDataFrame([(k,) for k in want], "k long").where(buckets.bucket_of(["k"], 16) == 3).collect()}
+
+
+def test_a_merge_that_died_is_seen_whole_and_carried_on(spark, monkeypatch):
+    root = _upserted(spark, 100, buckets=8)
+    put = buckets._put_in_place
+    batch = spark.createDataFrame([(k, "new") for k in range(0, 200, 40)], "k long, v string")
+    calls = []
+
+    def dies(session, where):
+        calls.append(where)
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost")
+        return put(session, where)
+
+    monkeypatch.setattr(buckets, "_put_in_place", dies)
+    with pytest.raises(RuntimeError):
+        buckets.upsert_buckets(batch, root, ["k"], [F.col("v")])
+    monkeypatch.setattr(buckets, "_put_in_place", put)
+    want = {k: "old" for k in range(100)} | {k: "new" for k in range(0, 200, 40)}
+    assert {r.k: r.v for r in buckets.read_buckets(spark, root).collect()} == want
+    buckets.upsert_buckets(spark.createDataFrame([(1, "newer")], "k long, v string"), root, ["k"], [F.col("v")])
+    assert {r.k: r.v for r in buckets.read_buckets(spark, root).collect()} == want | {1: "newer"}
+    assert not pub.path_exists(spark, f"{root}/_PENDING")
+
+
+def test_a_batch_that_fails_before_it_is_named_leaves_the_table(spark):
+    root = _upserted(spark, 10, buckets=4)
+    bad = spark.createDataFrame([(1, "new")], "k long, v string").withColumn("v", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        buckets.upsert_buckets(bad, root, ["k"], [F.col("k")])
+    assert {r.v for r in buckets.read_buckets(spark, root).collect()} == {"old"}
+
+
 def test_upsert_with_one_key_holding_most_rows(spark, rows):
     batch = spark.range(20000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("k"), F.col("id").alias("ver"))
     spec = _spec(spark, batch, mode="upsert", upsert_keys=["k"], upsert_order=["ver"])
@@ -126,6 +177,34 @@ def test_batch_sync_needs_matching_lists(spark):
         batch_sync(spark, ["a", "b"], ["x"], lambda s, t: None)
 
 
+def test_a_table_that_fails_leaves_the_others(spark):
+    folder = scratch_path(spark, "batch")
+
+    def make(source, target):
+        if source == "unknown":
+            raise KeyError(source)
+        rows = _raw(spark) if source == "dirty" else spark.range(7).selectExpr("id", "'x' AS v")
+        return SyncSpec(lambda s: rows, f"{folder}/{target}", rows.columns, rows.columns, types=dict(_TYPES) if source == "dirty" else {})
+
+    done = batch_sync(spark, ["good", "dirty", "unknown", "fine"], ["a", "b", "c", "d"], make)
+    assert [r.error is None for r in done] == [True, False, False, True]
+    assert "ErrorLimitExceeded" in done[1].error and "KeyError" in done[2].error
+    assert [r.write_count for r in done] == [7, 0, 0, 7]
+    assert sync_counters(spark, done).count() == 4
+
+
+def test_a_table_over_its_limit_is_stopped(spark):
+    folder = scratch_path(spark, "batch")
+
+    def make(source, target):
+        rows = spark.range(5) if source != "slow" else spark.range(0, 1 << 30, 1, 4000).where("sha2(string(id), 512) = 'x'")
+        return SyncSpec(lambda s: rows, f"{folder}/{target}", ["id"], ["id"])
+
+    done = batch_sync(spark, ["quick", "slow", "after"], ["quick", "slow", "after"], make, parallel=1, limit_s=20)
+    assert [r.error for r in done] == [None, "stopped after 20 seconds", None]
+    assert [r.write_count for r in done] == [5, 0, 5] and done[1].elapsed_s < 60
+
+
 def test_time_runs_advance_only_after_success(spark, tables):
     columns = ["o_orderkey", "o_orderstatus", "o_orderdate"]
     spec = SyncSpec(lambda s: tables.orders, scratch_path(spark, "inc"), columns, columns, mode="upsert", upsert_keys=["o_orderkey"], upsert_order=["o_orderdate"])
@@ -154,14 +233,17 @@ def test_null_keys_are_replaced_like_any_other(spark, rows):
     first = spark.createDataFrame([(None, "old"), (1, "a")], "id int, v string")
     spec = _spec(spark, first, mode="upsert", upsert_keys=["id"], upsert_order=["v"])
     run_sync(spark, spec)
-    compact(spark, spec)
     run_sync(spark, replace(spec, read=lambda s: spark.createDataFrame([(None, "new")], "id int, v string")))
     assert {tuple(r) for r in target_rows(spark, spec).collect()} == {(None, "new"), (1, "a")}
 
 
-def test_two_writers_never_share_a_version(spark):
+def test_two_writers_never_share_a_directory(spark):
     root = scratch_path(spark, "claims")
-    assert [pub.next_version(spark, root) for _ in range(4)] == [1, 2, 3, 4]
+    path = pub.version_path(root, pub.next_version(spark, root))
+    spark.range(3).write.parquet(path)
+    with pytest.raises(Exception, match="already exists"):
+        spark.range(3).write.parquet(path)
+    assert pub.next_version(spark, root) == 2 and pub.read_current(spark, root) is None
 
 
 def test_the_mark_is_stored_with_the_version_and_never_goes_back(spark, tables):
