@@ -93,6 +93,46 @@ def dependency_closure(jobs: DataFrame, root: int) -> DataFrame:
             return spark.read.schema(reached_schema).parquet(*paths)
 
 
+def dependency_closure_all(jobs: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, depth)`` of all existing jobs, with the smallest depth; a job in a cycle descends from itself.
+
+    Path doubling: a shortest way of more than 2^k steps and at most twice as many is one of exactly 2^k steps and another of
+    at most 2^k. So each round joins the pairs of exactly 2^k steps with all pairs so far; rounds grow with the logarithm
+    of the longest shortest way, cycles end by themselves, and each round's new pairs are written once.
+    """
+    spark = jobs.sparkSession
+    schema = "ancestor bigint, descendant bigint, depth int"
+    known = jobs.select(F.col("id").alias("child_id"))
+    edges = child_edges(jobs).where("valid").join(known, "child_id", "left_semi").distinct()
+    edges = edges.select(F.col("parent_id").cast("bigint").alias("ancestor"), F.col("child_id").alias("descendant"), F.lit(1).alias("depth")).distinct()
+    paths, steps = [scratch_path(spark, "closure")], 1
+    edges.write.parquet(paths[0])
+    while True:
+        pairs = spark.read.schema(schema).parquet(*paths)
+        first = pairs.where(F.col("depth") == steps).select("ancestor", F.col("descendant").alias("middle"))
+        then = pairs.select(F.col("ancestor").alias("middle"), "descendant", (F.col("depth") + steps).alias("depth"))
+        longer = first.join(then, "middle").groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
+        path = scratch_path(spark, "closure")
+        longer.join(pairs, ["ancestor", "descendant"], "left_anti").write.parquet(path)
+        if spark.read.schema(schema).parquet(path).isEmpty():
+            return pairs
+        paths.append(path)
+        steps *= 2
+
+
+def dependency_cycles(closure: DataFrame) -> DataFrame:
+    """Jobs that depend on themselves: ``(id, cycle, jobs)``, the cycle named by its smallest job, with its number of jobs.
+
+    Jobs of one cycle reach each other, so they are the strongly connected components of more than one job, or of a job
+    that names itself.
+    """
+    looped = closure.where("ancestor = descendant").select(F.col("ancestor").alias("id"))
+    back = closure.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("descendant"))
+    mutual = closure.select("ancestor", "descendant").join(back, ["ancestor", "descendant"], "left_semi")
+    named = mutual.groupBy(F.col("ancestor").alias("id")).agg(F.min("descendant").alias("cycle"), F.count(F.lit(1)).alias("jobs"))
+    return named.join(looped, "id", "left_semi")
+
+
 def callback_apply(log: DataFrame, callbacks: DataFrame, handle_time, message_limit: int | None = None) -> DataFrame:
     """Runs after applying the accepted callbacks: result, time, and the message appended.
 

@@ -44,6 +44,24 @@ def dependency_closure(t):
     return deps.dependency_closure(t.job_tree, 1)
 
 
+_REACH = f"""WITH RECURSIVE edges AS (SELECT DISTINCT parent_id, child_id FROM ({_edges('job_chain')}) WHERE valid AND child_id IN (SELECT id FROM job_chain)),
+reach(ancestor, descendant, depth) AS (SELECT parent_id, child_id, 1 FROM edges
+  UNION SELECT r.ancestor, e.child_id, r.depth + 1 FROM reach r JOIN edges e ON e.parent_id = r.descendant WHERE r.depth < 24)
+SELECT ancestor, descendant, min(depth) AS depth FROM reach GROUP BY ancestor, descendant"""
+
+
+@query("dependency_closure_all", _REACH, "job_chain")
+def dependency_closure_all(t):
+    return deps.dependency_closure_all(t.job_chain)
+
+
+@query("dependency_cycles", f"""SELECT a.ancestor AS id, min(a.descendant) AS cycle, count(*) AS jobs FROM ({_REACH}) a
+JOIN ({_REACH}) b ON b.ancestor = a.descendant AND b.descendant = a.ancestor
+WHERE a.ancestor IN (SELECT ancestor FROM ({_REACH}) WHERE ancestor = descendant) GROUP BY a.ancestor""", "job_chain")
+def dependency_cycles(t):
+    return deps.dependency_cycles(deps.dependency_closure_all(t.job_chain))
+
+
 @query("callback_first_wins", _ACCEPTED, "callbacks job_log")
 def callback_first_wins(t):
     return deps.accepted_callbacks(t.job_log, t.callbacks).select("log_id", "code", "msg")

@@ -65,6 +65,12 @@ FROM {customer}""",
 SELECT c_custkey AS id,
        CASE WHEN c_custkey % 9 = 8 THEN concat(CAST(c_custkey * 2 AS STRING), ',', CAST(c_custkey % 3 + 1 AS STRING))
             ELSE concat(CAST(c_custkey * 2 AS STRING), ',', CAST(c_custkey * 2 + 1 AS STRING)) END AS child_jobid
+FROM {customer}""",
+    "job_chain": """
+SELECT c_custkey AS id,
+       CASE CAST(c_custkey % 10 AS INT) WHEN 9 THEN concat(CAST(c_custkey - 6 AS STRING), ',x')
+            WHEN 0 THEN concat(CAST(c_custkey + 1 AS STRING), CASE WHEN c_custkey % 50 = 40 THEN '' ELSE concat(',', CAST(c_custkey + 10 AS STRING)) END)
+            ELSE CAST(c_custkey + 1 AS STRING) END AS child_jobid
 FROM {customer}""",
     "job_project": """
 SELECT n_nationkey AS id, n_name AS name, n_regionkey AS user_id,

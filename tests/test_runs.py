@@ -1,5 +1,7 @@
 """Run log, retention and dependency rules on small literal frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,30 @@ def test_closure_ends_on_cycles_and_finds_smallest_depth(spark, rows):
     assert rows(dependencies.dependency_closure(jobs, 7)) == []
 
 
+def test_closure_of_all_jobs_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    lists = {i: [i + 1] for i in range(1, 40)} | {i: rng.sample(range(50, 90), 2) for i in range(50, 90)} | {95: [95], 96: [97], 97: [96], 98: [1000], 40: []}
+    jobs = spark.createDataFrame([(i, ",".join(map(str, c))) for i, c in lists.items()], "id long, child_jobid string")
+    want = {}
+    for root in lists:
+        frontier, depth = [root], 0
+        while frontier:
+            depth += 1
+            frontier = sorted({c for p in frontier for c in lists.get(p, []) if c in lists and (root, c) not in want})
+            want |= {(root, c): depth for c in frontier}
+    written = []
+    monkeypatch.setattr(dependencies, "scratch_path", lambda s, label, make=dependencies.scratch_path: written.append(make(s, label)) or written[-1])
+    closure = dependencies.dependency_closure_all(jobs)
+    assert {(r.ancestor, r.descendant): r.depth for r in closure.collect()} == want and closure.count() == len(want)
+    assert len(written) <= 8  # the longest way has 39 steps
+    mutual = {}
+    for a, b in want:
+        if (b, a) in want and (a, a) in want:
+            mutual.setdefault(a, set()).add(b)
+    got = {r.id: (r.cycle, r.jobs) for r in dependencies.dependency_cycles(closure).collect()}
+    assert got == {a: (min(m), len(m)) for a, m in mutual.items()} and got[96] == (96, 2) and got[95] == (95, 1) and 5 not in got
+
+
 def test_callback_message_is_appended_whole(spark):
     log = spark.createDataFrame([(1, 9, 0, "a" * 20_000, None), (2, 9, 200, "kept", None)], "id int, job_id int, handle_code int, handle_msg string, handle_time timestamp_ntz")
     calls = spark.createDataFrame([(1, 1, 500, "b"), (1, 2, 200, "c"), (2, 1, 500, "d")], "log_id int, arrival int, code int, msg string")
