@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesync.session import materialise
+
 COLUMN_SCHEMA = "position int, name string, type string, nullable boolean, comment string, is_key boolean, spec string"
 
 
@@ -31,23 +32,40 @@ def describe_table(df: DataFrame, keys: Iterable[str] | DataFrame = ()) -> DataF
     return made.join(known, "name", "left").select(*[F.coalesce("_key", F.lit(False)).alias(c) if c == "is_key" else F.col(c) for c in made.columns])
 
 
+SKETCH_DOUBT = 0.5
+"""A combination whose sketch sees fewer distinct values than this share of the rows is no key; sketches are off by five percent or so."""
+
+
+def _sketched(df: DataFrame, combos: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], bool]:
+    """Whether each combination can be a key, by one scan: no nulls, and a sketch of as many distinct values as rows, about."""
+    def value(combo):
+        return F.xxhash64(*combo) if len(combo) > 1 else F.col(combo[0])
+
+    singles = sorted({c for combo in combos for c in combo})
+    seen = df.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(singles)],
+        *[F.approx_count_distinct(value(combo)).alias(f"d{i}") for i, combo in enumerate(combos)],
+    ).first()
+    full = {c: seen[f"c{i}"] == seen["n"] for i, c in enumerate(singles)}
+    return {combo: all(full[c] for c in combo) and seen[f"d{i}"] >= SKETCH_DOUBT * seen["n"] for i, combo in enumerate(combos)}
+
+
 def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | bool = False) -> DataFrame:
     """Which columns, and on request pairs, are unique and free of nulls.
 
-    Exact: a combination is ruled out by a null or by two equal values that were found, so each is one grouping that stops
-    counting at its first repeat. Nothing runs before the result is read. ``pairs`` lists the pairs, or asks for all of ``columns``.
+    One scan counts nulls and distinct values by sketches, which rules out nearly all combinations. A pair of a key and a
+    column without nulls is a key itself. What is left is grouped whole, so what is called a key is one.
+    ``pairs`` lists the pairs, or asks for all of ``columns``.
     """
     columns = list(columns or df.columns)
     combos = [(c,) for c in columns] + (list(combinations(columns, 2)) if pairs is True else list(pairs or ()))
-    filled = df.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c_{c}") for c in sorted({c for p in combos for c in p})])).scalar()
-    one = df.sparkSession.range(1)
-
-    def test(combo):
-        repeat = df.groupBy(*combo).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).agg(F.count(F.lit(1))).scalar()
-        whole = reduce(and_, [filled[f"c_{c}"] == filled["n"] for c in combo])
-        return one.select(F.lit(",".join(combo)).alias("columns"), (whole & (repeat == 0)).alias("is_key"))
-
-    return reduce(DataFrame.unionAll, map(test, combos))
+    can, is_key = _sketched(df, combos), {}
+    for combo in sorted(combos, key=len):
+        if len(combo) > 1 and can[combo] and any(is_key.get((c,)) for c in combo):
+            is_key[combo] = True
+        else:
+            is_key[combo] = can[combo] and df.groupBy(*combo).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+    return df.sparkSession.createDataFrame([(",".join(c), is_key[c]) for c in combos], "columns string, is_key boolean")
 
 
 def key_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -115,6 +133,39 @@ def infer_document_schema(df: DataFrame, column: str) -> DataFrame:
     return found.unionByName(bad.select(F.lit(None).cast("string").alias("field"), F.lit("invalid").alias("type"), "documents"))
 
 
+def merged_document_schema(df: DataFrame, column: str) -> DataFrame:
+    """One row: the schema that all documents of a JSON text column share, as Spark merges it; text that is no document is left out."""
+    return df.select(F.try_parse_json(column).alias("doc")).agg(F.schema_of_variant_agg("doc").alias("schema"))
+
+
+def infer_document_schema_nested(df: DataFrame, column: str) -> DataFrame:
+    """``(path, type, count)`` of every value inside the documents of a JSON text column, at any depth.
+
+    A path is keys joined by dots, ``[]`` standing for the elements of an array; a key with a dot or a bracket is quoted. Nulls are
+    counted as type ``null``. Each round goes one level down and writes what is still nested to the shared folder, so there
+    are as many rounds as levels, and no level is parsed twice. Text that is no document is counted as ``invalid``.
+    """
+    spark = df.sparkSession
+    docs = df.select(F.try_parse_json(column).alias("value"), F.col(column).isNotNull().alias("given"))
+    bad = docs.where("given AND value IS NULL").agg(F.count(F.lit(1)).alias("count")).where("count > 0")
+    levels = [bad.select(F.lit(None).cast("string").alias("path"), F.lit("invalid").alias("type"), "count")]
+    kind = F.col("kind")
+    for prefix, name in reversed((*_FIELD_KIND, ("VOID", "null"))):
+        kind = F.when(F.startswith(F.col("kind"), F.lit(prefix)), name).otherwise(kind)
+    level = docs.where("value IS NOT NULL").select(F.lit("").alias("path"), "value")
+    while True:
+        step = spark.sql(
+            """SELECT concat(path, CASE WHEN f.key IS NULL THEN '[]' ELSE concat(CASE WHEN path = '' THEN '' ELSE '.' END,
+                 CASE WHEN contains(f.key, '.') OR contains(f.key, '[') THEN concat('"', f.key, '"') ELSE f.key END) END) AS path, f.value AS value, schema_of_variant(f.value) AS kind
+               FROM {level}, LATERAL variant_explode(value) AS f""", level=level
+        )
+        step = materialise(step.select("path", "value", kind.alias("type")), "paths")
+        levels.append(step.groupBy("path", "type").agg(F.count(F.lit(1)).alias("count")))
+        level = step.where("type IN ('object', 'array')").select("path", "value")
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, levels)
+
+
 def infer_cell_columns(cells: DataFrame) -> DataFrame:
     """``family:qualifier`` of a cell table with the number and share of row keys that fill it."""
     total = cells.agg(F.count_distinct("rowkey")).scalar()

@@ -46,6 +46,20 @@ def infer_document_schema(t):
     return profile.infer_document_schema(t.event_docs, "doc")
 
 
+@query("infer_document_schema_nested", """WITH RECURSIVE walk(path, value) AS (
+  SELECT key, json_extract(doc, '$.' || key) FROM (SELECT unnest(json_keys(doc)) AS key, doc FROM event_docs WHERE json_valid(doc))
+  UNION ALL
+  SELECT path || CASE WHEN key = '' THEN '[]' ELSE '.' || key END, value FROM (
+    SELECT path, unnest(CASE json_type(value) WHEN 'OBJECT' THEN list_transform(json_keys(value), lambda k: {'key': k, 'value': json_extract(value, '$.' || k)})
+      ELSE list_transform(CAST(json_extract(value, '$[*]') AS JSON[]), lambda x: {'key': '', 'value': x}) END, recursive := true)
+    FROM walk WHERE json_type(value) IN ('OBJECT', 'ARRAY')))
+SELECT path, CASE json_type(value) WHEN 'UBIGINT' THEN 'long' WHEN 'BIGINT' THEN 'long' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool'
+    WHEN 'DOUBLE' THEN 'double' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'null' END AS type, count(*) AS count FROM walk GROUP BY ALL
+UNION ALL SELECT NULL, 'invalid', count(*) FROM event_docs WHERE doc IS NOT NULL AND NOT json_valid(doc) HAVING count(*) > 0""", "event_docs")
+def infer_document_schema_nested(t):
+    return profile.infer_document_schema_nested(t.event_docs, "doc")
+
+
 @query("infer_cell_columns", """SELECT family || ':' || qualifier AS "column", count(DISTINCT CASE WHEN value IS NOT NULL THEN rowkey END) AS filled,
   round(count(DISTINCT CASE WHEN value IS NOT NULL THEN rowkey END) / (SELECT count(DISTINCT rowkey) FROM cells), 6) AS fill_rate FROM cells GROUP BY 1""", "cells")
 def infer_cell_columns(t):

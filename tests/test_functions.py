@@ -98,3 +98,25 @@ def test_candidate_keys_with_nulls(spark):
     df = spark.createDataFrame([(1, 1, None), (2, 1, 3), (3, 2, 4)], "a int, b int, c int")
     got = {r.columns: r.is_key for r in profile.candidate_keys(df, pairs=True).collect()}
     assert got == {"a": True, "b": False, "c": False, "a,b": True, "a,c": False, "b,c": False}
+
+
+def test_nested_document_schema(spark):
+    docs = ['{"a":{"b":[{"c":1},{"c":"x"},[2]],"d.e":null},"f":true}', '{"a":7,"f":{"g":{"h":{"i":2.5}}}}', "{", None, "[1,{\"z\":0}]", "3"]
+    frame = spark.createDataFrame([(d,) for d in docs], "doc string")
+    got = {(r.path, r.type): r["count"] for r in profile.infer_document_schema_nested(frame, "doc").collect()}
+    assert got == {
+        (None, "invalid"): 1, ("a", "object"): 1, ("a", "long"): 1, ("f", "bool"): 1, ("f", "object"): 1, ("a.b", "array"): 1, ('a."d.e"', "null"): 1,
+        ("a.b[]", "object"): 2, ("a.b[]", "array"): 1, ("a.b[].c", "long"): 1, ("a.b[].c", "string"): 1, ("a.b[][]", "long"): 1,
+        ("f.g", "object"): 1, ("f.g.h", "object"): 1, ("f.g.h.i", "double"): 1, ("[]", "long"): 1, ("[]", "object"): 1, ("[].z", "long"): 1,
+    }
+    assert "f" in profile.merged_document_schema(frame.limit(2), "doc").first().schema
+
+
+def test_keys_are_searched_by_sketches_first(spark, monkeypatch):
+    frame = spark.range(5000).selectExpr("id AS a", "id % 7 AS b", "id div 7 AS c", "IF(id = 9, NULL, id) AS d", "IF(id = 4999, 0, id) AS e", "'x' AS f")
+    grouped = []
+    monkeypatch.setattr(type(frame), "groupBy", lambda self, *c, plain=type(frame).groupBy: grouped.append(c) or plain(self, *c))
+    got = {r.columns: r.is_key for r in profile.candidate_keys(frame, pairs=True).collect()}
+    want = {c: len({tuple(r) for r in frame.select(*c.split(",")).collect()}) == 5000 and not frame.where(" OR ".join(f"{x} IS NULL" for x in c.split(","))).count() for c in got}
+    assert got == want and got["a"] and got["b,c"] and got["a,f"] and not got["e"] and not got["a,d"]
+    assert len(grouped) < len(got) / 2
