@@ -24,6 +24,13 @@ def stream_daily_report(t):
     return streams.read_daily_report(t.spark, data)
 
 
+@query("stream_report_windows", _DAILY, "job_log")
+def stream_report_windows(t):
+    data, checkpoint = _places(t, "windows")
+    streams.stream_report_windows(t.streams().job_log, data, checkpoint)
+    return streams.read_report_windows(t.spark, data)
+
+
 @query("stream_callback_dedup", "SELECT event_id AS log_id, event_type AS source FROM events")
 def stream_callback_dedup(t):
     data, checkpoint = _places(t, "callbacks")

@@ -12,8 +12,10 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from tablesync.operators.common import newest_per_key
+from tablesync.operators.common import newest_per_key, ntz
 from tablesync.operators.registry import registry_latest
 from tablesync.operators.runs import is_success, is_unfinished, open_failures
 from tablesync.plans.sync import SyncSpec, run_sync
@@ -30,10 +32,11 @@ def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", m
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that has arrived, then stop."""
     query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -103,6 +106,60 @@ def read_daily_report(spark: SparkSession, path: str) -> DataFrame:
     return total.select("trigger_day", "running_count", "suc_count", (F.col("day_count") - F.col("running_count") - F.col("suc_count")).alias("fail_count"))
 
 
+_RUN = "trigger_time timestamp_ntz, trigger_code int, handle_code int"
+
+
+def _tallies() -> list[Column]:
+    tally = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    return [F.count("handle_code").alias("day_count"), tally(is_unfinished()).alias("running_count"), tally(is_success()).alias("suc_count")]
+
+
+def stream_report_windows(runs: DataFrame, path: str, checkpoint: str, delay: str = "2 days") -> None:
+    """Counts per day in windows with a state store, which holds the days of the last ``delay`` only.
+
+    Each batch is split at the newest time of all batches before it less ``delay``. Newer runs go to a table that a second
+    stream, with that delay as its watermark, counts in windows of a day: an updated day is written whole, days that are past
+    leave the state. Runs that come later than that, or have no time, would be dropped there; they are counted per day in a
+    table beside it, so nothing is lost however late it is. The second stream takes all that the first has left in one
+    batch, so its watermark never passes a run; should one be dropped nevertheless, the call fails.
+    """
+    spark = runs.sparkSession
+    fresh, late, newest, days = (batch_writer(f"{path}/{n}") for n in ("fresh", "late", "newest", "days"))
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        session, top = batch.sparkSession, None
+        known = f"{path}/newest/batch={batch_id - 1}"
+        if path_exists(session, known):
+            top = session.read.schema("newest timestamp_ntz").parquet(known).first()["newest"]
+        rows = batch.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(_RUN)])
+        bound = F.lit(None if top is None else str(top)).cast("timestamp_ntz") - F.expr(f"INTERVAL {delay}")
+        in_time = F.col("trigger_time").isNotNull() & (bound.isNull() | (F.col("trigger_time") >= bound))
+        fresh(rows.where(in_time), batch_id)
+        late(rows.where(~in_time).groupBy(F.col("trigger_time").cast("date").alias("trigger_day")).agg(*_tallies()), batch_id)
+        newest(rows.agg(F.greatest(F.max("trigger_time"), F.lit(None if top is None else str(top)).cast("timestamp_ntz")).alias("newest")), batch_id)
+
+    run_available(runs.select("trigger_time", "trigger_code", "handle_code"), split, f"{checkpoint}/split")
+
+    # A watermark needs a time with a zone; zone-free times are taken as UTC and back, so the session's zone plays no part.
+    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col("trigger_time")))
+    kept = stream_files(spark, f"{path}/fresh", _RUN).select(instant.alias("at"), "trigger_code", "handle_code")
+    daily = kept.withWatermark("at", delay).groupBy(F.window("at", "1 day")).agg(*_tallies())
+    daily = daily.select(F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86_400).cast("int")).alias("trigger_day"), *_REPORT)
+    done = run_available(daily, days, f"{checkpoint}/windows", "update")
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in done.recentProgress for o in p["stateOperators"])
+    if dropped:
+        raise RuntimeError(f"{dropped} runs came behind the watermark")
+
+
+def read_report_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The report of every day: its newest count in windows, and what came too late for them."""
+    columns = "trigger_day date, day_count long, running_count long, suc_count long, batch int"
+    counted = newest_per_key(spark.read.schema(columns).parquet(f"{path}/days"), ["trigger_day"], [F.col("batch").desc()])
+    both = counted.unionByName(spark.read.schema(columns).parquet(f"{path}/late"))
+    total = both.groupBy("trigger_day").agg(*[F.sum(c).alias(c) for c in _REPORT])
+    return total.select("trigger_day", "running_count", "suc_count", (F.col("day_count") - F.col("running_count") - F.col("suc_count")).alias("fail_count"))
+
+
 def stream_callback_dedup(callbacks: DataFrame, path: str, checkpoint: str, time: str = "arrived", width: int = SEEN_WIDTH) -> None:
     """The first callback of each log id."""
     run_available(callbacks, _once(path, "log_id", [F.col(time)], width), checkpoint)

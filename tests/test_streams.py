@@ -32,6 +32,22 @@ def test_daily_report_over_three_arrivals(spark, tables, feed, rows):
     assert rows(streams.read_daily_report(spark, out)) == rows(daily_report(log).select("trigger_day", "running_count", "suc_count", "fail_count"))
 
 
+def test_windows_with_a_state_lose_nothing_that_is_late(spark, tables, feed, rows):
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "cp")
+    log = tables.job_log.withColumn("trigger_time", F.when(F.col("id") % 50 != 7, F.col("trigger_time")))
+    late = F.col("id") % 5 == 1
+    parts = [log.where("trigger_time < '2024-01-10'").where(~late), log.where("trigger_time >= '2024-01-10'").where(~late), log.where(late), log.where(F.col("trigger_time").isNull()).where(~late)]
+    ends = []
+    for part in parts:
+        streams.stream_report_windows(feed(part), out, checkpoint, "36 hours")
+        ends.append(spark.read.parquet(f"{out}/days").agg(F.max("batch")).first()[0])
+    assert rows(streams.read_report_windows(spark, out)) == rows(daily_report(log).select("trigger_day", "running_count", "suc_count", "fail_count"))
+    side = spark.read.parquet(f"{out}/late")
+    assert side.where("batch = 2").agg(F.sum("day_count")).first()[0] > 0 and side.where("batch < 2").count() == 0
+    counted = spark.read.parquet(f"{out}/days").where(F.col("batch") > ends[1])
+    assert 0 < counted.count() <= 3  # only days that are still open are counted again
+
+
 def test_callbacks_are_taken_once_across_batches(spark, feed):
     out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "cp")
     calls = spark.range(100).selectExpr("id AS log_id", "TIMESTAMP_NTZ '2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, id) AS arrived")
