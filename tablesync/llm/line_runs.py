@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tablesync.session import materialise
 
-#: Lines of the shortest run that counts.
+#: Lines of the shortest run that counts whatever it holds, and words from which fewer lines count too.
 LEAST = 3
+WORDS = 51
 #: Ranks that agree but for their last bits form a block.
 BLOCK_BITS = 10
 
@@ -143,11 +144,17 @@ def kept_lines(text: Column, runs: Column) -> Column:
     return F.array_join(stays, "\n")
 
 
-ORACLE = """
-WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
-runs AS (SELECT doc_id, pos, line, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, pos) AS n FROM runs WHERE b IS NOT NULL AND c IS NOT NULL) WHERE n > 1),
-opened AS (SELECT doc_id, pos, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 3 THEN 1 ELSE 0 END AS opens FROM later),
-grouped AS (SELECT doc_id, pos, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM opened)
-SELECT doc_id, CAST(min(pos) AS BIGINT) AS first_line, CAST(max(pos) - min(pos) + 3 AS BIGINT) AS n_lines FROM grouped GROUP BY doc_id, run
+ORACLE = r"""
+WITH lines AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words
+  FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''))),
+ahead AS (SELECT *, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, lead(words) OVER w AS words_b FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+one AS (SELECT doc_id, pos, pos + 1 AS upto, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS n FROM ahead WHERE words >= 51),
+two AS (SELECT doc_id, pos, pos + 2 AS upto, row_number() OVER (PARTITION BY line, b ORDER BY doc_id, pos) AS n FROM ahead WHERE b IS NOT NULL AND words + words_b >= 51),
+three AS (SELECT doc_id, pos, pos + 3 AS upto, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, pos) AS n FROM ahead WHERE c IS NOT NULL),
+later AS (SELECT doc_id, pos, max(upto) AS upto FROM (FROM one UNION ALL FROM two UNION ALL FROM three) WHERE n > 1 GROUP BY doc_id, pos),
+opened AS (
+  SELECT *, CASE WHEN pos <= max(upto) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM later),
+grouped AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM opened)
+SELECT doc_id, CAST(min(pos) AS BIGINT) AS first_line, CAST(max(upto) - min(pos) AS BIGINT) AS n_lines FROM grouped GROUP BY doc_id, run
 """

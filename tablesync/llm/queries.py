@@ -68,7 +68,7 @@ def op7_chunk_dedup(spark, sf_dir):
 
 @registered("op8_line_runs", line_runs.ORACLE)
 def op8_line_runs(spark, sf_dir):
-    return line_runs.line_dedup(table(spark, sf_dir, "documents"))
+    return line_runs.line_dedup(table(spark, sf_dir, "documents"), words=line_runs.WORDS)
 
 
 @registered("op9_toxicity")
