@@ -43,6 +43,31 @@ def pairs_of_neighbours(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return a.join(b, "pair_id").select("pair_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("chosen"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("rejected"))
 
 
+def with_other_replies(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Turns of conversations 2c and 2c + 1 for each conversation c: itself, and the same with another last reply.
+
+    The other one is c up to its last assistant turn, and then the last assistant turn of conversation ``c ^ 1``; without such
+    a reply it just ends, and where c has none either the reply follows its last turn. So both share all turns
+    before, and one conversation has one pair. Turns without a number come first. The id is a whole number.
+    """
+    known = turns.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = F.col("role") == LEARNED
+    ends = known.groupBy("id").agg(
+        F.coalesce(F.max(F.when(said, F.col("turn"))), F.max("turn") + 1).alias("last"), F.max(F.when(said, F.struct("turn", "text"))).alias("reply")
+    )
+    own = known.select((2 * F.col("id")).alias(id_col), "turn", "role", "text")
+    begin = known.join(ends.select("id", "last"), "id").where("turn IS NULL OR turn < last").select(2 * F.col("id") + 1, "turn", "role", "text")
+    replies = ends.where("reply IS NOT NULL").select(F.col("id").bitwiseXOR(F.lit(1).cast("long")).alias("id"), F.col("reply.text").alias("text"))
+    end = replies.join(ends.select("id", "last"), "id").select(2 * F.col("id") + 1, F.col("last"), F.lit(LEARNED), "text")
+    return own.union(begin).union(end)
+
+
+def pairs_of_replies(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """``(pair_id, chosen, rejected)`` for the turns that ``with_other_replies`` made: a conversation is preferred to its variant."""
+    each = turns.where(F.col(id_col) % 2 == 0).select(F.col(id_col).alias("chosen")).distinct()
+    return each.select(F.shiftright("chosen", 1).alias("pair_id"), "chosen", (F.col("chosen") + 1).alias("rejected"))
+
+
 def _completion(rest: Column) -> Column:
     """Text of the turns and the character ranges of assistant texts in it."""
     start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("mask"))
@@ -76,13 +101,16 @@ def mask_text(mask: Column) -> Column:
 
 
 ORACLE = """
-WITH turns AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
-said AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said FROM turns GROUP BY conv_id),
-pairs AS (
-  SELECT a.conv_id // 2 AS pair_id, CASE WHEN a.said >= b.said THEN a.conv_id ELSE b.conv_id END AS chosen_id, CASE WHEN a.said >= b.said THEN b.conv_id ELSE a.conv_id END AS rejected_id
-  FROM said a JOIN said b ON a.conv_id % 2 = 0 AND b.conv_id = a.conv_id + 1),
+WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (
+  SELECT conv_id, coalesce(max(turn) FILTER (WHERE role = 'assistant'), max(turn) + 1) AS last, first(text ORDER BY turn DESC NULLS LAST, text DESC) FILTER (WHERE role = 'assistant') AS reply
+  FROM raw GROUP BY conv_id),
+made AS (
+  SELECT 2 * conv_id AS conv_id, turn, role, text FROM raw
+  UNION ALL SELECT 2 * r.conv_id + 1, r.turn, r.role, r.text FROM raw r JOIN ends e ON e.conv_id = r.conv_id WHERE r.turn IS NULL OR r.turn < e.last
+  UNION ALL SELECT 2 * a.conv_id + 1, a.last, 'assistant', b.reply FROM ends a JOIN ends b ON b.conv_id = xor(a.conv_id, 1) WHERE b.reply IS NOT NULL),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, role, text FROM made),
+pairs AS (SELECT conv_id AS pair_id, 2 * conv_id AS chosen_id, 2 * conv_id + 1 AS rejected_id FROM ends WHERE 2 * conv_id + 1 IN (SELECT conv_id FROM made)),
 differ AS (
   SELECT p.pair_id, min(coalesce(x.k, y.k)) - 1 AS common
   FROM pairs p JOIN (SELECT p.pair_id, t.* FROM pairs p JOIN turns t ON t.conv_id = p.chosen_id) x ON x.pair_id = p.pair_id
@@ -98,7 +126,7 @@ completed AS (
          string_agg(CASE WHEN role = 'assistant' AND text <> '' THEN CAST(CAST(begins AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins AS BIGINT) + length(text) AS VARCHAR) END, ',' ORDER BY k) AS mask
   FROM placed GROUP BY pair_id, side),
 prompts AS (SELECT pair_id, string_agg(line, '' ORDER BY k) AS prompt FROM shown WHERE side = 'c' AND k <= common GROUP BY pair_id)
-SELECT s.pair_id, s.chosen_id, s.rejected_id, CAST(s.common AS BIGINT) AS prompt_turns, coalesce(q.prompt, '') AS prompt, coalesce(c.text, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
+SELECT s.pair_id, s.pair_id AS chosen_id, xor(s.pair_id, 1) AS rejected_id, CAST(s.common AS BIGINT) AS prompt_turns, coalesce(q.prompt, '') AS prompt, coalesce(c.text, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
        coalesce(r.text, '') AS rejected, coalesce(r.mask, '') AS rejected_mask
 FROM shared s LEFT JOIN prompts q ON q.pair_id = s.pair_id LEFT JOIN completed c ON c.pair_id = s.pair_id AND c.side = 'c' LEFT JOIN completed r ON r.pair_id = s.pair_id AND r.side = 'r'
 """

@@ -39,9 +39,11 @@ def op2_exact_dedup(spark, sf_dir):
 
 @registered("op3_chat_format", preferences.ORACLE)
 def op3_chat_format(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    rows = preferences.preference_rows(turns, preferences.pairs_of_neighbours(turns))
-    return rows.withColumns({c: preferences.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+    turns = preferences.with_other_replies(table(spark, sf_dir, "conversations"))
+    rows = preferences.preference_rows(turns, preferences.pairs_of_replies(turns))
+    rows = rows.withColumns({c: preferences.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+    # a pair is a conversation and the one its other reply is from
+    return rows.withColumns({"chosen_id": F.col("pair_id"), "rejected_id": F.col("pair_id").bitwiseXOR(F.lit(1).cast("long"))})
 
 
 @registered("op4_simhash")

@@ -57,3 +57,28 @@ def test_odd_rows(spark):
     assert [r[:4] for r in out] == [(0, 1, 0, 0), (3, 6, 7, 1)]
     assert out[1][5] == "" and out[1][7] == render("user", "same")
     assert run(spark, []) == []
+
+
+def test_every_conversation_meets_another_reply(spark):
+    talks = {
+        0: [(0, "user", "a"), (1, "assistant", "b"), (2, "user", "c"), (3, "assistant", "d"), (4, "user", "e")], 1: [(0, "user", "x"), (1, "assistant", "y")],
+        4: [(0, "user", "alone"), (1, "assistant", "z")], 6: [(0, "user", "no reply")], 7: [(None, "system", None), (0, "user", "q"), (5, "assistant", "r")], 8: [(0, "assistant", "only")],
+    }
+    rows = [(c, t, r, x) for c, turns in talks.items() for t, r, x in turns] + [(None, 0, "user", "lost")]
+    turns = p.with_other_replies(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {r.pair_id: r for r in p.preference_rows(turns, p.pairs_of_replies(turns)).collect()}
+    shown = {c: (r.prompt_turns, r.chosen, r.rejected) for c, r in got.items()}
+    line = render
+    assert shown == {
+        0: (3, line("assistant", "d") + line("user", "e"), line("assistant", "y")), 1: (1, line("assistant", "y"), line("assistant", "d")),
+        4: (1, line("assistant", "z"), ""), 6: (1, "", line("assistant", "r")), 7: (2, line("assistant", "r"), ""),
+    }
+    assert got[0].prompt == line("user", "a") + line("assistant", "b") + line("user", "c")
+
+
+def test_the_given_conversations_share_prompts(spark):
+    from tablesync.llm.queries import QUERIES
+
+    rows = QUERIES["op3_chat_format"](spark, "/root/testdata/sf0.01").collect()
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id").distinct().count()
+    assert len(rows) == talks and sum(r.prompt_turns > 0 for r in rows) > 0.9 * talks
