@@ -6,10 +6,11 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesync.session import materialise
+from tablesync.sinks.publish import path_exists
 
 COLUMN_SCHEMA = "position int, name string, type string, nullable boolean, comment string, is_key boolean, spec string"
 
@@ -109,6 +110,46 @@ def profile_table(df: DataFrame, columns: Sequence[str] | None = None, exact_dis
     )
 
 
+def _file_measures(columns: Sequence[str]) -> list:
+    """Sums and sketches of one file that merge: counts, ends of the range, and a sketch of the distinct values."""
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    each = [(F.count(c).alias(f"count_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"), F.hll_sketch_agg(hashed(c)).alias(f"sketch_{i}")) for i, c in enumerate(columns)]
+    return [F.count(F.lit(1)).alias("n"), *(m for four in each for m in four)]
+
+
+def profile_files(spark: SparkSession, path: str, store: str, columns: Sequence[str] | None = None, file_format: str = "parquet") -> DataFrame:
+    """The profile of a table of files, as ``profile_table`` has it with estimated distinct values, from stored profiles of its files.
+
+    ``store`` holds one row per file. Only files it doesn't know are read, and their rows are added; files that are gone are
+    left out of the result. Files are told apart by their path, so a file must not be written anew under its old name, which
+    Spark never does. A run repeated after a failure adds at most a second row for a file, of which one counts.
+    """
+    table = spark.read.format(file_format).load(path)
+    columns = list(columns or table.columns)
+    plain = F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("file")  # one way to write a path, whoever tells it
+    files = spark.createDataFrame([(f,) for f in table.inputFiles()], "path string").select("path", plain)
+    known = spark.read.parquet(store) if path_exists(spark, store) else None
+    new = [r.path for r in (files if known is None else files.join(known.select("file"), "file", "left_anti")).collect()]
+    if new:
+        rows = spark.read.format(file_format).schema(table.schema).load(new).select(*columns, F.col("_metadata.file_path").alias("path")).select(*columns, plain)
+        rows.groupBy("file").agg(*_file_measures(columns)).write.mode("append").parquet(store)
+        known = spark.read.parquet(store)
+    if known is None:
+        return profile_table(table, columns, exact_distinct=False)
+    kept = known.join(files, "file", "left_semi").dropDuplicates(["file"])
+    merged = kept.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        *[F.coalesce(F.sum(f"count_{i}"), F.lit(0)).alias(f"count_{c}") for i, c in enumerate(columns)],
+        *[F.min(f"min_{i}").cast("string").alias(f"min_{c}") for i, c in enumerate(columns)],
+        *[F.max(f"max_{i}").cast("string").alias(f"max_{c}") for i, c in enumerate(columns)],
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{i}")), F.lit(0)).alias(f"distinct_{c}") for i, c in enumerate(columns)],
+    )
+    return _by_column(
+        merged, columns, row_count=lambda c: F.col("n"), null_count=lambda c: F.col("n") - F.col(f"count_{c}"), min_value=lambda c: F.col(f"min_{c}"),
+        max_value=lambda c: F.col(f"max_{c}"), distinct_count=lambda c: F.col(f"distinct_{c}"),
+    )
+
+
 _FIELD_KIND = (
     ("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "bool"),
     ("BIGINT", "long"), ("DECIMAL", "double"), ("DOUBLE", "double"),

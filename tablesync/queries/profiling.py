@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablesync.operators import profile
 from tablesync.queries.registry import query
+from tablesync.session import scratch_path
 
 
 def _key(table, columns):
@@ -78,6 +79,21 @@ def profile_table(t):
     return each[0].unionAll(each[1])
 
 
+@query("profile_files", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value, "
+    f"CAST(max({c}) AS VARCHAR) AS max_value, TRUE AS distinct_close FROM orders" for i, c in enumerate(_ORDER)))
+def profile_files(t):
+    """Orders arrive in two loads; each load is read once, and the estimate of distinct values is held against the exact count."""
+    path, store = scratch_path(t.spark, "profiled"), scratch_path(t.spark, "profiles")
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
+    for part in (t.orders.where(early), t.orders.where(~F.coalesce(early, F.lit(False)))):
+        part.select(*_ORDER).write.mode("append").parquet(path)
+        merged = profile.profile_files(t.spark, path, store, _ORDER)
+    exact = profile.profile_table(t.orders, _ORDER).select("name", F.col("distinct_count").alias("exact"))
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")
+    return merged.join(exact, "name").select("position", "name", "row_count", "null_count", "min_value", "max_value", close.alias("distinct_close"))
+
+
 @query("schema_compat", """SELECT * FROM (VALUES
   (0, 'c_custkey', 'bigint', 's_suppkey', 'bigint', 'renamed', (SELECT count(c_custkey) FROM customer)),
   (1, 'c_name', 'string', 'c_name', 'string', 'same', (SELECT count(c_name) FROM customer)),

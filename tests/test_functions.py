@@ -120,3 +120,27 @@ def test_keys_are_searched_by_sketches_first(spark, monkeypatch):
     want = {c: len({tuple(r) for r in frame.select(*c.split(",")).collect()}) == 5000 and not frame.where(" OR ".join(f"{x} IS NULL" for x in c.split(","))).count() for c in got}
     assert got == want and got["a"] and got["b,c"] and got["a,f"] and not got["e"] and not got["a,d"]
     assert len(grouped) < len(got) / 2
+
+
+def test_profiles_of_files_merge_and_only_new_files_are_read(spark, tables, rows):
+    from tablesync.session import scratch_path
+
+    path, store = scratch_path(spark, "files"), scratch_path(spark, "store")
+    whole = tables.orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")))
+    whole.where("o_orderkey % 2 = 0").write.parquet(path)
+    profile.profile_files(spark, path, store)
+    first = spark.read.parquet(store).count()
+    whole.where("o_orderkey % 2 = 1").write.mode("append").parquet(path)
+    merged = profile.profile_files(spark, path, store)
+    files = spark.read.parquet(store)
+    assert first < files.count() == files.select("file").distinct().count() == len(spark.read.parquet(path).inputFiles())
+    exact = {r.name: r for r in profile.profile_table(whole).collect()}
+    for r in merged.collect():
+        e = exact[r.name]
+        assert (r.row_count, r.null_count, r.min_value, r.max_value) == (e.row_count, e.null_count, e.min_value, e.max_value)
+        assert abs(r.distinct_count - e.distinct_count) <= 0.05 * e.distinct_count
+    before = set(spark.read.parquet(store).inputFiles())
+    assert rows(profile.profile_files(spark, path, store)) == rows(merged) and set(spark.read.parquet(store).inputFiles()) == before
+    rest = scratch_path(spark, "rest")
+    whole.limit(0).write.parquet(rest)
+    assert profile.profile_files(spark, rest, scratch_path(spark, "store")).first().row_count == 0
