@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the trained model and the packing; the operators are tested one by one, and test_pipeline.py tests what stages keep.
+#: SQL can't express the trained model and the packing; tests/llm/test_pipeline.py holds all stages but the first against brute force.
 ORACLE_SQL = None
 
 
