@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+
 from tablesync.llm import toxicity
 
 STEMS = ["grumpf", "snarlo", "blighty"]
@@ -94,3 +98,58 @@ def test_labels_without_a_usable_document_take_no_place(spark, docs, monkeypatch
     want = dict(labels)
     held = [r for r in found if r.held_out and r.doc_id in want]
     assert sum(r.predicted == want[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def slow_margins(texts, labels, of_class, epochs, seed=7):
+    """Plain loops over documents and subwords, in double precision: margin of each bucket, and the bias."""
+    bags = []
+    for text in texts:
+        words = re.findall(r"[a-z]+", text)
+        bag = {}
+        for w in words:
+            for s in toxicity.subwords(w.encode()):
+                bag[s] = bag.get(s, 0) + 1 / len(words)
+        bags.append(bag)
+    used = sorted(s for s in {s for b in bags for s in b} if sum(s in b for b in bags) >= 2)
+    drawn = [labels.count(0), labels.count(1)]
+    total = sum(of_class)
+    weigh = [of_class[y] / drawn[y] / total for y in labels]
+    params = {("v", s, j): 0.0 for s in used for j in range(2)} | {("b", c): 0.0 for c in range(2)}
+    params |= {("w", j, c): float(x) for (j, c), x in np.ndenumerate(np.random.default_rng(seed).normal(0, 1, (2, 2)).astype(np.float32))}
+    first, second = dict.fromkeys(params, 0.0), dict.fromkeys(params, 0.0)
+    for step in range(1, epochs + 1):
+        grads = {k: toxicity.DECAY * v if k[0] == "v" else 0.0 for k, v in params.items()}
+        for bag, y, weight in zip(bags, labels, weigh, strict=True):
+            held = [(s, x) for s, x in bag.items() if ("v", s, 0) in params]
+            mean = [sum(params["v", s, j] * x for s, x in held) for j in range(2)]
+            logits = [sum(mean[j] * params["w", j, c] for j in range(2)) + params["b", c] for c in range(2)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            for c in range(2):
+                error = (odds[c] / sum(odds) - (y == c)) * weight
+                grads["b", c] += error
+                for j in range(2):
+                    grads["w", j, c] += mean[j] * error
+                    for s, x in held:
+                        grads["v", s, j] += error * params["w", j, c] * x
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            params[k] -= toxicity.RATE * (first[k] / (1 - 0.9**step)) / (math.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
+        for s in used:
+            norm = max(math.hypot(params["v", s, 0], params["v", s, 1]), 1e-9)
+            for j in range(2):
+                params["v", s, j] *= max(0.0, 1 - toxicity.RATE * toxicity.SHRINK / norm)
+    return {s: sum(params["v", s, j] * (params["w", j, 1] - params["w", j, 0]) for j in range(2)) for s in used}, params["b", 1] - params["b", 0]
+
+
+def test_training_equals_plain_loops(monkeypatch):
+    rows, labels = corpus(24, seed=5)
+    monkeypatch.setattr(toxicity, "EPOCHS", 8)
+    texts, y = [t for _, t in rows], [x for _, x in labels]
+    model = toxicity.train(texts, y, of_class=(900, 100))
+    margins, bias = slow_margins(texts, y, (900, 100), 8)
+    got = np.array([model.margin[s] for s in margins])
+    want = np.array(list(margins.values()))
+    assert np.abs(want).max() > 0.1 and abs(model.bias - bias) < 1e-3
+    assert np.quantile(np.abs(got - want), 0.99) < 1e-2 and np.corrcoef(got, want)[0, 1] > 0.999
+    assert not np.delete(model.margin, list(margins)).any()
