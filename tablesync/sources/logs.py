@@ -2,6 +2,9 @@
 
 A log may be one file or several that follow each other by name, each read in many blocks by as many tasks. A task sees the lines
 of a block in order, so a line's number is its place in the block plus the lines of all earlier blocks of its log.
+
+Most logs are small, and a file for each costs more than its text. Written logs that don't fill a read block share files, in
+which each line starts with its log's id; the number of files follows the bytes, not the number of logs.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tablesync.session import materialise
 
-LOG_FILE = r"(\d+)(?:\.log|/part-[^/]*)$"
+LOG_FILE = r"((?:(?<==)-)?\d+)(?:\.log|/part-[^/]*)$"
 """What names a log in a file's path: ``2024-01-05/17.log``, or ``log_id=17/part-00000.txt`` as ``write_log_files`` has it."""
+SHARED_FILE = "/log_id=shared/part-"
+"""Files of ``write_log_files`` that hold several logs, one after the other, as lines ``log_id<tab>line``."""
 
 
 def log_lines(spark: SparkSession, path: str, name: str = LOG_FILE) -> DataFrame:
@@ -22,10 +27,12 @@ def log_lines(spark: SparkSession, path: str, name: str = LOG_FILE) -> DataFrame
     would be split. Only one row per block is ordered.
     """
     text = spark.read.option("recursiveFileLookup", "true").text(path)
-    named = F.nullif(F.regexp_extract("_metadata.file_path", name, 1), F.lit("")).cast("long")
+    file, value = F.col("_metadata.file_path"), F.col("value")
+    shared = F.contains(file, F.lit(SHARED_FILE))
+    log_id = F.when(shared, F.substring_index(value, "\t", 1)).otherwise(F.regexp_extract(file, name, 1))
     lines = text.select(
-        named.alias("log_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+        F.nullif(log_id, F.lit("")).cast("long").alias("log_id"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.when(shared, F.substring(value, F.instr(value, "\t") + 1, F.length(value))).otherwise(value).alias("line"),
     ).where("log_id IS NOT NULL")
     lines = materialise(lines, "log-lines")
     key = ["log_id", "file", "block"]
@@ -36,12 +43,21 @@ def log_lines(spark: SparkSession, path: str, name: str = LOG_FILE) -> DataFrame
 
 
 def write_log_files(lines: DataFrame, path: str) -> str:
-    """Write ``(log_id, line_no, line)`` as text below ``path/log_id=n``; lines of one log may fill several files, in order.
+    """Write ``(log_id, line_no, line)`` as text below ``path``; lines of one log may fill several files, in order.
 
-    Ranges of (log, line) are dealt to tasks, so a log that holds most of the lines is written by many of them.
+    A log of more bytes than a read block (``spark.sql.files.maxPartitionBytes``) has the folder ``log_id=n``, the others share files in
+    ``log_id=shared``. Ranges of (log, line) are dealt to tasks, so a log that holds most of the lines is written by many of them.
     """
+    spark = lines.sparkSession
+    block = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    sizes = lines.groupBy("log_id").agg(F.sum(F.coalesce(F.octet_length("line"), F.lit(0)) + 1).alias("bytes"))
+    large = materialise(sizes.where(F.col("bytes") > block).select("log_id", F.col("log_id").cast("string").alias("folder")), "large-logs")
     broken = F.col("line").contains("\n") | F.col("line").contains("\r")
     line = F.when(broken, F.raise_error(F.concat(F.lit("a log line can't carry this text: "), "line"))).otherwise(F.coalesce("line", F.lit("")))
-    dealt = lines.select("log_id", "line_no", line.alias("line")).repartitionByRange("log_id", "line_no")
-    dealt.sortWithinPartitions("log_id", "line_no").select("log_id", "line").write.mode("append").partitionBy("log_id").text(path)
+    placed = lines.select("log_id", "line_no", line.alias("line")).join(large, "log_id", "left").withColumn("folder", F.coalesce("folder", F.lit("shared")))
+    order = ["folder", "log_id", "line_no"]
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    named = F.concat_ws("\t", F.coalesce(F.col("log_id").cast("string"), F.lit("")), "line")
+    text = dealt.select(F.col("folder").alias("log_id"), F.when(F.col("folder") == "shared", named).otherwise(F.col("line")).alias("line"))
+    text.write.mode("append").partitionBy("log_id").text(path)
     return path

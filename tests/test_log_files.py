@@ -53,6 +53,31 @@ def test_a_log_in_several_files(spark, blocks, rows):
     assert rows(log_lines(spark, root)) == sorted(((k, i, line) for k, v in want.items() for i, line in enumerate(v, 1)), key=repr)
 
 
+def test_small_logs_share_files(spark, rows):
+    """Files follow the bytes, not the number of logs."""
+    texts = "CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN concat(id, '\\t', id) WHEN 3 THEN '\\tx' ELSE concat('9\\t', id) END"
+    lines = spark.range(2000).selectExpr("IF(id % 500 = 499, NULL, id % 500 - 20) AS log_id", "2000 - id AS line_no", f"{texts} AS line").repartition(5)
+    root = write_log_files(lines, scratch_path(spark, "logs"))
+    assert len(spark.read.option("recursiveFileLookup", "true").text(root).inputFiles()) <= 4
+    want = {}
+    for r in lines.orderBy("line_no").collect():
+        want.setdefault(r.log_id, []).append(r.line or "")
+    assert len(want.pop(None)) == 4  # lines of no log have no number
+    assert rows(log_lines(spark, root)) == sorted(((k, i, line) for k, v in want.items() for i, line in enumerate(v, 1)), key=repr)
+
+
+def test_large_and_small_logs_in_many_blocks(spark, blocks, rows):
+    """A log of more than a block has its own files; a small one may still lie across two blocks."""
+    lines = spark.range(1000).selectExpr("CASE WHEN id % 2 = 0 THEN -7 ELSE id % 100 END AS log_id", "id AS line_no", "concat('line ', id) AS line").repartition(5)
+    root = write_log_files(lines, scratch_path(spark, "logs"))
+    folders = {f.rsplit("/", 2)[1] for f in spark.read.option("recursiveFileLookup", "true").text(root).inputFiles()}
+    assert folders == {"log_id=-7", "log_id=shared"}
+    want = {}
+    for r in lines.orderBy("line_no").collect():
+        want.setdefault(r.log_id, []).append(r.line)
+    assert rows(log_lines(spark, root)) == sorted(((k, i, line) for k, v in want.items() for i, line in enumerate(v, 1)), key=repr)
+
+
 def test_a_text_no_line_can_carry(spark):
     lines = spark.createDataFrame([(1, 1, "a\nb")], "log_id long, line_no long, line string")
     with pytest.raises(Exception, match="can't carry"):
