@@ -49,6 +49,16 @@ def page(df: DataFrame, order: Sequence[Column | By], offset: int = 0, size: int
     return df if size is None else df.limit(size)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt to tasks by the values of ``columns``, before work that takes long for each row.
+
+    A table of short rows is read by few tasks whatever its number of rows. The number of tasks is given, so that adaptive
+    execution, which goes by bytes, doesn't merge them again.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in ``order``.
 

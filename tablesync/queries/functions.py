@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablesync.functions import credentials, dates, sources
 from tablesync.functions.jobs import job_contents
+from tablesync.operators.common import dealt
 from tablesync.queries.registry import query
 
 _TYPES = """CASE WHEN starts_with(jdbc_url, 'jdbc:mysql:') OR starts_with(jdbc_url, 'jdbc:log4jdbc:mysql:') THEN 'mysql'
@@ -44,7 +45,8 @@ def fn_ensure_encrypted(t):
   CAST(json_extract_string(job_json, '$.job.setting.speed.channel') AS INTEGER) AS channel, TRUE AS hidden FROM job_json""", "job_json")
 def fn_mask_json_credentials(t):
     """Encrypt inside the job text, check that the clear text is gone, and decrypt again."""
-    masked = t.job_json.withColumn("masked", credentials.encrypt_job(F.col("job_json"), "a seed"))
+    jobs = dealt(t.job_json, "id", "job_json")
+    masked = jobs.withColumn("masked", credentials.encrypt_job(F.col("job_json"), "a seed"))
     clear = masked.withColumn("clear", credentials.decrypt_job(F.col("masked"), "a seed"))
     content = "$.job.content[0]"
     return clear.select(

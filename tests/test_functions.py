@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablesync.functions import credentials, sources
 from tablesync.operators import logmine, profile
+from tablesync.queries import QUERIES
 
 # A stored value: the text "root" under this seed.
 SEED, ROOT = "AD42F6697B035B75", "yRjwDFuoPKlqya9h9H2Amg=="
@@ -35,6 +36,17 @@ def test_job_credentials_change_and_nothing_else(spark):
     assert json.loads(plain) == job  # what cannot be decrypted stays
 
 
+def test_jobs_of_one_file_are_masked_by_many_tasks(spark, tmp_path):
+    segments = spark.range(200).selectExpr("IF(id < 20, id, NULL) AS c_custkey", "IF(id % 9 = 0, NULL, concat('S', id)) AS c_mktsegment")
+    segments.unionAll(segments.where("c_custkey < 5")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["fn_mask_json_credentials"](spark, str(tmp_path))
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 205
+    known = found.where("username IS NOT NULL").collect()
+    assert sorted((r.id, r.username, r.password, r.second_column, r.channel, r.hidden) for r in known) == sorted(
+        (k, f"u{k % 7}", "q", f"s{k}", 3, True) for k in range(20) if k % 9 for _ in range(1 + (k < 5)))
+
+
 def test_url_types_and_hosts(spark):
     urls = {
         "jdbc:mysql://DB1:3306/x?a=b//c": ("mysql", "db1:3306/x"), "jdbc:oracle:thin:@Host:1521:orcl": ("oracle", "host:1521:orcl"),
