@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ GAP = 2e-3
 #: Characters of stretches that a worker remembers; a block can go beyond it by its own.
 REMEMBERED = 1 << 23
 #: Characters tokenised at a time.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 23
+#: Stretches whose ids are put in place at a time.
+GATHERED = 1 << 18
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,11 +59,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Token ids of whole texts, as arrays, remembered by stretches without space or line feed.
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of its stretches. Where it lower-cases and
-    splits off runs of letters, as the given one does, a new stretch of letters and closing marks goes to its model word by word.
+    The tokenizer splits at white space and drops it, so a text's ids are those of its stretches; each distinct one of a block is
+    looked up once. Where it lower-cases and splits off runs of letters, as the given one does, closing marks are taken off a
+    stretch and what is left goes to its model as a word, if it is letters alone.
     """
 
-    MARKS = ".,;:!?"
+    MARKS = ".,;:!?\"#$%&()*+-/=@[\\]^_`{}~"
 
     def __init__(self, path: str):
         import json
@@ -73,6 +77,7 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for part, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (made[part] or {}).get(many, [])]
         self.by_word = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and made["model"]["type"] == "BPE" and made["model"]["dropout"] is None
+        self.marks = "".join(c for c in self.MARKS if not any(c in t["content"] for t in made["added_tokens"]))
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
         shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
@@ -87,33 +92,23 @@ class Encoder:
         marked = word if word.isascii() else "".join(map(self.glyph.__getitem__, word.encode("utf-8")))
         return array(self.code, [t.id for t in self.model.tokenize(marked)]).tobytes()
 
-    def _learn(self, missing: set[str], wanted: set[str]) -> None:
+    def _learn(self, missing: set[str], heads: list[str], tails: set[str]) -> None:
         known = self.known
         if self.held + sum(map(len, missing)) > REMEMBERED:
             known = self.known = {"": b""}
-            missing, self.held = wanted, 0
+            missing, self.held = {*heads, *tails} - known.keys(), 0
         self.held += sum(map(len, missing))
         self.model = self.tokenizer.model
         other, by_word = [], self.by_word
         for s in missing:
-            if by_word and s.isascii() and s.isalpha():
-                known[s] = self._word(s.lower())
-                continue
-            word = s.rstrip(self.MARKS)
-            low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-            marks = s[len(word) :]
-            if not by_word or not low.isalpha() or "\u03c2" in low or "\u03a3" in word:
-                other.append(s)
-                continue
-            ids = known.get(low)
-            if ids is None:
-                ids = known[low] = self._word(low)
-            if marks:
-                if marks not in known:
-                    known[marks] = self._whole([marks])[0]
-                ids += known[marks]
-            known[s] = ids
-        known.update(zip(other, self._whole(other), strict=True))
+            if by_word and s.isalpha():
+                low = s.lower() if s.isascii() else unicodedata.normalize("NFC", s).lower()
+                if low.isascii() or low.isalpha() and "\u03c2" not in low and "\u03a3" not in s:
+                    known[s] = self._word(low)
+                    continue
+            other.append(s)
+        if other:
+            known.update(zip(other, self._whole(other), strict=True))
 
     def _lowered(self, text: str) -> str:
         """Lower-cased where the tokenizer does the same letter by letter, so that fewer stretches differ."""
@@ -124,14 +119,39 @@ class Encoder:
                 pass
         return text
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self._lowered(t).replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*parts)
-        missing = wanted - self.known.keys()
+    def _cut(self, stretches: list[str]) -> tuple[list[str], list[str]]:
+        """What is looked up for each stretch: itself without its closing marks, and these. Marks after another sign stay with it."""
+        if not self.by_word:
+            return stretches, [""] * len(stretches)
+        marks = self.marks
+        heads = [s.rstrip(marks) for s in stretches]
+        heads = [h if len(h) == len(s) or not h or h[-1].isalpha() or h[-1] in "0123456789" else s for h, s in zip(heads, stretches, strict=True)]
+        return heads, [s[len(h) :] for h, s in zip(heads, stretches, strict=True)]
+
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        heads, tails = self._cut(stretches)
+        found, kinds = list(map(self.known.get, heads)), set(tails)
+        missing = {h for h, ids in zip(heads, found, strict=True) if ids is None} | (kinds - self.known.keys())
         if missing:
-            self._learn(missing, wanted)
-        of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(of, p)), self.small) for p in parts]
+            self._learn(missing, heads, kinds)
+            found = list(map(self.known.__getitem__, heads))
+        marks = {t: self.known[t] for t in kinds}
+        return [ids + marks[t] if t else ids for ids, t in zip(found, tails, strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        parts = pc.split_pattern(pa.array([self._lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(found), self.small)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.small.itemsize
+        first, which = np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        ids = np.empty(ends[-1], self.small)
+        for at in range(0, len(which), GATHERED):
+            some = which[at : at + GATHERED]
+            low, high = ends[at], ends[at + len(some)]
+            ids[low:high] = flat[np.repeat(first[some] - ends[at : at + len(some)], size[some]) + np.arange(low, high)]
+        return np.split(ids, ends[np.cumsum(pc.list_value_length(parts).to_numpy())[:-1]]) if texts else []
 
 
 _PIECE = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType())]

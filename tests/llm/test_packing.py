@@ -64,6 +64,27 @@ def test_encoder_equals_the_tokenizer(tokenizer, monkeypatch):
         assert encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_closing_marks_cost_no_new_word(tokenizer, monkeypatch):
+    """A word is learnt once, whatever marks close it, and only what isn't a word goes through the whole tokenizer."""
+    words, marks = ["thedtiea", "écheau", "Straße", "ÖFEN", "x1", "漢字"], [a + b for a in packing.Encoder.MARKS + "'<|>" for b in ("", "$$$", ",", "'", ">")]
+    texts = [w + m for w in words for m in marks] + [m + w for w in words for m in marks] + marks + ["it's, DON'T! 'll. ''. -_- é\u0301. a\u0338= 3.14! x<|endoftext|> x<|endoftext|>. <|endoftext|"]
+    encode = packing.Encoder(packing.tokenizer_path())
+    for text, ids in zip([*texts, " ".join(texts)], encode([*texts, " ".join(texts)]), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    encode, whole = packing.Encoder(packing.tokenizer_path()), []
+    monkeypatch.setattr(encode, "_whole", lambda texts, real=encode._whole: (whole.extend(texts), real(texts))[1])
+    encode([f"eringhe eringhe{m} écheau{m}" for m in ("%%%", "***", ",&&&", "$", "-", ").")])
+    assert sorted(whole) == sorted(["%%%", "***", ",&&&", "$", "-", ")."]) and encode.known.keys() == {"", "eringhe", "écheau", *whole}
+
+
+def test_ids_are_put_in_place_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "GATHERED", 3)
+    texts = ["", "a b c d e f, g", "", " ", "It  is\nlong: " * 20, "x", ""]
+    encode = packing.Encoder(packing.tokenizer_path())
+    assert [ids.tolist() for ids in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode([]) == [] and [len(ids) for ids in encode(["", ""])] == [0, 0]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_packs_everything_near_the_bound(seed):
     rng = np.random.default_rng(seed)
