@@ -78,6 +78,30 @@ def test_large_and_small_logs_in_many_blocks(spark, blocks, rows):
     assert rows(log_lines(spark, root)) == sorted(((k, i, line) for k, v in want.items() for i, line in enumerate(v, 1)), key=repr)
 
 
+def test_small_logs_are_dealt_without_a_sample(spark, blocks, rows, monkeypatch):
+    """Lines of no log are many here, and go to many tasks all the same."""
+    lines = spark.range(2000).selectExpr("IF(id % 2 = 0, NULL, id % 400) AS log_id", "2000 - id AS line_no", "'x' AS line").repartition(5)
+
+    def sampled(*_):
+        raise AssertionError("the lines are sampled")
+
+    monkeypatch.setattr(type(lines), "repartitionByRange", sampled)
+    root = write_log_files(lines, scratch_path(spark, "logs"))
+    of_none = spark.read.option("recursiveFileLookup", "true").text(root).where("startswith(value, '\t')")
+    assert of_none.count() == 1000 and of_none.select("_metadata.file_path").distinct().count() > 1
+    assert rows(log_lines(spark, root)) == sorted(((k, i, "x") for k in range(1, 400, 2) for i in range(1, 6)), key=repr)
+
+
+def test_lines_meet_their_block_unsorted(spark):
+    root = write_log_files(spark.range(100).selectExpr("id % 2 AS log_id", "id AS line_no", "'x' AS line"), scratch_path(spark, "logs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = log_lines(spark, root)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_a_text_no_line_can_carry(spark):
     lines = spark.createDataFrame([(1, 1, "a\nb")], "log_id long, line_no long, line string")
     with pytest.raises(Exception, match="can't carry"):
